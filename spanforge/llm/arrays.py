@@ -39,10 +39,10 @@ class Powers:
 
     def grown(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
+            most = max(2 * n, 1 << 16)
             with np.errstate(over="ignore"):
-                self.up = np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, self.base, U))])
-                self.down = np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, self.inverse, U))])
+                self.up = np.concatenate([np.ones(1, U), np.cumprod(np.full(most - 1, self.base, U))])
+                self.down = np.concatenate([np.ones(1, U), np.cumprod(np.full(most - 1, self.inverse, U))])
         return self.up[:n], self.down[:n]
 
 
