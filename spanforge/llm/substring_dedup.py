@@ -101,6 +101,8 @@ def _segments(window: int, gram: int):
             words = Words(*buffers(b.column("text")))
             least, _, _ = anchors(words, window, gram)
             wanted, hot = (np.unique(np.asarray(b.column(c).flatten(), dtype=np.int64)).view(U) for c in ("often", "hot"))
+            if not len(wanted) + len(hot):
+                continue
             every = np.unique(np.concatenate([wanted, hot]))
             at = np.flatnonzero((least != _NONE) & np.isin(least, every))
             if not len(at):
@@ -235,16 +237,19 @@ def _without(fields: list[str]):
 
 
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (k, marks): the repeated word ranges of each row of keyed docs that has some."""
-    profile = cut(docs.select(KEY, F.col("text").cast("string")).mapInArrow(_profile(window, gram), "k long, n long, s1 long, s2 long, grams array<long>").filter(F.col("n") >= window))
+    """Rows (k, marks): the repeated word ranges of each row of keyed docs that has some.
+
+    The left join of all of docs with the hits looks wasteful, but its exchange
+    is the one that the caller's join with the marks uses again.
+    """
+    profile = cut(docs.select(KEY, "text").mapInArrow(_profile(window, gram), "k long, n long, s1 long, s2 long, grams array<long>").filter(F.col("n") >= window))
     whole = profile.groupBy("s1", "s2", "n").agg(F.min("k").alias("least"), F.count("*").alias("c")).filter("c > 1")
     copies = profile.select("k", "n", "s1", "s2").join(whole, ["s1", "s2", "n"]).filter("k <> least").select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
     copies = cut(copies)
     phrases = profile.join(copies.select("k"), "k", "left_anti").select("k", F.explode("grams").alias("g"))
     recurring = phrases.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
-    hits = phrases.distinct().join(recurring, "g").groupBy("k").agg(F.collect_list(F.when(F.col("c") <= HOT, F.col("g"))).alias("often"), F.collect_list(F.when(F.col("c") > HOT, F.col("g"))).alias("hot"))
-    pieces = docs.select(KEY, F.col("text").cast("string")).join(hits, F.col(KEY) == F.col("k")).select(KEY, "text", "often", "hot")
-    pieces = pieces.mapInArrow(_segments(window, gram), "shard long, k long, start long, stop long, text binary")
+    hits = phrases.join(recurring, "g").groupBy("k").agg(F.collect_set(F.when(F.col("c") <= HOT, F.col("g"))).alias("often"), F.collect_set(F.when(F.col("c") > HOT, F.col("g"))).alias("hot"))
+    pieces = docs.join(hits, F.col(KEY) == F.col("k"), "left").drop("k").mapInArrow(_segments(window, gram), "shard long, k long, start long, stop long, text binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pieces.repartition(parts, "shard").sortWithinPartitions("shard", "k", "start").mapInArrow(_shards(window), "k long, start long, stop long")
     return found.unionByName(copies).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
@@ -264,8 +269,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", KEY)]
     rows = keyed(docs.select(columns))
     rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("rest")
-    found = marks(rows, window)
-    joined = rows.select(KEY, F.col("text").cast("string"), rest).join(found, F.col(KEY) == F.col("k"), "left").select("rest", "text", "marks")
+    rows = rows.select(KEY, F.col("text").cast("string"), rest)
+    joined = rows.join(marks(rows, window), F.col(KEY) == F.col("k"), "left").select("rest", "text", "marks")
     rest_type = joined.schema["rest"].dataType.simpleString()
     out = joined.mapInArrow(_without(["rest"]), f"rest {rest_type}, text string, n_words long, n_removed long")
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns], "n_words", "n_removed")
