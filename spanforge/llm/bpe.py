@@ -56,9 +56,11 @@ class Merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right = self.ids[symbols(a)], self.ids[symbols(b)]
             whole = self.ids[self.text[left] + self.text[right]]
-            if whole in self.made or any(p in self.made and self.made[p][0] > r for p in (left, right)):
-                raise ValueError("the merge list makes a token twice or before its parts")
+            if whole in self.made:
+                raise ValueError("the merge list makes a token twice")
             self.rank[left, right], self.made[whole] = r, (r, left, right)
+        if any(p in self.made and self.made[p][0] > r for r, left, right in self.made.values() for p in (left, right)):
+            raise ValueError("the merge list makes a token before its parts")
         self.prefixes = {t[:n] for t in self.ids for n in range(len(t) + 1)}
         self._follows: dict[tuple[int, int], bool] = {}
 

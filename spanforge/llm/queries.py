@@ -23,6 +23,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import digests, encode_decode
+
+    return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_golay import fingerprint_hex, near_duplicates
 
@@ -39,6 +45,7 @@ def tokenizer_path(name: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_bpe_codec": op8_bpe_codec,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
