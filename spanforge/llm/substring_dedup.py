@@ -96,7 +96,7 @@ def _segments(window: int, gram: int):
     """(shard, k, start, stop, text): segments to compare, or words already known as repeats (text null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 22):
+        for b in slices(batches, "text", 1 << 21):
             keys = np.asarray(b.column(KEY))
             words = Words(*buffers(b.column("text")))
             least, _, _ = anchors(words, window, gram)
