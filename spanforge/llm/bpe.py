@@ -14,7 +14,7 @@ from functools import cached_property
 
 END = "</w>"
 #: States kept before the graph is dropped and built anew.
-MOST_STATES = 150_000
+MOST_STATES = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +63,7 @@ class Merges:
             raise ValueError("the merge list makes a token before its parts")
         self.prefixes = {t[:n] for t in self.ids for n in range(len(t) + 1)}
         self._follows: dict[tuple[int, int], bool] = {}
+        self._endings: dict[str, tuple[int, list[tuple[int, int]]]] = {}
 
     @cached_property
     def longest(self) -> int:
@@ -88,6 +89,16 @@ class Merges:
             most = max(most, here)
         return most
 
+    def endings(self, text: str) -> tuple[int, list[tuple[int, int]]]:
+        """Where the longest end of a text that begins some token starts, and (start, token) of each token that ends it, longest first."""
+        got = self._endings.get(text)
+        if got is None:
+            if len(self._endings) > 500_000:
+                self._endings.clear()
+            cut = next(i for i in range(len(text) + 1) if text[i:] in self.prefixes)
+            got = self._endings[text] = cut, [(i, t) for i in range(len(text)) if (t := self.ids.get(text[i:])) is not None]
+        return got
+
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of a's text and b's text together is a, b."""
         got = self._follows.get((a, b))
@@ -178,18 +189,13 @@ class Transducer:
         return got
 
     def _step(self, state: State, symbol: str) -> tuple[State, object]:
-        merges, text, live = self.merges, state.tail + symbol, state.live
-        for at, position in enumerate(live):
-            token = merges.ids.get(text[at:])
-            if token is not None:
-                last = self._last(position)
-                if last is None or merges.follows(last, token):
-                    live = (*live, self._extend(position, token))
-                    break
+        text, live, follows = state.tail + symbol, state.live, self.merges.follows
+        cut, tokens = self.merges.endings(text)
+        for at, token in tokens:
+            last = self._last(live[at])
+            if last is None or follows(last, token):
+                break
         else:
             raise ValueError(f"no token ends after {text!r}")
-        cut = 0
-        while text[cut:] not in merges.prefixes:
-            cut += 1
-        emitted, live = self._settle(live[cut:])
+        emitted, live = self._settle((*live[cut:], self._extend(live[at], token)))
         return self._state(text[cut:], live), emitted

@@ -123,7 +123,7 @@ class Counter(Transducer):
 
     def _settle(self, live):
         newest = live[-1][1]
-        return newest, tuple((t, c - newest) for t, c in live)
+        return newest, tuple([(t, c - newest) for t, c in live])
 
     def count(self, data: bytes) -> int:
         state, total = self.root, 0
