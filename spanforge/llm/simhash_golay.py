@@ -120,8 +120,11 @@ def golay_keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.
     return (np.concatenate(own_key), np.concatenate(own_row)), (np.concatenate(all_key), np.concatenate(all_row))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints of fps(fp) that differ in 1 to RADIUS bits."""
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between the distinct fingerprints of fps(fp) that differ in 1 to radius bits.
+
+    All of them up to RADIUS; beyond it those of which two segments differ in a bit at most.
+    """
 
     def keyed(own: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +138,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     own = fps.select("fp").mapInArrow(keyed(True), "key long, fp long").withColumnRenamed("fp", "b")
     every = fps.select("fp").mapInArrow(keyed(False), "key long, fp long").withColumnRenamed("fp", "a")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     return every.alias("e").join(own.hint("shuffle_hash").alias("o"), (F.col("e.key") == F.col("o.key")) & near).select("a", "b").distinct()
 
 
