@@ -27,7 +27,7 @@ from .bpe import END, Merges, Transducer, byte_letters
 #: Fixed values of the format: its white space and its word pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
-MOST_WORDS = 300_000
+MOST_WORDS = 700_000
 #: Texts longer than this are read in pieces of as many words.
 PIECE = 1 << 20
 
@@ -44,15 +44,18 @@ class Encoder(Transducer):
         return token, (*at[1], token)
 
     def _settle(self, live):
-        shared, other = min(p for _, p in live), max(p for _, p in live)
-        n = next((i for i, t in enumerate(shared) if other[i] != t), len(shared))
-        return shared[:n], tuple((t, p[n:]) for t, p in live)
+        paths, n = [p for _, p in live], 0
+        for tokens in zip(*paths):
+            if tokens.count(tokens[0]) != len(tokens):
+                break
+            n += 1
+        return (paths[0][:n], tuple([(t, p[n:]) for t, p in live])) if n else ((), live)
 
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Tokens of one word, each as soon as it is stable."""
         state = self.root
         for symbol in symbols:
-            state, stable = self.step(state, symbol)
+            state, stable = state.next.get(symbol) or self.step(state, symbol)
             yield from stable
         yield from state.live[-1][1]
 

@@ -128,7 +128,7 @@ class Counter(Transducer):
     def count(self, data: bytes) -> int:
         state, total = self.root, 0
         for symbol in self.merges.word(data):
-            state, more = self.step(state, symbol)
+            state, more = state.next.get(symbol) or self.step(state, symbol)
             total += more
         return total
 
