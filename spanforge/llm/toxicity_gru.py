@@ -28,10 +28,10 @@ INPUT = 2 * DIM + 2
 STATE = 2 * HIDDEN + 2  # both passes' states and the two shares of toxic texts
 GRAMS = (4, 5, 6, 7)
 VECTORS, ODDS = 1 << 13, 1 << 20
-#: The bounded sample that the network is fitted on: labelled rows, and windows of each, evenly spaced.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 6000, 40
+#: The bounded sample that the network is fitted on: rows labelled 0 and 1, and windows of each, evenly spaced.
+SAMPLE_ROWS, SAMPLE_WINDOWS = (3000, 1200), 24
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 300, 128, 2e-2
-TOXIC_WEIGHT = 2
+TOXIC_WEIGHT = 1  # toxic rows are a larger share of the sample than of the labels
 #: Toxic texts of the sample that a word or n-gram must occur in to count as evidence.
 LEAST_TEXTS, SHRINK = 4, 8
 MODULUS, REMAINDER = 5, 0
@@ -199,14 +199,16 @@ def initial(y: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     return model | {"bo": np.array([np.log((y.sum() + 1) / ((1 - y).sum() + 1))], np.float32)}
 
 
-def _odds(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log odds of a toxic text, by bucket, from the texts it occurs in; 0 where there is too little evidence."""
+def _texts(doc: np.ndarray, bucket: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Texts of each of four kinds that each bucket occurs in; a text's buckets must come together."""
     pairs = np.unique(doc.astype(np.int64) << 20 | bucket.astype(np.int64))
-    toxic = y[pairs >> 20] == 1
-    a = np.bincount(pairs[toxic] & (ODDS - 1), minlength=ODDS)
-    c = np.bincount(pairs[~toxic] & (ODDS - 1), minlength=ODDS)
-    odds = np.log((a + 0.5) / (y.sum() + 1)) - np.log((c + 1.5) / ((1 - y).sum() + 3))
-    return np.where((a >= LEAST_TEXTS) & (odds > 0), odds * a / (a + SHRINK) / 2, 0).astype(np.float32)
+    return np.bincount(kind[pairs >> 20] << 20 | pairs & (ODDS - 1), minlength=4 * ODDS).reshape(4, ODDS)
+
+
+def _odds(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """How much likelier a bucket is in toxic texts, by the texts it occurs in; 0 where there is too little evidence."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 1.5) / (n_clean + 3))
+    return np.where((toxic >= LEAST_TEXTS) & (odds > 0), odds * toxic / (toxic + SHRINK) / 2, 0).astype(np.float32)
 
 
 def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
@@ -218,22 +220,24 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]
     vocabulary = Vocabulary(words)
     seen = np.unique(words.row << 32 | vocabulary.of)  # each word of a text once
     doc, word = seen >> 32, seen & 0xFFFFFFFF
-    buckets, owners = [], []
-    for at in range(0, len(seen), 1 << 18):
-        w, d = word[at : at + (1 << 18)], doc[at : at + (1 << 18)]
-        n = vocabulary.counts[w]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(vocabulary.edges[w], n)
-        pair = np.unique(np.repeat(d, n) << 20 | (vocabulary.gram[place] & U(ODDS - 1)).astype(np.int64))
-        buckets.append(pair & (ODDS - 1))
-        owners.append(pair >> 20)
-    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
-    del buckets, owners
     # texts of either half are learned with the likelihoods of the other, or they would seem surer than those of new texts
     half = rng.integers(0, 2, len(y))
+    kind = 2 * half + (y == 1)
+    word_texts, gram_texts = np.zeros((2, 4, ODDS), np.int64)
+    for at in range(0, len(y), 100):
+        own = slice(*np.searchsorted(doc, [at, at + 100]))
+        d, w = doc[own], word[own]
+        n = vocabulary.counts[w]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(vocabulary.edges[w], n)
+        word_texts += _texts(d, vocabulary.word[w] & U(ODDS - 1), kind)
+        gram_texts += _texts(np.repeat(d, n), vocabulary.gram[place] & U(ODDS - 1), kind)
+    size = np.bincount(kind, minlength=4)
     odds = []
-    for use in (half == 1, half == 0, half >= 0):
-        d, o = use[doc], use[owner]
-        odds.append({"word_odds": _odds(vocabulary.word[word[d]] & U(ODDS - 1), doc[d], y), "gram_odds": _odds(bucket[o], owner[o], y)})
+    for use in ([2, 3], [0, 1], None):
+        texts = [t[use] if use else t[:2] + t[2:] for t in (word_texts, gram_texts)]
+        n = size[use] if use else size[:2] + size[2:]
+        odds.append({"word_odds": _odds(*texts[0], *n), "gram_odds": _odds(*texts[1], *n)})
+    del word_texts, gram_texts
     starts, sizes, before = windows(words.counts)
     picked = [np.unique(np.linspace(p, q - 1, min(q - p, SAMPLE_WINDOWS)).astype(np.int64)) for p, q in zip(before[:-1], before[1:])]
     first = np.concatenate([[0], np.cumsum([len(p) for p in picked])])
@@ -290,7 +294,7 @@ class _Part(Vocabulary):
         self.gram = whole.gram[np.arange(n.sum()) - np.repeat(self.edges, n) + np.repeat(whole.edges[rows], n)]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Fit on the bounded sample, of which each text gives SAMPLE_WINDOWS windows; only those come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
