@@ -2,8 +2,8 @@
 
 A document is contaminated by an item if some item-sized window of it has a
 weighted similarity of 0.8 or more to the item: shared five-word shingles, each
-weighing its number of occurrences, over all of either. Words are runs of
-letters, marks and digits in lower case.
+weighing its number of occurrences, over all of either. Words are in lower case
+and end at SEPARATORS, so punctuation is no part of them.
 
 1. A window so similar shares at least 8/9 of the item's shingles, so a document
    with fewer is out. A join of all shingle hashes with the items' finds the
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .rows import KEY, keyed
 
 WIDTH = 5
@@ -29,7 +30,8 @@ SIMILARITY = 0.8
 RADIUS = 23
 #: Item shingles that are broadcast; with more, the join shuffles.
 MOST_BROADCAST = 500_000
-SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
+#: What stands between words: ASCII but letters and digits, and the spaces and punctuation of three further blocks.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
 
 
 def words(text: str) -> Column:
@@ -89,13 +91,18 @@ def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
 def matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item_id, similarity, start, n_words) of the best window of each row of keyed docs for each item; of equal ones the first."""
     items = _items(benchmark)
-    docs = rows.select(KEY, words("text").alias("w"))
-    indexed = items.select("item", "item_id", "iw", "k", "m", F.explode(blocks(fingerprint(_shingles("iw", F.col("k"), True)))).alias("block"), fingerprint(_shingles("iw", F.col("k"), True)).alias("ifp"))
     lengths = items.select("item", F.col("k").alias("wk"), F.size("iw").alias("length"))
+    hashes = cut(items.select("item", _shingles("iw", F.col("k"), True).alias("h")))
+    indexed = cut(hashes.select("item", fingerprint(F.col("h")).alias("ifp"))).select("item", "ifp", F.explode(blocks(F.col("ifp"))).alias("block"))
+    places = cut(_windows(rows.select(KEY, words("text").alias("w")), items).join(lengths, "item"))
+    # only texts with a place to judge are split again; Spark broadcasts their keys while they are few
+    texts = rows.join(cut(places.select(KEY).distinct()), KEY).select(KEY, words("text").alias("w"))
     # a window that would run past the end moves back; a text shorter than the item is one window
     start = F.greatest(F.lit(0), F.least(F.col("start"), F.size("w") - F.col("length")))
-    cut = _windows(docs, items).join(lengths, "item").join(docs, KEY).select(KEY, "item", "wk", start.alias("start"), F.slice("w", start + 1, F.col("length")).alias("w")).distinct()
-    marked = cut.withColumn("fp", fingerprint(_shingles("w", F.col("wk"), True)))
+    windows = places.join(texts, KEY).select(KEY, "item", "wk", start.alias("start"), F.slice("w", start + 1, F.col("length")).alias("w")).distinct()
+    # written, as the optimizer would compute the shingles anew for each bit and the fingerprint for each block
+    hashed = cut(windows.withColumn("h", _shingles("w", F.col("wk"), True)))
+    marked = cut(hashed.select(KEY, "item", "wk", "start", "w", fingerprint(F.col("h")).alias("fp")))
     probes = marked.select(KEY, "item", "wk", "start", "w", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
     near = probes.join(indexed.select("item", "block", "ifp"), ["item", "block"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     near = near.select(KEY, "item", "wk", "start", "w").distinct()

@@ -1,11 +1,10 @@
 import random
+import re
 from collections import Counter
 
-import regex
-
 from spanforge.llm import decontamination as d
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+")
 
 
 def brute(docs, items):
