@@ -1,0 +1,56 @@
+"""Parsers of generated and instruction-style text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def word_tag_pairs(text: Column) -> Column:
+    """array<struct<word, tag>> of 'word(tag)' pairs."""
+    words = F.regexp_extract_all(text, F.lit(r"([^\s(),]+)\(([^()]*)\)"), 1)
+    tags = F.regexp_extract_all(text, F.lit(r"([^\s(),]+)\(([^()]*)\)"), 2)
+    return F.arrays_zip(words.alias("word"), tags.alias("tag"))
+
+
+def first_json_strings(text: Column) -> Column:
+    """The first bracketed JSON list of strings; where it does not parse, all quoted strings of the text."""
+    parsed = F.from_json(F.regexp_extract(text, r"(?s)\[.*?\]", 0), "array<string>")
+    return F.coalesce(parsed, F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), 1))
+
+
+def json_entities(text: Column) -> Column:
+    return F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), "array<struct<text:string,type:string>>")
+
+
+def question_answers(turns: DataFrame) -> DataFrame:
+    """Each turn with the next of its conversation, by lead over the turn order."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.withColumn("answer", F.lead("text").over(order)).withColumn("answer_role", F.lead("role").over(order))
+
+
+def locate(text: Column, mention: Column) -> Column:
+    """Zero-based start of the first case-insensitive occurrence, null if there is none."""
+    at = F.instr(F.lower(text), F.lower(mention))
+    return F.when((F.char_length(mention) > 0) & (at > 0), at - 1)
+
+
+def greedy_spans(text: Column, mentions: Column) -> Column:
+    """array<struct<start_off, end_off, mention>>: each mention at its first occurrence that overlaps no earlier one.
+
+    A fold over the mentions; the text is searched again after each overlap.
+    """
+    empty = F.array().cast("array<struct<start_off:int,end_off:int,mention:string>>")
+
+    def free(taken: Column, at: Column, size: Column) -> Column:
+        return ~F.exists(taken, lambda s: (s["start_off"] < at + size) & (at < s["end_off"]))
+
+    def place(taken: Column, mention: Column) -> Column:
+        size = F.char_length(mention)
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(text) - size))
+        fits = F.filter(starts, lambda i: (F.substring(text, i + 1, size) == mention) & free(taken, i, size))
+        found = (size > 0) & (F.size(fits) > 0)
+        at = F.element_at(fits, 1)
+        return F.when(found, F.concat(taken, F.array(F.struct(at.alias("start_off"), (at + size).alias("end_off"), mention.alias("mention"))))).otherwise(taken)
+
+    return F.aggregate(mentions, empty, place)

@@ -1,4 +1,8 @@
 """Registry of the reference-parity queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES}
