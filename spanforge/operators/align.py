@@ -10,8 +10,8 @@ GOLD_NOT_PREDICTED, PREDICTED_NOT_GOLD = "__gold_not_predicted__", "__predicted_
 
 
 def last_wins(spans: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
-    """One label per place: that of the last span."""
-    return spans.groupBy(*keys).agg(F.max_by(label, order).alias(label))
+    """One label per place: that of the last span, of several last ones the greatest."""
+    return spans.groupBy(*keys).agg(F.max(F.struct(order, label)).alias("last")).select(*keys, F.col(f"last.{label}").alias(label))
 
 
 def align(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import reports, scoring, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **scoring.QUERIES, **reports.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **scoring.ORACLES, **reports.ORACLES}

@@ -28,8 +28,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application."""
+    """Give executors this package, once per application.
+
+    Arrow batches of Spark's default size hold 10,000 rows; of whole documents
+    that is too much for a small executor, so the default, and only that, is
+    lowered.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     done = getattr(sc, "_spanforge_shipped", False)
     if done:
         return
