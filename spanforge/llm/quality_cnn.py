@@ -154,12 +154,12 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([b.column("_rest"), pa.array(scores(b.column("_text"), shared.value))], ["_rest", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("_rest"), b.column("_text"), pa.array(scores(b.column("_text"), shared.value))], ["_rest", "_text", "score"])
 
-    boxed = docs.select(F.struct(*columns).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    boxed = docs.select(F.struct(F.lit(0).alias("_"), *[c for c in columns if c != "text"]).alias("_rest"), F.col("text").cast("string").alias("_text"))
     kind = boxed.schema["_rest"].dataType.simpleString()
-    scored = boxed.mapInArrow(run, f"_rest {kind}, score double")
-    return scored.select(*[F.col("_rest").getField(c).alias(c) for c in columns], "score")
+    scored = boxed.mapInArrow(run, f"_rest {kind}, _text string, score double")
+    return scored.select(*[F.col("_text").alias(c) if c == "text" else F.col("_rest").getField(c).alias(c) for c in columns], "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", KEY)]
     rows = keyed(docs.select(columns))
-    rest = F.struct(*[F.col(c) for c in columns if c != "text"]).alias("rest")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns if c != "text"]).alias("rest")
     rows = rows.select(KEY, F.col("text").cast("string"), rest)
     joined = rows.join(marks(rows, window), F.col(KEY) == F.col("k"), "left").select("rest", "text", "marks")
     rest_type = joined.schema["rest"].dataType.simpleString()
