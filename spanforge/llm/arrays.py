@@ -39,7 +39,7 @@ class Powers:
 
     def grown(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            most = max(2 * n, 1 << 16)
+            most = max(n + n // 4, 1 << 16)
             with np.errstate(over="ignore"):
                 self.up = np.concatenate([np.ones(1, U), np.cumprod(np.full(most - 1, self.base, U))])
                 self.down = np.concatenate([np.ones(1, U), np.cumprod(np.full(most - 1, self.inverse, U))])
@@ -103,7 +103,14 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, k: int = 0) -> np.ndarray:
-        return span_hash(_BYTES[k][self.data], self.starts, self.ends, k)
+        """Hash of each word, a stretch of some SLICE_BYTES at a time."""
+        out, at = np.empty(len(self.starts), U), 0
+        while at < len(out):
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right")))
+            out[at:to] = span_hash(_BYTES[k][self.data[base : self.ends[to - 1]]], self.starts[at:to] - base, self.ends[at:to] - base, k)
+            at = to
+        return out
 
 
 def packed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -31,51 +31,62 @@ VECTORS, ODDS = 1 << 13, 1 << 20
 #: The bounded sample that the network is fitted on: rows labelled 0 and 1, and windows of each, evenly spaced.
 SAMPLE_ROWS, SAMPLE_WINDOWS = (3000, 1200), 24
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 300, 128, 2e-2
-TOXIC_WEIGHT = 1  # toxic rows are a larger share of the sample than of the labels
+TOXIC_WEIGHT = 2
 #: Toxic texts of the sample that a word or n-gram must occur in to count as evidence.
 LEAST_TEXTS, SHRINK = 4, 8
 MODULUS, REMAINDER = 5, 0
 _BLOCK = 4096
+_WORDS = 1 << 14
 
 
 class Vocabulary:
-    """The distinct words of some rows: their hash buckets and those of their n-grams."""
+    """The distinct words of some rows: their hash buckets and those of their n-grams, by word."""
 
     def __init__(self, words: Words):
-        hashes, first, self.of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        hashes, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.of = of.astype(np.int32)
+        self.word = (hashes & U(ODDS - 1)).astype(np.int32)
         starts, ends = words.starts[first], words.ends[first]
-        self.word = hashes
+        parts = [self._grams(words.data, starts[i : i + _WORDS], ends[i : i + _WORDS], hashes[i : i + _WORDS]) for i in range(0, len(first), _WORDS)]
+        self.gram = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        self.edges = np.cumsum(self.counts) - self.counts
+
+    @staticmethod
+    def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = ends - starts + 2  # with a mark at either end
         begin = np.concatenate([[0], np.cumsum(n)])
         text = np.full(begin[-1], 2, np.uint8)
-        if len(n):
-            inner = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
-            body = (inner > 0) & (inner < np.repeat(n, n) - 1)
-            text[body] = words.data[(np.repeat(starts, n) + inner - 1)[body]]
+        inner = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
+        body = (inner > 0) & (inner < np.repeat(n, n) - 1)
+        text[body] = data[(np.repeat(starts, n) + inner - 1)[body]]
         at, owner = [], []
         values = _BYTES[1][text]
+        word, stop = np.repeat(np.arange(len(n)), n), np.repeat(begin[1:], n)
         for k in GRAMS:
-            fits = np.arange(begin[-1]) + k <= np.repeat(begin[1:], n)
-            where = np.flatnonzero(fits)
+            where = np.flatnonzero(np.arange(begin[-1]) + k <= stop)
             at.append(span_hash(values, where, where + k, 1))
-            owner.append(np.repeat(np.arange(len(n)), n)[where])
+            owner.append(word[where])
         # a word too short for any n-gram is its own
         short = np.flatnonzero(n < GRAMS[0])
         at.append(hashes[short])
         owner.append(short)
         gram, owner = np.concatenate(at), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = gram[order], owner[order]
-        self.edges = np.searchsorted(self.owner, np.arange(len(n)))
-        self.counts = np.bincount(self.owner, minlength=len(n))
+        return (gram[order] & U(ODDS - 1)).astype(np.int32), np.bincount(owner, minlength=len(n))
 
     def inputs(self, model: dict[str, np.ndarray]) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros((0, INPUT), np.float32)
-        grams = np.add.reduceat(model["char"][(self.gram & U(VECTORS - 1)).astype(np.intp)], self.edges, axis=0) / self.counts[:, None]
-        worst = np.maximum.reduceat(model["gram_odds"][(self.gram & U(ODDS - 1)).astype(np.intp)], self.edges)
-        own = model["word_odds"][(self.word & U(ODDS - 1)).astype(np.intp)]
-        return np.concatenate([model["word"][(self.word & U(VECTORS - 1)).astype(np.intp)], grams, worst[:, None], own[:, None]], axis=1).astype(np.float32)
+        out = np.zeros((len(self.word), INPUT), np.float32)
+        for i in range(0, len(out), _WORDS):
+            counts, word = self.counts[i : i + _WORDS], self.word[i : i + _WORDS]
+            edges = self.edges[i : i + _WORDS] - self.edges[i]
+            gram = self.gram[self.edges[i] : self.edges[i] + counts.sum()]
+            part = out[i : i + _WORDS]
+            part[:, :DIM] = model["word"][word & VECTORS - 1]
+            part[:, DIM : 2 * DIM] = np.add.reduceat(model["char"][gram & VECTORS - 1], edges, axis=0) / counts[:, None]
+            part[:, -2] = np.maximum.reduceat(model["gram_odds"][gram], edges)
+            part[:, -1] = model["word_odds"][word]
+        return out
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,8 +240,8 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]
         d, w = doc[own], word[own]
         n = vocabulary.counts[w]
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(vocabulary.edges[w], n)
-        word_texts += _texts(d, vocabulary.word[w] & U(ODDS - 1), kind)
-        gram_texts += _texts(np.repeat(d, n), vocabulary.gram[place] & U(ODDS - 1), kind)
+        word_texts += _texts(d, vocabulary.word[w], kind)
+        gram_texts += _texts(np.repeat(d, n), vocabulary.gram[place], kind)
     size = np.bincount(kind, minlength=4)
     odds = []
     for use in ([2, 3], [0, 1], None):
@@ -276,9 +287,9 @@ def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]
             g, dinput = gradients(local, error, model, kept)
             dinput[dropped] = 0
             g["word"] = np.zeros_like(model["word"])
-            np.add.at(g["word"], (part.word & U(VECTORS - 1)).astype(np.intp), dinput[:, :DIM])
+            np.add.at(g["word"], part.word & VECTORS - 1, dinput[:, :DIM])
             g["char"] = np.zeros_like(model["char"])
-            np.add.at(g["char"], (part.gram & U(VECTORS - 1)).astype(np.intp), (dinput[:, DIM : 2 * DIM] / part.counts[:, None])[part.owner])
+            np.add.at(g["char"], part.gram & VECTORS - 1, np.repeat(dinput[:, DIM : 2 * DIM] / part.counts[:, None], part.counts, axis=0))
             adam.step(g)
     return model | odds[2]
 
@@ -290,7 +301,6 @@ class _Part(Vocabulary):
         n = whole.counts[rows]
         self.word, self.counts = whole.word[rows], n
         self.edges = np.cumsum(n) - n
-        self.owner = np.repeat(np.arange(len(rows)), n)
         self.gram = whole.gram[np.arange(n.sum()) - np.repeat(self.edges, n) + np.repeat(whole.edges[rows], n)]
 
 
