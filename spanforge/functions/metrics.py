@@ -132,4 +132,4 @@ def energy(runs: DataFrame, factors: DataFrame, watts: float) -> DataFrame:
     world = factors.filter("country = 'WORLD'").select(F.col("factor").alias("world"))
     joined = runs.join(F.broadcast(factors), "country", "left").crossJoin(F.broadcast(world))
     kwh = F.col("seconds") * watts / 3.6e6
-    return joined.select(*runs.columns, F.round(kwh, 6).alias("kwh"), F.round(kwh * F.coalesce("factor", "world"), 6).alias("grams"))
+    return joined.select(*runs.columns, F.round(kwh, 9).alias("kwh"), F.round(kwh * F.coalesce("factor", "world"), 9).alias("grams"))
