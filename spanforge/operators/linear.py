@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import macro_f1
+from ..session import ship
+
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
     """(label, weight): n / (k n_label)."""
@@ -50,6 +54,7 @@ def squared_hinge(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: b
     Each round is one aggregation of per-partition gradients of all classes;
     the driver holds only the weight matrix (classes by dimensions).
     """
+    ship(train.sparkSession)
     rows = _weighted(train, balanced).select("label", "weight", "vec").persist()
     labels = sorted(r.label for r in rows.select("label").distinct().collect())
     dim = rows.select(F.size("vec")).first()[0]
@@ -64,8 +69,6 @@ def squared_hinge(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: b
                 grad -= 2 * (short * y).T @ x
                 loss += (short * np.maximum(0, 1 - y * (x @ w.T))).sum(0)
                 gram += float((f["weight"].to_numpy() * (x * x).sum(1)).sum())
-            import pandas as pd
-
             yield pd.DataFrame({"grad": [grad.ravel()], "loss": [float(loss.sum())], "gram": [gram]})
 
         got = rows.mapInPandas(run, "grad array<double>, loss double, gram double").collect()
@@ -102,8 +105,6 @@ def tune_thresholds(probs: DataFrame, rounds: int = 2) -> DataFrame:
             options = spark.createDataFrame([(v, [v if i == at else best[x] for i, x in enumerate(labels)]) for v in grid], "value double, t array<double>")
             crossed = rows.crossJoin(F.broadcast(options)).withColumn("s", F.zip_with("probs", "t", lambda p, t: p - t))
             pairs = crossed.select("value", "gold", F.element_at(F.array(*map(F.lit, labels)), F.array_position("s", F.array_max("s")).cast("int")).alias("pred"))
-            from ..functions.metrics import macro_f1
-
             scored = macro_f1(pairs, ["value"]).collect()
             best[label] = max(scored, key=lambda r: (r.macro_f1, -abs(r.value), -r.value)).value
     rows.unpersist()
