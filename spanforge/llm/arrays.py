@@ -19,7 +19,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text handled at once; work arrays take some 60 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def packed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.zeros(len(words.data) + 1, np.int8)
         np.add.at(keep, words.starts, 1)
         np.add.at(keep, words.ends, -1)
-        inside = np.cumsum(keep[:-1]).astype(bool)
+        inside = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
         slot = np.ones(total, bool)
         slot[starts + n] = False
         out[slot] = words.data[inside]

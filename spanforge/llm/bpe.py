@@ -14,7 +14,7 @@ from functools import cached_property
 
 END = "</w>"
 #: States kept before the graph is dropped and built anew.
-MOST_STATES = 200_000
+MOST_STATES = 120_000
 
 
 def byte_letters() -> dict[str, int]:

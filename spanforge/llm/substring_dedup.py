@@ -40,7 +40,7 @@ GRAM = 8
 #: Anchors met more often than this are dealt out by window.
 HOT = 1000
 #: Text of the segments that one automaton is compiled from.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _NONE = U(0)
 
 
@@ -96,7 +96,7 @@ def _segments(window: int, gram: int):
     """(shard, k, start, stop, text): segments to compare, or words already known as repeats (text null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 21):
+        for b in slices(batches, "text"):
             keys = np.asarray(b.column(KEY))
             words = Words(*buffers(b.column("text")))
             least, _, _ = anchors(words, window, gram)

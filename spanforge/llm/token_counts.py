@@ -27,7 +27,7 @@ CHUNK = 256
 #: Fixed values of the format: white space, and what follows an apostrophe in a contraction.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 
 FRESH, SPACE, LETTERS, NUMBERS, OTHERS, WHITES, ONE_MORE, TWO_MORE = range(8)
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_SPACE, LAST_WHITE, INNER_WHITE = range(8)
