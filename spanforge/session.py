@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,9 +72,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df written as Parquet in the shared folder: lineage ends here and survives lost executors."""
+    """The rows of df written as Parquet in the shared folder: lineage ends here and survives lost executors.
+
+    What was shuffled to make them is not needed any more. Spark deletes it once
+    the driver's JVM has collected its plan, which is asked for here, so that a
+    job of many steps does not keep the shuffles of all of them on disk.
+    """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
