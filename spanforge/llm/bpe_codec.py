@@ -25,7 +25,7 @@ from .arrays import slices
 from .bpe import END, Merges, Transducer, byte_letters
 
 #: Fixed values of the format: its white space and its word pattern.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 MOST_WORDS = 400_000
 #: Texts longer than this are read in pieces of as many words.
