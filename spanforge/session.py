@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "spanforge.shipped"
 
@@ -85,5 +86,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of keys that joins may broadcast: some tens of MB in each executor.
+MOST_BROADCAST_KEYS = 1_000_000
+
+
+def keys_side(keys: DataFrame) -> DataFrame:
+    """A written table of keys for a join: broadcast if its counted rows are within the bound, else for Spark to shuffle."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
