@@ -30,7 +30,6 @@ class Merges:
     def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
-        self.spec = spec
         self.ends = model.get("end_of_word_suffix") == END
         letters = byte_letters()
 
@@ -93,7 +92,7 @@ class Merges:
         """Where the longest end of a text that begins some token starts, and (start, token) of each token that ends it, longest first."""
         got = self._endings.get(text)
         if got is None:
-            if len(self._endings) > 500_000:
+            if len(self._endings) > 100_000:
                 self._endings.clear()
             cut = next(i for i in range(len(text) + 1) if text[i:] in self.prefixes)
             got = self._endings[text] = cut, [(i, t) for i in range(len(text)) if (t := self.ids.get(text[i:])) is not None]
@@ -103,7 +102,7 @@ class Merges:
         """Whether the encoding of a's text and b's text together is a, b."""
         got = self._follows.get((a, b))
         if got is None:
-            if len(self._follows) > 1_000_000:
+            if len(self._follows) > 200_000:
                 self._follows.clear()
             got = self._follows[a, b] = self._boundary_holds(a, b)
         return got
