@@ -7,6 +7,7 @@ Polynomial hashes are taken modulo 2**64 from prefix sums, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a worker for later stages, which need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of the batches with at most `most` bytes in the column, or one row."""
     for batch in batches:
@@ -83,6 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 class Words:

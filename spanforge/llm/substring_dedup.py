@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
-from .arrays import U, Words, buffers, packed, slices, span_hash
+from .arrays import U, Words, buffers, give_back, packed, slices, span_hash
 from .rows import KEY, keyed
 
 WINDOW = 20
@@ -205,6 +205,7 @@ def _shards(window: int):
                 chunk.append((k, start, text))
                 size += len(text)
         yield flush()
+        give_back()
 
     return run
 
