@@ -5,9 +5,11 @@ weighted similarity of 0.8 or more to the item: shared five-word shingles, each
 weighing its number of occurrences, over all of either. Words are in lower case
 and end at SEPARATORS, so punctuation is no part of them.
 
-1. A window so similar shares at least 8/9 of the item's shingles, so a document
-   with fewer is out. A join of all shingle hashes with the items' finds the
-   rest, and on which diagonals (word in document less word in item) they lie.
+1. A window of w shingles so similar to an item of m shares at least
+   4/9 (m + w) of them, so a document with fewer is out. w is m, or all of the
+   document's shingles where it is shorter than the item. A join of all shingle
+   hashes with the items' finds the rest, and on which diagonals (word in
+   document less word in item) they lie.
 2. The windows to judge start within m/9 words of such a diagonal, m being the
    item's shingles: farther off, too many of its shingles lie outside.
 3. Windows and items get 64-bit SimHash fingerprints, cut into RADIUS + 1
@@ -69,6 +71,11 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("item_id", "iw").alias("item"), "item_id", "iw", width.alias("k"), (F.size("iw") - width + 1).alias("m"))
 
 
+def _least(width: Column) -> Column:
+    """Shingles that a window of `width` shingles must share with an item of m for SIMILARITY."""
+    return F.ceil(SIMILARITY * (F.col("m") + width) / (1 + SIMILARITY) - 1e-9).cast("int")
+
+
 def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item, start): windows that may be similar enough. rows has KEY and array w."""
     codes = items.select("item", "k", "m", F.posexplode(_shingles("iw", F.col("k"), True)).alias("at_item", "h"))
@@ -77,14 +84,14 @@ def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     codes = F.broadcast(codes) if some.n <= MOST_BROADCAST else codes
     found = None
     for k in sorted(some.k):  # five, and the lengths of shorter items
-        part = rows.select(KEY, F.posexplode(_shingles("w", int(k), True)).alias("at", "h")).join(codes.filter(F.col("ck") == k), "h")
-        part = part.select(KEY, "item", "m", "at", "at_item")
+        part = rows.select(KEY, (F.size("w") - k + 1).alias("d"), F.posexplode(_shingles("w", int(k), True)).alias("at", "h")).join(codes.filter(F.col("ck") == k), "h")
+        part = part.select(KEY, "item", "m", "d", "at", "at_item")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(KEY, F.lit(0).cast("long").alias("item"), F.lit(0).alias("start")).limit(0)
     slack = F.floor(F.col("m") / 9).cast("int")
-    grouped = found.groupBy(KEY, "item", "m").agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("at") - F.col("at_item")).alias("diagonals"))
-    near = grouped.filter(F.col("n") * 9 >= F.col("m") * 8).select(KEY, "item", slack.alias("slack"), F.explode("diagonals").alias("d"))
+    grouped = found.groupBy(KEY, "item", "m", "d").agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("at") - F.col("at_item")).alias("diagonals"))
+    near = grouped.filter(F.col("n") >= _least(F.least("m", "d"))).select(KEY, "item", slack.alias("slack"), F.explode("diagonals").alias("d"))
     return near.select(KEY, "item", F.explode(F.sequence(F.col("d") - F.col("slack"), F.col("d") + F.col("slack"))).alias("start")).distinct()
 
 

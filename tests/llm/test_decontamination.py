@@ -66,3 +66,18 @@ def test_empty_tables(spark):
     assert d.contaminations(docs.limit(0), items).count() == 0
     assert d.contaminations(docs, items.limit(0)).count() == 0
     assert d.contaminations(docs, items).count() == 1
+
+
+def test_truncated_items(spark):
+    rng = random.Random(5)
+    sizes = [12, 13, 20, 30, 60, 61]
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate(sizes)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for off in range(len(w) // 5 + 2):
+            docs += [(100 * i + 2 * off, " ".join(w[off:])), (100 * i + 2 * off + 1, " ".join(w[: len(w) - off]))]
+    got = d.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert any(r[2] < 0.85 for r in want) and any(r[4] == 11 for r in want)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
