@@ -8,10 +8,9 @@ and end at SEPARATORS, so punctuation is no part of them.
 1. A window of w shingles so similar to an item of m shares at least
    4/9 (m + w) of them, so a document with fewer is out. w is m, or all of the
    document's shingles where it is shorter than the item. A join of all shingle
-   hashes with the items' finds the rest, and on which diagonals (word in
-   document less word in item) they lie.
-2. The windows to judge start within m/9 words of such a diagonal, m being the
-   item's shingles: farther off, too many of its shingles lie outside.
+   hashes with the items' finds the rest, and where item shingles lie.
+2. The windows to judge are those that hold so many item shingles, in whatever
+   order: a sliding count over their places gives each of them once.
 3. Windows and items get 64-bit SimHash fingerprints, cut into RADIUS + 1
    blocks. Fingerprints within RADIUS bits agree in some block, so a join on
    (item, block, value) loses none. At similarity 0.8 some 10 of 64 bits differ,
@@ -78,21 +77,28 @@ def _least(width: Column) -> Column:
 
 def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item, start): windows that may be similar enough. rows has KEY and array w."""
-    codes = items.select("item", "k", "m", F.posexplode(_shingles("iw", F.col("k"), True)).alias("at_item", "h"))
+    codes = items.select("item", "k", "m", F.explode(_shingles("iw", F.col("k"), True)).alias("h")).distinct()
     some = codes.agg(F.count("*").alias("n"), F.collect_set("k").alias("k")).first()
     codes = codes.withColumnRenamed("k", "ck")
     codes = F.broadcast(codes) if some.n <= MOST_BROADCAST else codes
     found = None
     for k in sorted(some.k):  # five, and the lengths of shorter items
         part = rows.select(KEY, (F.size("w") - k + 1).alias("d"), F.posexplode(_shingles("w", int(k), True)).alias("at", "h")).join(codes.filter(F.col("ck") == k), "h")
-        part = part.select(KEY, "item", "m", "d", "at", "at_item")
+        part = part.select(KEY, "item", "m", "d", "at")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(KEY, F.lit(0).cast("long").alias("item"), F.lit(0).alias("start")).limit(0)
-    slack = F.floor(F.col("m") / 9).cast("int")
-    grouped = found.groupBy(KEY, "item", "m", "d").agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("at") - F.col("at_item")).alias("diagonals"))
-    near = grouped.filter(F.col("n") >= _least(F.least("m", "d"))).select(KEY, "item", slack.alias("slack"), F.explode("diagonals").alias("d"))
-    return near.select(KEY, "item", F.explode(F.sequence(F.col("d") - F.col("slack"), F.col("d") + F.col("slack"))).alias("start")).distinct()
+    width = F.least("m", "d")
+    grouped = found.groupBy(KEY, "item", "m", "d").agg(F.sort_array(F.collect_list("at")).alias("p"))
+    many = grouped.filter(F.size("p") >= _least(width)).select(KEY, "item", "p", "d", width.alias("width"), _least(width).alias("c"))
+
+    def starts(i: Column) -> Column:
+        """First and last start of the windows whose first shingle of the item is the i-th found and that hold c of them."""
+        after = F.when(i > 0, F.get("p", i - 1) + 1).otherwise(0)
+        return F.struct(F.greatest(after, F.get("p", i + F.col("c") - 1) - F.col("width") + 1).alias("a"), F.least(F.get("p", i), F.col("d") - F.col("width")).alias("b"))
+
+    ranges = many.select(KEY, "item", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("c")), starts)).alias("r"))
+    return ranges.filter("r.a <= r.b").select(KEY, "item", F.explode(F.sequence("r.a", "r.b")).alias("start"))
 
 
 def matches(rows: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -81,3 +81,19 @@ def test_truncated_items(spark):
     want = brute(docs, items)
     assert any(r[2] < 0.85 for r in want) and any(r[4] == 11 for r in want)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_items_in_another_order(spark):
+    rng = random.Random(6)
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(20):
+        w = some(rng.choice([60, 80, 100]))
+        at = rng.randint(len(w) // 3, 2 * len(w) // 3)
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join(some(rng.randint(5, 90)) + w[at:] + w[:at] + some(rng.randint(5, 90)))))
+    got = d.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert len(want) == 20
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
