@@ -124,7 +124,7 @@ class GaussianPipeline:
     def hierarchy(self, least: float = 0.5) -> DataFrame:
         if self.params is None:
             raise RuntimeError("fit_supervised() comes first")
-        return gmm.inclusion(self.ll, least)
+        return gmm.inclusion(self.ll, gmm.sizes(self.params), least)
 
     def predict(self, mentions: DataFrame, text: str, key: str) -> DataFrame:
         """(key, label, ll, is_ood, runner_ups) of mentions by their text; runner_ups[0] is the winner whatever its domain."""

@@ -1,13 +1,24 @@
-"""Clustering and classification metrics over label pairs, grouped or not, in DataFrame expressions."""
+"""Clustering and classification metrics over label pairs, grouped or not, in DataFrame expressions.
+
+Pairs have columns gold and pred, and where they have a column weight a row
+stands for so many pairs (cells() makes such a table, for several metrics of one
+expensive set of pairs).
+"""
 
 from __future__ import annotations
 
 import math
 from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Label pairs that a resampled contingency table may have.
+MOST_CELLS = 100_000
 _SMALL = list(accumulate((math.log(n) for n in range(1, 17)), initial=0.0))
 
 
@@ -19,8 +30,17 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 16, small).otherwise(series)
 
 
+def cells(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The contingency table as weighted pairs, written once."""
+    return cut(pairs.groupBy(*(by or []), "gold", "pred").agg(_size(pairs).alias("weight")))
+
+
+def _size(pairs: DataFrame) -> Column:
+    return F.sum("weight") if "weight" in pairs.columns else F.count("*")
+
+
 def _sides(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    table = pairs.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
+    table = pairs.groupBy(*by, "gold", "pred").agg(_size(pairs).alias("n")).filter("n > 0")
     gold = table.groupBy(*by, "gold").agg(F.sum("n").alias("a"))
     pred = table.groupBy(*by, "pred").agg(F.sum("n").alias("b"))
     total = table.groupBy(*by).agg(F.sum("n").alias("total"))
@@ -36,7 +56,7 @@ def ami(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     table, gold, pred, total = _sides(pairs, by)
-    on = (lambda left, right: left.join(F.broadcast(right), by)) if by else (lambda left, right: left.crossJoin(F.broadcast(right)))
+    on = (lambda left, right: left.join(right, by)) if by else (lambda left, right: left.crossJoin(F.broadcast(right)))
     n, a, b, t = F.col("n"), F.col("a"), F.col("b"), F.col("total")
     full = on(table.join(gold, [*by, "gold"]).join(pred, [*by, "pred"]), total)
     mi = full.groupBy(*by).agg(F.sum(n / t * F.log(n * t / (a.cast("double") * b))).alias("mi"))
@@ -61,7 +81,63 @@ def ami(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def accuracy(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return pairs.groupBy(*(by or [])).agg(F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 6).alias("accuracy"))
+    weight = F.col("weight") if "weight" in pairs.columns else F.lit(1)
+    right = F.sum(F.when(F.col("gold") == F.col("pred"), weight).otherwise(0))
+    return pairs.groupBy(*(by or [])).agg(F.round(right / _size(pairs), 6).alias("accuracy"))
+
+
+def summary(pairs: DataFrame) -> DataFrame:
+    """One row: ami, accuracy and macro_f1, from one contingency table."""
+    table = cells(pairs)
+    return ami(table).crossJoin(accuracy(table)).crossJoin(macro_f1(table))
+
+
+def in_schema(pairs: DataFrame, declared: list[str], sentinel: str = "OOD") -> DataFrame:
+    """One row: pairs, those whose gold label is declared, predictions of the sentinel, and accuracy over the declared ones alone.
+
+    best is the likeliest label whatever its domain; both accuracies are null
+    where no gold label is declared.
+    """
+    inside = F.col("gold").isin(declared)
+    share = lambda c: F.round(F.avg(F.when(inside, (F.col("gold") == F.col(c)).cast("int"))), 6)
+    return pairs.agg(F.count("*").alias("n_total"), F.count_if(inside).alias("n_in"), F.count_if(F.col("pred") == sentinel).alias("n_ood"), share("pred").alias("accuracy_in"), share("best").alias("accuracy_in_best"))
+
+
+def unknown_recall(pairs: DataFrame, declared: list[str], sentinel: str = "OOD") -> DataFrame:
+    """(gold, n, n_ood, recall) of each gold label that is not declared: the share of it that the sentinel was predicted for."""
+    rows = pairs.filter(~F.col("gold").isin(declared)).groupBy("gold")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("pred") == sentinel).alias("n_ood"), F.round(F.avg((F.col("pred") == sentinel).cast("int")), 6).alias("recall"))
+
+def resamples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, gold, pred, weight): the contingency tables of so many resamples with replacement.
+
+    Drawing n rows of n with replacement is one multinomial draw over the cells
+    of the table, so no row is copied and the work grows with the cells. The table
+    is a row for each pair of labels; a larger one than MOST_CELLS is refused.
+    """
+    table = cells(pairs).orderBy("gold", "pred").limit(MOST_CELLS + 1).toPandas()
+    if len(table) > MOST_CELLS:
+        raise ValueError("too many label pairs to resample")
+    counts = table["weight"].to_numpy(np.int64)
+
+    def draw(batches):
+        for frame in batches:
+            for i in frame["replicate"]:
+                drawn = np.random.default_rng([seed, int(i)]).multinomial(counts.sum(), counts / counts.sum())
+                yield pd.DataFrame({"replicate": i, "gold": table["gold"], "pred": table["pred"], "weight": drawn})
+
+    some = pairs.sparkSession.range(replicates if len(table) else 0).withColumnRenamed("id", "replicate")
+    return some.mapInPandas(draw, "replicate long, gold string, pred string, weight long").filter("weight > 0")
+
+
+def bootstrap(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(metric, mean, std, low, high) of ami and macro_f1 over resamples; low and high are the 2.5 and 97.5 percentiles."""
+    drawn = cut(resamples(pairs, replicates, seed))
+    each = ami(drawn, ["replicate"]).join(macro_f1(drawn, ["replicate"]), "replicate")
+    rows = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("ami", "macro_f1")])).alias("m")).select("m.*")
+    p = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
+    out = rows.groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), p.alias("p"))
+    return out.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
 
 
 def per_label(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,17 +2,24 @@
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D; these bytes never
 occur inside a multi-byte UTF-8 character, so byte positions are safe.
-Polynomial hashes are taken modulo 2**64 from prefix sums, then mixed.
+
+Two kinds of hashes. Words are hashed eight bytes at a time by a function that
+mixes after each step. Spans of a few such hashes are polynomials modulo 2**64
+from prefix sums: quick, but long spans of regular order can collide, so they
+only ever choose what is looked at. Where equality decides, bytes are compared
+or SHA-256 is taken of them.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
@@ -60,6 +67,54 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int =
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Longer words are hashed or compared one by one.
+LANES = 8
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position of data, as a little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
+    """Hash of data[start:end] for every span; different spans of one length up to eight bytes never share one."""
+    eight = octets(data)
+    left = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix((eight[starts] & _MASKS[np.minimum(left, 8)]) ^ U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+        out = mix(out + left.astype(U) * U(0xD6E8FEB86659FD93))
+    for j in range(1, LANES):
+        more = np.flatnonzero(left > 8 * j)
+        if not len(more):
+            break
+        with np.errstate(over="ignore"):
+            part = eight[starts[more] + 8 * j] & _MASKS[np.minimum(left[more] - 8 * j, 8)]
+            out[more] = mix(out[more] * U(0x9FB21C651E98DF25) + U(j) ^ part)
+    long = np.flatnonzero(left > 8 * LANES)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b], k) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span equal those of the span whose number `of` gives."""
+    eight = octets(data)
+    left = ends - starts
+    same = left == left[of]
+    for j in range(LANES):
+        more = np.flatnonzero(same & (left > 8 * j) & (of != np.arange(len(of))))
+        if not len(more):
+            break
+        mask = _MASKS[np.minimum(left[more] - 8 * j, 8)]
+        same[more] = (eight[starts[more] + 8 * j] & mask) == (eight[starts[of[more]] + 8 * j] & mask)
+    for i in np.flatnonzero(same & (left > 8 * LANES) & (of != np.arange(len(of)))).tolist():
+        same[i] = (data[starts[i] : ends[i]] == data[starts[of[i]] : ends[of[i]]]).all()
+    return same
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column, nulls empty, offsets from 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,14 +169,8 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, k: int = 0) -> np.ndarray:
-        """Hash of each word, a stretch of some SLICE_BYTES at a time."""
-        out, at = np.empty(len(self.starts), U), 0
-        while at < len(out):
-            base = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right")))
-            out[at:to] = span_hash(_BYTES[k][self.data[base : self.ends[to - 1]]], self.starts[at:to] - base, self.ends[at:to] - base, k)
-            at = to
-        return out
+        """Hash of each word."""
+        return word_hash(self.data, self.starts, self.ends, k)
 
 
 def packed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,3 +188,29 @@ def packed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slot[starts + n] = False
         out[slot] = words.data[inside]
     return out, starts, starts + n
+
+
+def digests(words: Words) -> list[bytes]:
+    """SHA-256 of the words of each row, joined by one space."""
+    text, starts, ends = packed(words)
+    view, first = memoryview(text), words.first.tolist()
+    return [hashlib.sha256(view[starts[a] : ends[b - 1]] if b > a else b"").digest() for a, b in zip(first[:-1], first[1:])]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 4096) -> Iterator[pa.Table]:
+    """Runs of whole groups of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for whole in batches:
+        for i in range(0, whole.num_rows, most):
+            batch = whole.slice(i, most)
+            columns = [np.asarray(batch.column(k)) for k in keys]
+            end = [c[-1] for c in columns]
+            split = int(np.flatnonzero(np.logical_and.reduce([c == e for c, e in zip(columns, end)]))[0])  # where the last group starts
+            if split or (held and at != end):
+                yield pa.Table.from_batches([*held, batch.slice(0, split)])
+                held = []
+            held.append(batch.slice(split))
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)

@@ -4,7 +4,7 @@ BPE gives every prefix of a word one encoding, and the last token of that
 encoding is the only token t ending there such that t may follow the last token
 of the prefix before t. So reading a word left to right needs only the last
 tokens at the positions where a longer token could still have begun: a finite
-amount, as tokens are of bounded length. States are built when first met.
+amount, as tokens are of bounded length. Nodes and states are made when first met.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import json
 from functools import cached_property
 
 END = "</w>"
-#: States kept before the graph is dropped and built anew.
-MOST_STATES = 120_000
+#: Pairs of tokens that are remembered; at the bound they are dropped, which changes no result.
+MOST_PAIRS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,8 +61,7 @@ class Merges:
         if any(p in self.made and self.made[p][0] > r for r, left, right in self.made.values() for p in (left, right)):
             raise ValueError("the merge list makes a token before its parts")
         self.prefixes = {t[:n] for t in self.ids for n in range(len(t) + 1)}
-        self._follows: dict[tuple[int, int], bool] = {}
-        self._endings: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        self.known: dict[int, bool] = {}
 
     @cached_property
     def longest(self) -> int:
@@ -88,23 +87,11 @@ class Merges:
             most = max(most, here)
         return most
 
-    def endings(self, text: str) -> tuple[int, list[tuple[int, int]]]:
-        """Where the longest end of a text that begins some token starts, and (start, token) of each token that ends it, longest first."""
-        got = self._endings.get(text)
-        if got is None:
-            if len(self._endings) > 100_000:
-                self._endings.clear()
-            cut = next(i for i in range(len(text) + 1) if text[i:] in self.prefixes)
-            got = self._endings[text] = cut, [(i, t) for i in range(len(text)) if (t := self.ids.get(text[i:])) is not None]
-        return got
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether the encoding of a's text and b's text together is a, b."""
-        got = self._follows.get((a, b))
-        if got is None:
-            if len(self._follows) > 200_000:
-                self._follows.clear()
-            got = self._follows[a, b] = self._boundary_holds(a, b)
+    def follows(self, pair: int) -> bool:
+        """Whether the encoding of a's text and b's text together is a, b, for the pair a << 32 | b."""
+        if len(self.known) >= MOST_PAIRS:
+            self.known.clear()
+        got = self.known[pair] = self._boundary_holds(pair >> 32, pair & 0xFFFFFFFF)
         return got
 
     def _edge(self, token: int, side: int) -> list[tuple[float, int]]:
@@ -138,63 +125,32 @@ class Merges:
         return text[:-1] + chr(256 + ord(text[-1])) if self.ends and text else text
 
 
-class State:
-    """What was read: the longest end that begins some token, and for each position in it what leads there."""
-
-    __slots__ = ("tail", "live", "next")
+class Node:
+    """A prefix of some token: where each symbol leads, and (length, token) of the tokens that end there, longest first."""
 
-    def __init__(self, tail: str, live: tuple):
-        self.tail, self.live, self.next = tail, live, {}
+    __slots__ = ("tail", "next", "outs")
 
+    def __init__(self, tail: str, outs: tuple):
+        self.tail, self.next, self.outs = tail, {}, outs
 
-class Transducer:
-    """Deterministic reader of one word's symbols; subclasses say what a position carries and what a step emits."""
 
-    first: object = None
+class Matcher:
+    """Reads symbols and knows the longest end that begins some token: at most a node a prefix of a token, made when first met."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.reset()
-
-    def reset(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.root = self._state("", (self.first,))
+        self.nodes: dict[str, Node] = {}
+        self.root = self._node("")
 
-    def _state(self, tail: str, live: tuple) -> State:
-        got = self.states.get((tail, live))
+    def _node(self, tail: str) -> Node:
+        got = self.nodes.get(tail)
         if got is None:
-            if len(self.states) >= MOST_STATES:
-                self.states = {}
-                self.root = State("", (self.first,))
-                self.states["", (self.first,)] = self.root
-            got = self.states[tail, live] = State(tail, live)
+            ids = self.merges.ids
+            outs = tuple([(len(tail) - i, t) for i in range(len(tail)) if (t := ids.get(tail[i:])) is not None])
+            got = self.nodes[tail] = Node(tail, outs)
         return got
 
-    def _last(self, at: object) -> int | None:
-        """The last token of the encoding at a position, None at the word's start."""
-        raise NotImplementedError
-
-    def _extend(self, at: object, token: int) -> object:
-        raise NotImplementedError
-
-    def _settle(self, live: tuple) -> tuple[object, tuple]:
-        """What no continuation can change any more, and the positions without it."""
-        raise NotImplementedError
-
-    def step(self, state: State, symbol: str) -> tuple[State, object]:
-        got = state.next.get(symbol)
-        if got is None:
-            got = state.next[symbol] = self._step(state, symbol)
+    def step(self, node: Node, symbol: str) -> Node:
+        text, prefixes = node.tail + symbol, self.merges.prefixes
+        got = node.next[symbol] = self._node(next(text[i:] for i in range(len(text) + 1) if text[i:] in prefixes))
         return got
-
-    def _step(self, state: State, symbol: str) -> tuple[State, object]:
-        text, live, follows = state.tail + symbol, state.live, self.merges.follows
-        cut, tokens = self.merges.endings(text)
-        for at, token in tokens:
-            last = self._last(live[at])
-            if last is None or follows(last, token):
-                break
-        else:
-            raise ValueError(f"no token ends after {text!r}")
-        emitted, live = self._settle((*live[cut:], self._extend(live[at], token)))
-        return self._state(text[cut:], live), emitted

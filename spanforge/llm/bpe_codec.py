@@ -1,10 +1,11 @@
 """BPE encoding and decoding as streaming transducers with bounded lookahead.
 
-The encoder reads a word's bytes one by one. Each place where a longer token
-could still have begun leads back to some tokens; what all of them share can no
-longer change and is emitted at once. The merge list's sufficient lookahead
-bounds how long that takes, so memory stays constant however long a word is.
-The decoder is a machine from tokens to bytes to text.
+The encoder reads a word's bytes one by one and keeps the last token of the
+encoding up to each place. A boundary between two tokens can still go only
+within the merge list's sufficient lookahead, so tokens that end so far back are
+stable: they are emitted, and what was kept of them is dropped. Memory stays
+constant however long a word is. The decoder is a machine from tokens to bytes
+to text that holds an unfinished character and nothing else.
 """
 
 from __future__ import annotations
@@ -22,62 +23,101 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrays import slices
-from .bpe import END, Merges, Transducer, byte_letters
+from .bpe import END, Matcher, Merges, byte_letters
 
 #: Fixed values of the format: its white space and its word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: Words that are remembered; at the bound they are dropped, which changes no result.
 MOST_WORDS = 300_000
-#: Texts longer than this are read in pieces of as many words.
+#: Texts longer than this are read in pieces of as many words or tokens.
 PIECE = 1 << 20
 
 
-class Encoder(Transducer):
-    """A position carries its last token and the tokens that lead there since the last that all positions share."""
+class Encoder:
+    """Tokens of a word, each emitted once no symbol to come can change it."""
 
-    first = (None, ())
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.matcher = Matcher(merges)
+        self.lookahead = max(1, merges.lookahead)
+        #: Symbols read before stable tokens are looked for again.
+        self.stretch = 4 * (self.lookahead + merges.longest)
+
+    def stream(self, symbols: str) -> Iterator[list[int]]:
+        """The tokens of one word, some at a time; at most `stretch` places are kept."""
+        tokens, sizes = [-1], [0]  # by place since the last that was emitted
+        node, step, follows, known, stretch = self.matcher.root, self.matcher.step, self.merges.follows, self.merges.known.get, self.stretch
+        for symbol in symbols:
+            node = node.next.get(symbol) or step(node, symbol)
+            here = len(tokens)
+            for size, token in node.outs:
+                before = tokens[here - size]
+                if before < 0:
+                    break
+                holds = known(key := before << 32 | token)
+                if holds or holds is None and follows(key):
+                    break
+            else:
+                raise ValueError(f"no token ends after {node.tail!r}")
+            tokens.append(token)
+            sizes.append(size)
+            if here >= stretch:
+                out, at = self._back(tokens, sizes, here, here - self.lookahead)
+                yield out
+                del tokens[:at], sizes[:at]
+        yield self._back(tokens, sizes, len(tokens) - 1, len(tokens) - 1)[0]
+
+    @staticmethod
+    def _back(tokens: list[int], sizes: list[int], at: int, least: int) -> tuple[list[int], int]:
+        """The tokens up to the last boundary at least or before, on the way back from a place, and that boundary."""
+        while at > least:
+            at -= sizes[at]
+        out, end = [], at
+        while at > 0:
+            out.append(tokens[at])
+            at -= sizes[at]
+        return out[::-1], end
 
-    def _last(self, at):
-        return at[0]
 
-    def _extend(self, at, token):
-        return token, (*at[1], token)
+class TextMachine:
+    """Decodes tokens to text, some at a time; a character comes out with its last byte.
 
-    def _settle(self, live):
-        paths, n = [p for _, p in live], 0
-        for tokens in zip(*paths):
-            if tokens.count(tokens[0]) != len(tokens):
-                break
-            n += 1
-        return (paths[0][:n], tuple([(t, p[n:]) for t, p in live])) if n else ((), live)
+    plain: each token as it is written and a space between two, as the library
+    decodes for a file without a decoder. Else the bytes that tokens stand for,
+    and a space after a word's end.
+    """
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Tokens of one word, each as soon as it is stable."""
-        state = self.root
-        for symbol in symbols:
-            state, stable = state.next.get(symbol) or self.step(state, symbol)
-            yield from stable
-        yield from state.live[-1][1]
+    def __init__(self, merges: Merges, plain: bool = True):
+        letters = byte_letters()
 
+        def piece(written: str) -> bytes:
+            if plain or written in merges.special:
+                return written.encode()
+            final = merges.ends and written.endswith(END)
+            return bytes(letters[c] for c in (written[: -len(END)] if final else written)) + (b" " if final else b"")
 
-class TextMachine:
-    """Decodes tokens to text one at a time; a character comes out with its last byte."""
+        self.pieces = [b""] * (max(merges.written) + 1)
+        for i, t in merges.written.items():
+            self.pieces[i] = piece(t)
+        self.between = b" " if plain else b""
+        self.start()
 
-    def __init__(self, merges: Merges):
-        self.letters = byte_letters()
-        self.merges = merges
+    def start(self) -> None:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.fresh = True
 
-    def feed(self, token: int) -> str:
-        written = self.merges.written[token]
-        if written in self.merges.special:
-            return self.utf8.decode(b"", True) + written
-        final = self.merges.ends and written.endswith(END)
-        data = bytes(self.letters[c] for c in (written[: -len(END)] if final else written))
-        return self.utf8.decode(data, final) + (" " if final else "")
+    def feed(self, tokens: Iterable[int]) -> str:
+        pieces = self.pieces
+        data = self.between.join([pieces[t] for t in tokens])
+        data = data if self.fresh else self.between + data
+        self.fresh = False
+        return self.utf8.decode(data)
 
     def finish(self) -> str:
-        return self.utf8.decode(b"", True)
+        out = self.utf8.decode(b"", True)
+        self.start()
+        return out
 
 
 def normalised(text: str) -> str:
@@ -88,29 +128,24 @@ def normalised(text: str) -> str:
 
 
 class Codec:
-    """Texts to token ids as little-endian 32-bit integers, and such ids to written tokens."""
+    """Texts to token ids as little-endian 32-bit integers, and such ids to text."""
 
     def __init__(self, text: str):
         self.merges = Merges(text)
         self.encoder = Encoder(self.merges)
+        self.machine = TextMachine(self.merges)
         self.known: dict[str, bytes] = {}
         self.splitter = regex.compile("|".join(map(regex.escape, self.merges.special))) if self.merges.special else None
-        self.written = [b""] * (max(self.merges.written) + 1)
-        for i, t in self.merges.written.items():
-            self.written[i] = t.encode()
 
     def word(self, word: str) -> bytes:
         data = word.encode()
-        ids = np.fromiter(self.encoder.stream(self._symbols(data)), np.uint32).astype("<u4").tobytes()
+        ids = b"".join([np.array(some, "<u4").tobytes() for some in self.encoder.stream(self.merges.word(data))])
         if len(data) <= 64:
+            if len(self.known) >= MOST_WORDS:
+                self.known.clear()
             self.known[word] = ids
         return ids
 
-    def _symbols(self, data: bytes) -> Iterator[str]:
-        for b in data[:-1]:
-            yield chr(b)
-        yield chr(256 + data[-1] if self.merges.ends else data[-1])
-
     def _words(self, text: str) -> Iterator[list[str]]:
         """Words of a text without special strings, some at a time."""
         text = normalised(text)
@@ -127,8 +162,6 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         parts: list[bytes] = []
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
         get, at = self.known.get, 0
         found = list(self.splitter.finditer(text)) if self.splitter and "<|" in text else []
         for m in [*found, None]:
@@ -140,9 +173,10 @@ class Codec:
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
-        """The written tokens joined by a space, as the library's decode gives them for a file without a decoder."""
-        written = self.written
-        return b" ".join([written[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()
+        """The machine's text of all tokens, fed PIECE at a time."""
+        numbers = np.frombuffer(ids, "<u4")
+        parts = [self.machine.feed(numbers[at : at + PIECE].tolist()) for at in range(0, len(numbers), PIECE)]
+        return "".join([*parts, self.machine.finish()])
 
 
 @cache

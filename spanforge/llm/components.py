@@ -40,7 +40,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        edges = cut(_small_star(cut(_large_star(edges))))
+        edges = cut(_small_star(_large_star(edges)), edges)
         after = _state(edges)
         if after == state:
             break

@@ -137,13 +137,20 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are judged one by one and the best is returned, so repeated rows change
     nothing; other columns are ignored.
     """
-    rows = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
-    found = matches(rows, benchmark).join(rows.select(KEY, "doc_id"), KEY)
+    rows, key = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    found = matches(rows.select(F.col(key).alias(KEY), "text"), benchmark).join(rows.select(F.col(key).alias(KEY), "doc_id"), KEY)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"), F.col("n_words"))).alias("b"))
     return best.select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).alias("start"), "b.n_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that no benchmark item contaminates."""
-    rows = keyed(docs)
-    return rows.join(matches(rows.select(KEY, "text"), benchmark).select(KEY), KEY, "left_anti").select(docs.columns)
+    """The rows of docs, all columns, that no benchmark item contaminates.
+
+    Each row is judged by itself, so repeated rows stay or go together; null and
+    empty texts stay, very long texts are judged whole. Without items or without
+    documents all rows stay. Other columns stay as they are, whatever their names.
+    """
+    rows, key = keyed(docs)
+    # written, so that Spark sees how few they are
+    gone = cut(matches(rows.select(F.col(key).alias(KEY), "text"), benchmark).select(F.col(KEY).alias(key)).distinct())
+    return rows.join(gone, key, "left_anti").select(docs.columns)

@@ -1,11 +1,19 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-A vector is described by its NEAREST nearest pivots in order. Inverted lists
-hold the vectors of each pivot pair, so two vectors meet where they share two or
-more pivots; of all lists they share, only that of their two first shared pivots
-judges them, by exact cosine. Long lists are judged in blocks, every block with
-every other, so no list gathers in one task and none is capped. A list tells
-counts and a spanning forest, never all its pairs. Equal vectors are one.
+A vector is described by its NEAREST nearest pivots in order. Two vectors are
+candidates if they share LEAST_SHARED of these and the places of the shared ones
+differ little in sum (with NEAREST for each that is not shared).
+
+1. Lists of ids. Vectors that share so many pivots share two of the first
+   NEAREST - LEAST_SHARED + 2 by number, so an inverted list is kept for each
+   pair of pivots there. Lists hold ids and permutations; shared pivots are counted
+   in them, and a pair belongs to the list of its two first shared pivots. Long
+   lists are dealt in blocks, every block with every other, so no list gathers in
+   one task and none is capped. Ids that meet a candidate stay.
+2. Vectors are joined to what stayed, and the candidates there are verified by
+   exact cosine. A list tells counts and a spanning forest, never all its pairs.
+
+Equal vectors are one.
 """
 
 from __future__ import annotations
@@ -19,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
+from .arrays import groups
 from .components import components
 
 LEAST_COSINE = 0.95
-NEAREST = 5
+#: Of NEAREST pivots so many must be shared, at places that differ by so much in sum at most.
+NEAREST, LEAST_SHARED, MOST_MOVED = 6, 4, 24
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 #: The bounded sample that pivots are chosen from.
 SAMPLE_ROWS = 8192
@@ -61,27 +71,43 @@ def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.take_along_axis(top, order, 1).astype(np.int32)
 
 
-def judge(key: int, x: np.ndarray, sets: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows left with the rows right of one list: weights of links by row, and each row's least row reached."""
+def list_keys(perms: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(list, row): the pairs among the first pivots by number of each permutation."""
+    first = np.sort(perms, axis=1)[:, : NEAREST - LEAST_SHARED + 2].astype(np.int64)
+    pairs = list(combinations(range(first.shape[1]), 2)) or [(0, 0)]
+    return np.concatenate([first[:, i] * n_pivots + first[:, j] for i, j in pairs]), np.tile(np.arange(len(perms)), len(pairs))
+
+
+def candidates(key: int, perms: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of the rows left with the rows right that belong to the list, some at a time."""
     a, b = divmod(key, n_pivots)
+    k = perms.shape[1]
+    least = min(LEAST_SHARED, k)
     same = left is right
-    hits_l, hits_r = [], []
-    for at in range(0, len(left), BLOCK):
-        rows = left[at : at + BLOCK]
-        near = x[rows] @ x[right].T >= LEAST_COSINE
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        shared, moved, before = (np.zeros((len(rows), len(right)), np.int16) for _ in range(3))
+        for i in range(k):
+            for j in range(k):
+                equal = perms[rows, i][:, None] == perms[right, j][None, :]
+                shared += equal
+                moved += equal * np.int16(abs(i - j))
+                before += equal & ((perms[rows, i] < b) & (perms[rows, i] != a))[:, None]
+        good = (shared >= least) & (before == 0) & (moved + (k - shared) * k <= MOST_MOVED)
         if same:
-            near &= rows[:, None] < right[None, :]
-        i, j = np.nonzero(near)
-        hits_l.append(rows[i])
-        hits_r.append(right[j])
-    i, j = np.concatenate(hits_l), np.concatenate(hits_r)
-    step = 1 << 18
-    own = np.ones(len(i), bool)
-    for at in range(0, len(i), step):  # a pair belongs to the list of its two first shared pivots
-        p, q = sets[i[at : at + step]], sets[j[at : at + step]]
-        before = (p < b) & (p != a)
-        own[at : at + step] = ~((p[:, :, None] == q[:, None, :]).any(2) & before).any(1)
-    i, j = i[own], j[own]
+            good &= rows[:, None] < right[None, :]
+        i, j = np.nonzero(good)
+        if len(i):
+            yield rows[i], right[j]
+
+
+def judge(key: int, x: np.ndarray, perms: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows left with the rows right of one list: weights of links by row, and each row's least row reached."""
+    hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in candidates(key, perms, left, right, n_pivots):
+        near = np.concatenate([(x[i[at : at + BLOCK]] * x[j[at : at + BLOCK]]).sum(1) for at in range(0, len(i), BLOCK)]) >= LEAST_COSINE
+        hits.append((i[near], j[near]))
+    i, j = (np.concatenate(h) for h in zip(*hits))
     links = np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))
     least = np.arange(len(x))
     while len(i):
@@ -94,78 +120,74 @@ def judge(key: int, x: np.ndarray, sets: np.ndarray, weight: np.ndarray, left: n
     return links.astype(np.int64), least
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of whole groups of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for whole in batches:
-        for i in range(0, whole.num_rows, 4096):
-            batch = whole.slice(i, 4096)
-            columns = [np.asarray(batch.column(k)) for k in keys]
-            end = [c[-1] for c in columns]
-            split = int(np.flatnonzero(np.logical_and.reduce([c == e for c, e in zip(columns, end)]))[0])  # where the last group starts
-            if split or (held and at != end):
-                yield pa.Table.from_batches([*held, batch.slice(0, split)])
-                held = []
-            held.append(batch.slice(split))
-            at = end
-    if held:
-        yield pa.Table.from_batches(held)
+def _blocks(t: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(key, start, end, left, right) of each pair of blocks in rows sorted by key, low and high; left and right count from start."""
+    key, low, high, part = (np.asarray(t.column(c)) for c in ("key", "low", "high", "part"))
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    for a, b in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
+        every = np.arange(b - a)
+        left = every if low[a] == high[a] else every[part[a:b] == low[a]]
+        right = left if low[a] == high[a] else every[part[a:b] == high[a]]
+        if b - a > 1 and len(left) and len(right):
+            yield int(key[a]), a, b, left, right
 
 
-def links(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Rows (node, links, least): some of a vector's link weights, and a vector it reaches. vectors: node, weight, vector."""
-    n_pivots = len(pivots)
+def meetings(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows (key, low, high, part, id): the ids in each pair of blocks of a list that are part of a candidate. vectors: id, vector."""
+    n_pivots, size = len(pivots), pivots.shape[1]
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-    size = pivots.shape[1]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                x = unit(np.asarray(batch.column("vector").flatten()).reshape(-1, size))
-                sets = np.sort(permutations(x, shared.value), axis=1)
-                pairs = list(combinations(range(sets.shape[1]), 2)) or [(0, 0)]
-                key = np.concatenate([sets[:, i].astype(np.int64) * n_pivots + sets[:, j] for i, j in pairs])
-                row = np.tile(np.arange(len(x)), len(pairs))
-                raw = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(row))
-                perm = pa.array([v.tobytes() for v in sets], pa.binary()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node").take(pa.array(row)), batch.column("weight").take(pa.array(row)), raw, perm], ["key", "node", "weight", "x", "sets"])
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["key", "low", "high"]):
-            columns = [np.asarray(t.column(c)) for c in ("key", "low", "high", "part", "weight")]
-            key, low, high, part, weight = columns
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-            ends = np.append(new[1:], len(key))
-            many = ends - new > 1
-            if not many.any():
-                continue
-            x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(len(key), -1)
-            sets = np.frombuffer(b"".join(t.column("sets").to_pylist()), np.int32).reshape(len(key), -1)
-            at, counts, least = [], [], []
-            for a, b in zip(new[many].tolist(), ends[many].tolist()):
-                every = np.arange(b - a)
-                left = every if low[a] == high[a] else every[part[a:b] == low[a]]
-                right = every if low[a] == high[a] else every[part[a:b] == high[a]]
-                if not len(left) or not len(right):
-                    continue
-                c, m = judge(int(key[a]), x[a:b], sets[a:b], weight[a:b], left, right, n_pivots)
+                perms = permutations(unit(np.asarray(batch.column("vector").flatten()).reshape(-1, size)), shared.value)
+                key, row = list_keys(perms, n_pivots)
+                raw = pa.array([p.tobytes() for p in perms.astype("<i2")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(pa.array(row)), raw.take(pa.array(row))], ["key", "id", "perm"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["key", "low", "high"]):
+            perms = np.frombuffer(b"".join(t.column("perm").to_pylist()), "<i2").reshape(t.num_rows, -1)
+            stay = np.zeros(t.num_rows, bool)
+            for key, a, b, left, right in _blocks(t):
+                for i, j in candidates(key, perms[a:b], left, right, n_pivots):
+                    stay[a + i] = stay[a + j] = True
+            yield from t.select(["key", "low", "high", "part", "id"]).filter(pa.array(stay)).to_batches()
+
+    postings = vectors.select("id", "vector").mapInArrow(describe, "key long, id long, perm binary")
+    many = postings.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    dealt = postings.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "perm")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(count, "key long, low int, high int, part int, id long")
+
+
+def links(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows (id, links, least): some of a vector's link weights, and a vector it reaches. vectors: id, weight, vector."""
+    n_pivots, size = len(pivots), pivots.shape[1]
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["key", "low", "high"]):
+            weight = np.asarray(t.column("weight"))
+            x = unit(np.asarray(t.column("vector").combine_chunks().flatten()).reshape(-1, size))
+            perms = permutations(x, shared.value)
+            at, counts, least = ([np.zeros(0, np.int64)] for _ in range(3))
+            for key, a, b, left, right in _blocks(t):
+                c, m = judge(key, x[a:b], perms[a:b], weight[a:b], left, right, n_pivots)
                 hit = np.flatnonzero(c)
                 at.append(a + hit)
                 counts.append(c[hit])
                 least.append(a + m[hit])
-            if at:
-                node = t.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(counts)), node.take(pa.array(np.concatenate(least)))], ["node", "links", "least"])
-
-    postings = vectors.select("node", "weight", "vector").mapInArrow(describe, "key long, node string, weight long, x binary, sets binary")
-    blocks = postings.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1")
-    dealt = postings.join(blocks, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "weight", "x", "sets")
+            ids = t.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(counts)), ids.take(pa.array(np.concatenate(least)))], ["id", "links", "least"])
+
+    met = cut(meetings(vectors, pivots))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(lists, "node string, links long, least string")
+    both = met.join(vectors, "id").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return cut(both.mapInArrow(verify, "id long, links long, least long"), met)
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -188,18 +210,20 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     good = F.coalesce((F.size("vector") == size) & finite, F.lit(False)) if size > 0 else F.lit(False)
     node = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(s), "vector")), 16, "0") for s in (1, 2)])
     rows = rows.select("vec_id", F.when(good, F.col("vector")).alias("vector")).withColumn("node", F.when(F.col("vector").isNotNull(), node))
-    reps = cut(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")))
+    distinct = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.any_value("vector").alias("vector"))
+    reps = cut(distinct.withColumn("id", F.monotonically_increasing_id()))
     sample = [r.vector for r in reps.orderBy("node").limit(SAMPLE_ROWS).select("vector").collect()]
     if not sample:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id").isNotNull(), F.lit(False)).alias("kept"))
     wanted = 1 << max(0, int(np.ceil(np.log2(np.sqrt(reps.count())))))
     pivots = choose_pivots(unit(np.array(sample)), min(max(wanted, LEAST_PIVOTS), MOST_PIVOTS))
-    found = cut(links(reps, pivots))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("least").alias("b"))).select(F.col("id").alias("node"), "component")
-    named = reps.select("node", "first", "weight").join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(ids, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id")
+    found = links(reps.select("id", "weight", "vector"), pivots)
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    named = reps.select("id", "node", "first", "weight").join(counts, "id", "left")
+    named = cut(named.join(components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))), "id", "left").withColumn("component", F.coalesce("component", "id")), reps, found)
+    # written, so that a join with a large component can be split
+    ids = cut(named.groupBy("component").agg(F.min("first").alias("component_id")))
+    named = cut(named.join(ids, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id"), named, ids)
     out = rows.select("vec_id", "node").join(named, "node", "left")
     linked = F.coalesce("links", F.lit(0).cast("long"))
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

@@ -120,26 +120,40 @@ def golay_keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.
     return (np.concatenate(own_key), np.concatenate(own_row)), (np.concatenate(all_key), np.concatenate(all_row))
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between the distinct fingerprints of fps(fp) that differ in 1 to radius bits.
+def _keys(fps: DataFrame, own: bool) -> DataFrame:
+    """Rows (key, fp): the own codewords of each fingerprint's segment pairs, or all their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                fp = np.asarray(batch.column(0)[at : at + 4096])
+                key, row = golay_keys(fp)[0 if own else 1]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
-    All of them up to RADIUS; beyond it those of which two segments differ in a bit at most.
-    """
 
-    def keyed(own: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    fp = np.asarray(batch.column(0)[at : at + 4096])
-                    key, row = golay_keys(fp)[0 if own else 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
+def _distance() -> F.Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
 
-        return run
 
-    own = fps.select("fp").mapInArrow(keyed(True), "key long, fp long").withColumnRenamed("fp", "b")
-    every = fps.select("fp").mapInArrow(keyed(False), "key long, fp long").withColumnRenamed("fp", "a")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return every.alias("e").join(own.hint("shuffle_hash").alias("o"), (F.col("e.key") == F.col("o.key")) & near).select("a", "b").distinct()
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All edges (a, b) between the distinct fingerprints of fps(fp) that differ in 1 to radius bits, RADIUS at most."""
+    own = _keys(fps, True).select(F.col("key").alias("own"), F.col("fp").alias("b"))
+    every = _keys(fps, False).select("key", F.col("fp").alias("a"))
+    return every.join(own, (F.col("key") == F.col("own")) & (F.col("a") < F.col("b")) & (_distance() <= radius)).select("a", "b").distinct()
+
+
+def stars(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """For distinct fingerprints of fps(fp) the edge (a, b) to the nearest smaller one of those that stand for a key.
+
+    The least fingerprint that owns a key stands for it, so there is an edge a
+    fingerprint at most, however many share a key.
+    """
+    centres = _keys(fps, True).groupBy("key").agg(F.min("fp").alias("b")).withColumnRenamed("key", "own")
+    every = _keys(fps, False).select("key", F.col("fp").alias("a"))
+    met = every.join(centres, (F.col("key") == F.col("own")) & (F.col("a") > F.col("b")) & (_distance() <= radius))
+    return met.groupBy("a").agg(F.min(F.struct(_distance().alias("d"), "b")).alias("m")).select("a", "m.b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:

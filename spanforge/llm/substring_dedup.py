@@ -8,7 +8,7 @@ document, or the same document and an earlier start).
    the window's anchor, so equal windows have equal anchors. One pass gives each
    document's anchors; those met only once in the corpus cannot be in a
    repeated window and end here. Documents whose whole word sequence equals an
-   earlier one's are wholly repeated and settled by that alone.
+   earlier one's (by SHA-256) are wholly repeated and settled by that alone.
 2. Segments. Runs of windows with a recurring anchor go, as text, to the shard
    of that anchor. Equal segments of a batch are combined before the shuffle:
    all but the first are repeats. Anchors met very often are dealt out by
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
-from .arrays import U, Words, buffers, give_back, packed, slices, span_hash
+from .arrays import U, Words, buffers, digests, give_back, packed, slices, span_hash
 from .rows import KEY, keyed
 
 WINDOW = 20
@@ -86,8 +86,7 @@ def _profile(window: int, gram: int):
             row, value = row[~same], value[~same]
             offsets = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
-            sides = [span_hash(words.hashes(k), words.first[:-1], words.first[1:], k).view(np.int64) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(KEY), pa.array(words.counts), pa.array(sides[0]), pa.array(sides[1]), lists], ["k", "n", "s1", "s2", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(KEY), pa.array(words.counts), pa.array(digests(words), pa.binary()), lists], ["k", "n", "s", "grams"])
 
     return run
 
@@ -238,22 +237,19 @@ def _without(fields: list[str]):
 
 
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (k, marks): the repeated word ranges of each row of keyed docs that has some.
-
-    The left join of all of docs with the hits looks wasteful, but its exchange
-    is the one that the caller's join with the marks uses again.
-    """
-    profile = cut(docs.select(KEY, "text").mapInArrow(_profile(window, gram), "k long, n long, s1 long, s2 long, grams array<long>").filter(F.col("n") >= window))
-    whole = profile.groupBy("s1", "s2", "n").agg(F.min("k").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    copies = profile.select("k", "n", "s1", "s2").join(whole, ["s1", "s2", "n"]).filter("k <> least").select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
-    copies = cut(copies)
+    """Rows (k, marks), written: the repeated word ranges of each row of docs (KEY, text) that has some."""
+    gram = min(gram, window)
+    profile = cut(docs.mapInArrow(_profile(window, gram), "k long, n long, s binary, grams array<long>").filter(F.col("n") >= window))
+    # written, so that a join with a large group of copies can be split
+    whole = cut(profile.groupBy("s").agg(F.min("k").alias("least"), F.count("*").alias("c")).filter("c > 1").select("s", "least"))
+    copies = cut(profile.select("k", "n", "s").join(whole, "s").filter("k <> least").select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")), whole)
     phrases = profile.join(copies.select("k"), "k", "left_anti").select("k", F.explode("grams").alias("g"))
     recurring = phrases.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
-    hits = phrases.join(recurring, "g").groupBy("k").agg(F.collect_set(F.when(F.col("c") <= HOT, F.col("g"))).alias("often"), F.collect_set(F.when(F.col("c") > HOT, F.col("g"))).alias("hot"))
-    pieces = docs.join(hits, F.col(KEY) == F.col("k"), "left").drop("k").mapInArrow(_segments(window, gram), "shard long, k long, start long, stop long, text binary")
+    hits = cut(phrases.join(recurring, "g").groupBy("k").agg(F.collect_set(F.when(F.col("c") <= HOT, F.col("g"))).alias("often"), F.collect_set(F.when(F.col("c") > HOT, F.col("g"))).alias("hot")), profile)
+    pieces = docs.join(hits, F.col(KEY) == F.col("k")).drop("k").mapInArrow(_segments(window, gram), "shard long, k long, start long, stop long, text binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pieces.repartition(parts, "shard").sortWithinPartitions("shard", "k", "start").mapInArrow(_shards(window), "k long, start long, stop long")
-    return found.unionByName(copies).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
+    return cut(found.unionByName(copies).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("marks")), hits, copies)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -261,17 +257,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of bytes outside 0x20 and 0x09-0x0D, unchanged; kept words
     are joined by one space. A null or empty text has no words and gives an
-    empty text. Rows of one doc_id, repeated rows among them, stand in the order
-    of their texts, so a repeated row counts as a copy of the row before; null
-    ids come first. Other columns stay, but for those named n_words or
-    n_removed, which are replaced. An empty table gives an empty table.
+    empty text. Very long texts are taken whole. Rows of one doc_id, repeated
+    rows among them, stand in the order of their texts, so a repeated row counts
+    as a copy of the row before; null ids come first. Other columns stay,
+    whatever their names, but for those named n_words or n_removed, which are
+    replaced. An empty table gives an empty table.
     """
     ship(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", KEY)]
-    rows = keyed(docs.select(columns))
+    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    rows, key = keyed(docs.select(columns))
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns if c != "text"]).alias("rest")
-    rows = rows.select(KEY, F.col("text").cast("string"), rest)
-    joined = rows.join(marks(rows, window), F.col(KEY) == F.col("k"), "left").select("rest", "text", "marks")
+    rows = rows.select(F.col(key).alias(KEY), F.col("text").cast("string"), rest)
+    joined = rows.join(marks(rows.select(KEY, "text"), window), F.col(KEY) == F.col("k"), "left").select("rest", "text", "marks")
     rest_type = joined.schema["rest"].dataType.simpleString()
     out = joined.mapInArrow(_without(["rest"]), f"rest {rest_type}, text string, n_words long, n_removed long")
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns], "n_words", "n_removed")

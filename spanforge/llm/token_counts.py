@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .arrays import _BYTES, buffers, slices, span_hash
-from .bpe import Merges, Transducer
+from .arrays import buffers, same_bytes, slices, word_hash
+from .bpe import Matcher, Merges, Node
 
 CHUNK = 256
 #: Fixed values of the format: white space, and what follows an apostrophe in a contraction.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-MOST_WORDS = 500_000
+#: Words and states that are kept; at the bound they are dropped, which changes no result.
+MOST_WORDS, MOST_STATES = 500_000, 120_000
 
 FRESH, SPACE, LETTERS, NUMBERS, OTHERS, WHITES, ONE_MORE, TWO_MORE = range(8)
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_SPACE, LAST_WHITE, INNER_WHITE = range(8)
@@ -110,25 +111,55 @@ def pretoken_starts(kinds: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-class Counter(Transducer):
-    """A position carries its last token and its count less that of the newest position."""
+class State:
+    """A node of the matcher, with the last token and the count (less the newest place's) at each place it spans."""
 
-    first = (None, 0)
+    __slots__ = ("node", "tokens", "counts", "next")
 
-    def _last(self, at):
-        return at[0]
+    def __init__(self, node: Node, tokens: tuple, counts: tuple):
+        self.node, self.tokens, self.counts, self.next = node, tokens, counts, {}
 
-    def _extend(self, at, token):
-        return (token, at[1] + 1)
 
-    def _settle(self, live):
-        newest = live[-1][1]
-        return newest, tuple([(t, c - newest) for t, c in live])
+class Counter:
+    """The counting transducer; its transitions say how many tokens they add to the count, or take back."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.matcher = Matcher(merges)
+        self.reset()
+
+    def reset(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.root = State(self.matcher.root, (-1,), (0,))
+
+    def step(self, state: State, symbol: str) -> tuple[State, int]:
+        node = state.node.next.get(symbol) or self.matcher.step(state.node, symbol)
+        known, follows, tokens = self.merges.known, self.merges.follows, state.tokens
+        for size, token in node.outs:
+            before = tokens[-size]
+            if before < 0:
+                break
+            holds = known.get(pair := before << 32 | token)
+            if holds or holds is None and follows(pair):
+                break
+        else:
+            raise ValueError(f"no token ends after {node.tail!r}")
+        more = state.counts[-size] + 1
+        span = len(node.tail) + 1
+        tokens = (*tokens, token)[-span:]
+        counts = tuple([c - more for c in state.counts[1 - span :]]) + (0,) if span > 1 else (0,)
+        if len(self.states) >= MOST_STATES:
+            self.reset()
+        got = self.states.get(key := (tokens, counts, node.tail))
+        if got is None:
+            got = self.states[key] = State(node, tokens, counts)
+        out = state.next[symbol] = got, more
+        return out
 
     def count(self, data: bytes) -> int:
-        state, total = self.root, 0
+        state, total, step = self.root, 0, self.step
         for symbol in self.merges.word(data):
-            state, more = state.next.get(symbol) or self.step(state, symbol)
+            state, more = state.next.get(symbol) or step(state, symbol)
             total += more
         return total
 
@@ -168,19 +199,23 @@ def count_rows(column: pa.Array, text: str) -> tuple[np.ndarray, np.ndarray]:
         starts[a] = True
     begin = byte_at[:-1][starts]
     end = np.append(begin[1:], len(data))
-    _, index, inverse = np.unique(span_hash(_BYTES[0][data], begin, end), return_index=True, return_inverse=True)
-    counts = np.empty(len(index), np.int64)
+    _, index, inverse = np.unique(word_hash(data, begin, end), return_index=True, return_inverse=True)
     if len(known) > MOST_WORDS:
         known.clear()
-    for i, (a, b) in enumerate(zip(begin[index].tolist(), end[index].tolist())):
-        word = raw[a:b]
+
+    def count(at: int) -> int:
+        word = raw[begin[at] : end[at]]
         n = known.get(word)
         if n is None:
             n = 1 if word.decode("latin-1") in counter.merges.special else counter.count(word)
-            if b - a <= 64:
+            if len(word) <= 64:
                 known[word] = n
-        counts[i] = n
-    sums = np.concatenate([[0], np.cumsum(counts[inverse])])
+        return n
+
+    counts = np.array([count(i) for i in index.tolist()], np.int64)[inverse]
+    for i in np.flatnonzero(~same_bytes(data, begin, end, index[inverse])).tolist():  # another word of the same hash
+        counts[i] = count(i)
+    sums = np.concatenate([[0], np.cumsum(counts)])
     first = np.searchsorted(begin, offsets)
     return sizes, np.diff(sums[first])
 

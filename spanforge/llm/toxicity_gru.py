@@ -1,11 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Windows of WINDOW words, each overlapping the next, cover the whole text; a
-text's score is that of its worst window. A word's input is made of a learned
-word vector, the mean of learned vectors of its character n-grams, and how much
-likelier the word and its likeliest n-gram are in toxic texts of the sample.
-Two recurrent passes read the window; attention weighs their states, and those two
-likelihoods, into one.
+text's score is that of its worst window. A word's input is a learned vector of
+the word and the maxima of learned vectors of its character n-grams. Two recurrent
+passes read the window and attention weighs their states into one, which alone
+gives the score. All is learned together from the labels.
 """
 
 from __future__ import annotations
@@ -24,16 +23,15 @@ from .nn import Adam, sigmoid
 
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, ATTEND = 8, 8, 8
-INPUT = 2 * DIM + 2
-STATE = 2 * HIDDEN + 2  # both passes' states and the two shares of toxic texts
+INPUT, STATE = 2 * DIM, 2 * HIDDEN
 GRAMS = (4, 5, 6, 7)
-VECTORS, ODDS = 1 << 13, 1 << 20
+WORD_VECTORS, CHAR_VECTORS = 1 << 16, 1 << 15
 #: The bounded sample that the network is fitted on: rows labelled 0 and 1, and windows of each, evenly spaced.
 SAMPLE_ROWS, SAMPLE_WINDOWS = (3000, 1200), 24
-EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 300, 128, 2e-2
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 10, 300, 128, 1e-2, 0.005
+#: Words of a batch whose own vector is left out, and how much likelier a worse window is drawn.
+DROPPED, SHARPNESS = 0.5, 2.0
 TOXIC_WEIGHT = 2
-#: Toxic texts of the sample that a word or n-gram must occur in to count as evidence.
-LEAST_TEXTS, SHRINK = 4, 8
 MODULUS, REMAINDER = 5, 0
 _BLOCK = 4096
 _WORDS = 1 << 14
@@ -45,7 +43,7 @@ class Vocabulary:
     def __init__(self, words: Words):
         hashes, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.of = of.astype(np.int32)
-        self.word = (hashes & U(ODDS - 1)).astype(np.int32)
+        self.word = (hashes & U(WORD_VECTORS - 1)).astype(np.int32)
         starts, ends = words.starts[first], words.ends[first]
         parts = [self._grams(words.data, starts[i : i + _WORDS], ends[i : i + _WORDS], hashes[i : i + _WORDS]) for i in range(0, len(first), _WORDS)]
         self.gram = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
@@ -73,7 +71,7 @@ class Vocabulary:
         owner.append(short)
         gram, owner = np.concatenate(at), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        return (gram[order] & U(ODDS - 1)).astype(np.int32), np.bincount(owner, minlength=len(n))
+        return (gram[order] & U(CHAR_VECTORS - 1)).astype(np.int32), np.bincount(owner, minlength=len(n))
 
     def inputs(self, model: dict[str, np.ndarray]) -> np.ndarray:
         out = np.zeros((len(self.word), INPUT), np.float32)
@@ -82,10 +80,8 @@ class Vocabulary:
             edges = self.edges[i : i + _WORDS] - self.edges[i]
             gram = self.gram[self.edges[i] : self.edges[i] + counts.sum()]
             part = out[i : i + _WORDS]
-            part[:, :DIM] = model["word"][word & VECTORS - 1]
-            part[:, DIM : 2 * DIM] = np.add.reduceat(model["char"][gram & VECTORS - 1], edges, axis=0) / counts[:, None]
-            part[:, -2] = np.maximum.reduceat(model["gram_odds"][gram], edges)
-            part[:, -1] = model["word_odds"][word]
+            part[:, :DIM] = model["word"][word]
+            part[:, DIM:] = np.maximum.reduceat(model["char"][gram], edges, axis=0)
         return out
 
 
@@ -131,7 +127,7 @@ def network(inputs: np.ndarray, index: np.ndarray, model: dict[str, np.ndarray],
     kept_f, kept_b = ([], []) if keep is not None else (None, None)
     hf = _pass(ahead, mask, model["uf"], model["cf"], kept_f)
     hb = _pass(back, mask[::-1], model["ub"], model["cb"], kept_b)[::-1]
-    h = np.concatenate([hf, hb, padded[index.T][:, :, -2:]], axis=2)
+    h = np.concatenate([hf, hb], axis=2)
     a = np.tanh(h @ model["wa"] + model["ba"])
     e = np.exp(np.clip(a @ model["va"], -30, 30)) * mask[:, :, 0]
     alpha = e / np.maximum(e.sum(0), 1e-9)
@@ -174,7 +170,7 @@ def gradients(index: np.ndarray, error: np.ndarray, model: dict[str, np.ndarray]
     g["ba"] = da.sum((0, 1))
     dh = dh + da @ model["wa"].T
     dinput = np.zeros_like(kept["padded"])
-    for side, part, order in (("f", dh[:, :, :HIDDEN], index.T), ("b", dh[::-1, :, HIDDEN : 2 * HIDDEN], index.T[::-1])):
+    for side, part, order in (("f", dh[:, :, :HIDDEN], index.T), ("b", dh[::-1, :, HIDDEN:], index.T[::-1])):
         m = mask if side == "f" else mask[::-1]
         dx, g["u" + side], g["c" + side] = _pass_back(part, m, model["u" + side], kept[side])
         rows = np.zeros((len(kept["padded"]), 3 * HIDDEN), np.float32)
@@ -204,94 +200,63 @@ def scores(column: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
 
 def initial(y: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    model = {"word": (VECTORS, DIM), "char": (VECTORS, DIM), "wf": (INPUT, 3 * HIDDEN), "wb": (INPUT, 3 * HIDDEN), "uf": (HIDDEN, 3 * HIDDEN), "ub": (HIDDEN, 3 * HIDDEN), "wa": (STATE, ATTEND), "va": ATTEND, "wo": STATE}
+    model = {"word": (WORD_VECTORS, DIM), "char": (CHAR_VECTORS, DIM), "wf": (INPUT, 3 * HIDDEN), "wb": (INPUT, 3 * HIDDEN), "uf": (HIDDEN, 3 * HIDDEN), "ub": (HIDDEN, 3 * HIDDEN), "wa": (STATE, ATTEND), "va": ATTEND, "wo": STATE}
     model = {k: rng.normal(0, 0.05 if k in ("word", "char") else 0.3, s).astype(np.float32) for k, s in model.items()}
-    model |= {k: np.zeros(s, np.float32) for k, s in {"bf": 3 * HIDDEN, "bb": 3 * HIDDEN, "cf": HIDDEN, "cb": HIDDEN, "ba": ATTEND, "word_odds": ODDS, "gram_odds": ODDS}.items()}
+    model |= {k: np.zeros(s, np.float32) for k, s in {"bf": 3 * HIDDEN, "bb": 3 * HIDDEN, "cf": HIDDEN, "cb": HIDDEN, "ba": ATTEND}.items()}
     return model | {"bo": np.array([np.log((y.sum() + 1) / ((1 - y).sum() + 1))], np.float32)}
 
 
-def _texts(doc: np.ndarray, bucket: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Texts of each of four kinds that each bucket occurs in; a text's buckets must come together."""
-    pairs = np.unique(doc.astype(np.int64) << 20 | bucket.astype(np.int64))
-    return np.bincount(kind[pairs >> 20] << 20 | pairs & (ODDS - 1), minlength=4 * ODDS).reshape(4, ODDS)
-
-
-def _odds(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
-    """How much likelier a bucket is in toxic texts, by the texts it occurs in; 0 where there is too little evidence."""
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 1.5) / (n_clean + 3))
-    return np.where((toxic >= LEAST_TEXTS) & (odds > 0), odds * toxic / (toxic + SHRINK) / 2, 0).astype(np.float32)
-
-
 def fit(texts: pa.Array, y: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Train on texts with labels y; a text is learned by its worst window, and clean texts by another one too."""
+    """Train on texts with labels y.
+
+    Each epoch a text is learned by one window, drawn the likelier the worse its
+    windows look, at last the worst, and a clean text by any other one too.
+    """
     rng = np.random.default_rng(seed)
     model = initial(y, seed)
     data, offsets = buffers(texts)
     words = Words(LOWER[data], offsets)
     vocabulary = Vocabulary(words)
-    seen = np.unique(words.row << 32 | vocabulary.of)  # each word of a text once
-    doc, word = seen >> 32, seen & 0xFFFFFFFF
-    # texts of either half are learned with the likelihoods of the other, or they would seem surer than those of new texts
-    half = rng.integers(0, 2, len(y))
-    kind = 2 * half + (y == 1)
-    word_texts, gram_texts = np.zeros((2, 4, ODDS), np.int64)
-    for at in range(0, len(y), 100):
-        own = slice(*np.searchsorted(doc, [at, at + 100]))
-        d, w = doc[own], word[own]
-        n = vocabulary.counts[w]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(vocabulary.edges[w], n)
-        word_texts += _texts(d, vocabulary.word[w], kind)
-        gram_texts += _texts(np.repeat(d, n), vocabulary.gram[place], kind)
-    size = np.bincount(kind, minlength=4)
-    odds = []
-    for use in ([2, 3], [0, 1], None):
-        texts = [t[use] if use else t[:2] + t[2:] for t in (word_texts, gram_texts)]
-        n = size[use] if use else size[:2] + size[2:]
-        odds.append({"word_odds": _odds(*texts[0], *n), "gram_odds": _odds(*texts[1], *n)})
-    del word_texts, gram_texts
     starts, sizes, before = windows(words.counts)
     picked = [np.unique(np.linspace(p, q - 1, min(q - p, SAMPLE_WINDOWS)).astype(np.int64)) for p, q in zip(before[:-1], before[1:])]
     first = np.concatenate([[0], np.cumsum([len(p) for p in picked])])
     picked = np.concatenate(picked)
     index = _index(vocabulary.of, starts[picked], sizes[picked])
-    adam = Adam({k: v for k, v in model.items() if not k.endswith("odds")}, RATE, 0.02)
+    adam = Adam(model, RATE, DECAY)
     epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - 0.95 * epoch / epochs)
-        logits = np.empty(len(index))
-        for f in (0, 1):
-            inputs = vocabulary.inputs(model | odds[f])
-            own = np.flatnonzero(np.repeat(half == f, np.diff(first)))
-            for i in range(0, len(own), _BLOCK):
-                logits[own[i : i + _BLOCK]] = network(inputs, index[own[i : i + _BLOCK]], model)
-        worst = np.array([p + int(np.argmax(logits[p:q])) for p, q in zip(first[:-1], first[1:])])
+        inputs = vocabulary.inputs(model)
+        logits = np.concatenate([network(inputs, index[i : i + _BLOCK], model) for i in range(0, len(index), _BLOCK)]).astype(np.float64)
+        luck = rng.gumbel(size=len(logits)) * max(0.0, 1 - 2 * epoch / epochs)
+        drawn = np.array([p + int(np.argmax(logits[p:q] * SHARPNESS + luck[p:q])) for p, q in zip(first[:-1], first[1:])])
         other = rng.integers(first[:-1], first[1:])
         order = rng.permutation(len(y))
-        order = [(f, o[at : at + BATCH]) for f in (0, 1) for o in [order[half[order] == f]] for at in range(0, len(o), BATCH)]
-        for b in rng.permutation(len(order)):
-            f, docs = order[b]
+        for at in range(0, len(order), BATCH):
+            docs = order[at : at + BATCH]
             clean = docs[y[docs] == 0]
-            own = np.concatenate([worst[docs], other[clean]])
+            own = np.concatenate([drawn[docs], other[clean]])
             target = np.concatenate([y[docs], np.zeros(len(clean))])
             used, local = np.unique(index[own], return_inverse=True)
             shift = int(len(used) > 0 and used[0] == -1)
-            some = used[shift:]
             local = local.reshape(index[own].shape) - shift
-            part = _Part(vocabulary, some)
+            part = _Part(vocabulary, used[shift:])
             kept: dict = {}
-            x = part.inputs(model | odds[f])
-            dropped = rng.random(len(x)) < 0.5  # so that words of the sample are not learned by heart
-            x[dropped, : 2 * DIM] = 0
+            x = part.inputs(model)
+            dropped = rng.random(len(x)) < DROPPED  # so that characters count as well, not words learned by heart
+            x[dropped, :DIM] = 0
             p = sigmoid(network(x, local, model, kept))
             error = ((p - target) * np.where(target > 0, TOXIC_WEIGHT, 1) / len(target)).astype(np.float32)
             g, dinput = gradients(local, error, model, kept)
-            dinput[dropped] = 0
+            dinput[dropped, :DIM] = 0
             g["word"] = np.zeros_like(model["word"])
-            np.add.at(g["word"], part.word & VECTORS - 1, dinput[:, :DIM])
+            np.add.at(g["word"], part.word, dinput[:, :DIM])
             g["char"] = np.zeros_like(model["char"])
-            np.add.at(g["char"], part.gram & VECTORS - 1, np.repeat(dinput[:, DIM : 2 * DIM] / part.counts[:, None], part.counts, axis=0))
+            owner = np.repeat(np.arange(len(x)), part.counts)
+            vectors = model["char"][part.gram]
+            np.add.at(g["char"], part.gram, dinput[owner, DIM:] * (vectors == np.maximum.reduceat(vectors, part.edges, axis=0)[owner]))
             adam.step(g)
-    return model | odds[2]
+    return model
 
 
 class _Part(Vocabulary):
@@ -306,6 +271,7 @@ class _Part(Vocabulary):
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Fit on the bounded sample, of which each text gives SAMPLE_WINDOWS windows; only those come to the driver."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 REGULARISE = 1e-4
+#: Spread of the components around an anchor.
+JITTER = 0.05
 
 
 def diagonal(vectors: DataFrame) -> DataFrame:
@@ -40,17 +42,22 @@ def classify(ll: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     return best.join(F.broadcast(limits), "label", "left").withColumn("is_ood", F.coalesce(F.round("ll", 4) < F.round("threshold", 4), F.lit(False)))
 
 
-def inclusion(ll: DataFrame, least: float = 0.5) -> DataFrame:
+def inclusion(ll: DataFrame, bubbles: DataFrame, least: float = 0.5) -> DataFrame:
     """(child, parent, fraction): labels of which at least that share of points lies above the parent's own median likelihood.
 
-    ll holds every point's likelihood under every label, so label pairs arise
-    from one aggregation and no self join of labels is needed.
+    Where two labels include each other the larger bubble is the parent, and of
+    equal ones each is. ll holds every point's likelihood under every label, so
+    label pairs arise from one aggregation and no self join of points is needed.
     """
     medians = ll.filter("gold = label").groupBy("label").agg(F.percentile("ll", F.lit(0.5)).alias("median"))
     over = ll.filter("gold <> label").join(F.broadcast(medians), "label")
-    share = F.avg((F.round("ll", 4) > F.round("median", 4)).cast("int"))
-    out = over.groupBy(F.col("gold").alias("child"), F.col("label").alias("parent")).agg(share.alias("fraction"))
-    return out.withColumn("fraction", F.round("fraction", 6)).filter(F.col("fraction") >= least)
+    share = F.round(F.avg((F.round("ll", 4) > F.round("median", 4)).cast("int")), 6)
+    shares = over.groupBy(F.col("gold").alias("child"), F.col("label").alias("parent")).agg(share.alias("fraction"))
+    back = shares.select(F.col("parent").alias("child"), F.col("child").alias("parent"), F.col("fraction").alias("back"))
+    side = lambda s: bubbles.select(F.col("label").alias(s), F.round("size", 6).alias(f"size_{s}"))
+    both = shares.join(back, ["child", "parent"], "left").join(side("child"), "child").join(side("parent"), "parent")
+    kept = (F.col("fraction") >= least) & ((F.coalesce("back", F.lit(0.0)) < least) | (F.col("size_parent") >= F.col("size_child")))
+    return both.filter(kept).select("child", "parent", "fraction")
 
 
 def sizes(params: DataFrame) -> DataFrame:
@@ -62,7 +69,10 @@ def em(x: np.ndarray, k: int, rounds: int, seed: int, start: np.ndarray | None =
     """Weights, means and variances of a diagonal mixture; k is at most the number of points."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
-    mean = x[rng.choice(len(x), k, replace=False)] if start is None else start + rng.normal(0, 0.05, (k, x.shape[1]))
+    if start is None:
+        mean = x[rng.choice(len(x), k, replace=False)]
+    else:  # the anchor itself, and others around it
+        mean = start + np.concatenate([np.zeros((1, x.shape[1])), rng.normal(0, JITTER, (k - 1, x.shape[1]))])
     var = np.tile(x.var(0) + REGULARISE, (k, 1))
     weight = np.full(k, 1 / k)
     last = -np.inf
@@ -98,6 +108,34 @@ def fit_mixtures(vectors: DataFrame, k: int, rounds: int = 200, seed: int = 42,
     return some.select("label", "vec", "h").groupBy("label").applyInPandas(fit, "label string, component int, weight double, mean array<double>, var array<double>")
 
 
+def fit_anchored(vectors: DataFrame, anchors: DataFrame, k: int, rounds: int = 200, seed: int = 42, most: int = 20_000) -> DataFrame:
+    """(label, component, weight, mean, var): for each label of anchors (label, vec) a mixture of all vectors, begun at the label's anchor.
+
+    No vector has a label; the start alone tells the mixtures apart. They are
+    fitted on one bounded sample, at most `most` vectors of least hash, and a label
+    is a task.
+    """
+    ship(vectors.sparkSession)
+    rows = vectors.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(most).collect()
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in rows], float))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        w, m, v = em(shared.value, k, rounds, seed, np.array(frame["vec"].iloc[0], float))
+        return pd.DataFrame({"label": frame["label"].iloc[0], "component": range(len(w)), "weight": w, "mean": list(m), "var": list(v)})
+
+    if not rows:
+        raise ValueError("no vectors to fit on")
+    return anchors.select("label", "vec").groupBy("label").applyInPandas(fit, "label string, component int, weight double, mean array<double>, var array<double>")
+
+
+def assigned_thresholds(ll: DataFrame, key: str, quantile: float = 0.05) -> DataFrame:
+    """(label, threshold): the quantile of the likelihoods of the points that a label wins; a label that wins none has that of all its points."""
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("ll", 4)), "label")
+    ranked = ll.withColumn("rank", F.row_number().over(order))
+    own = F.percentile(F.when(F.col("rank") == 1, F.col("ll")), F.lit(quantile))
+    return ranked.groupBy("label").agg(F.coalesce(own, F.percentile("ll", F.lit(quantile))).alias("threshold"))
+
+
 def score_mixtures(vectors: DataFrame, mixtures: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, label, ll) by log-sum-exp over components; mixtures are a few rows per label, so they are broadcast."""
     comp = mixtures.groupBy("label").agg(F.collect_list(F.struct("weight", "mean", "var")).alias("c"))

@@ -103,7 +103,8 @@ def merge_last_wins(spark, sf_dir):
 
 
 def resume_todo(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    """What has no finished urgent order yet."""
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
     return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -143,20 +144,9 @@ def bracket_pairing(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    """Mean, deviation and percentile interval of accuracy over resamples.
-
-    A replicate of n draws with replacement is a multinomial over the cells of
-    the contingency table; each cell's count is Poisson by its hash, so no row is
-    copied and the work grows with cells, not rows.
-    """
+    """Mean, deviation and percentile interval of AMI and macro-F1 over resamples of the typed pairs."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("gold"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).otherwise(F.col("l_returnflag")).alias("pred"))
-    cells = pairs.groupBy("gold", "pred").agg(F.count("*").alias("n"))
-    u = lambda s: (F.pmod(F.xxhash64("replicate", "gold", "pred", F.lit(s)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    drawn = cells.crossJoin(spark.range(1000).withColumnRenamed("id", "replicate")).withColumn("k", F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal)))
-    per = drawn.groupBy("replicate").agg((F.sum(F.when(F.col("gold") == F.col("pred"), F.col("k")).otherwise(0.0)) / F.sum("k")).alias("accuracy"))
-    p = F.percentile("accuracy", F.array(F.lit(0.025), F.lit(0.975)))
-    return per.agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"), p.alias("p")).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    return metrics.bootstrap(pairs, 1000, 42)
 
 
 QUERIES = {f.__name__: f for f in (latency_percentiles, energy_tdp, mean_std_over_seeds, complete_only_mean, available_mean, common_dataset_mean, two_level_means, pivot_models, unpivot_models, best_column, delta_vs_reference, gap_analysis, latest_per_key, merge_last_wins, resume_todo, declared_labels_only, entity_distribution, nested_spans, first_n_kept, bracket_pairing, bootstrap_ci)}
@@ -177,7 +167,7 @@ ORACLES = {
     "gap_analysis": f"WITH {_WIDE} SELECT CASE WHEN dataset < 5 THEN 'low' ELSE 'high' END AS half, round(avg(m_a - m_n), 6) AS gap FROM w GROUP BY 1",
     "latest_per_key": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "merge_last_wins": "WITH u AS (SELECT o_custkey AS key, o_orderstatus AS value, 0 AS source FROM orders UNION ALL SELECT c_custkey, c_mktsegment, 1 FROM customer WHERE c_custkey % 3 = 0) SELECT key, source, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source DESC, value DESC) AS r FROM u) WHERE r = 1",
-    "resume_todo": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "resume_todo": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
     "declared_labels_only": "SELECT lang, count(CASE WHEN ok THEN 1 END) AS kept, count(CASE WHEN NOT ok THEN 1 END) AS dropped FROM (SELECT lang, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS ok FROM documents) GROUP BY lang",
     "entity_distribution": "SELECT p_type AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 6) AS share FROM part GROUP BY p_type",
     "nested_spans": "WITH r AS (SELECT l_orderkey AS sent_id, l_partkey % 9 AS s, l_partkey % 9 + l_linenumber AS e, l_returnflag AS label FROM lineitem) SELECT sent_id, string_agg(s || ':' || e || ':' || label, ',' ORDER BY s, e, label) AS spans FROM r GROUP BY sent_id",

@@ -11,6 +11,9 @@ from ..session import table
 
 BETAS = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0]
 THRESHOLDS = [0.05, 0.1, 0.2, 0.3, 0.5]
+PARTS = 8
+LEAST_INCLUDED = 0.45
+DECLARED = ["0", "1", "2", "3", "4", "5", "6"]
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +60,9 @@ def cosine_matrix(spark, sf_dir):
 
 
 def multi_proto_maxsim(spark, sf_dir):
-    protos = _train(spark, sf_dir).filter("vec_id % 10 in (1, 2)").select("label", "vec")
+    """Each label has PARTS prototypes, the centroids of its training vectors dealt by id."""
+    part = F.concat_ws("#", "label", F.floor(F.col("vec_id") / 5) % PARTS)
+    protos = vectors.centroids(_train(spark, sf_dir).select(part.alias("label"), "vec")).withColumn("label", F.substring_index("label", "#", 1))
     return vectors.similarities(_test(spark, sf_dir), protos, ["vec_id"]).select("vec_id", "label", F.round("sim", 6).alias("sim"))
 
 
@@ -148,8 +153,36 @@ def ood_rate(spark, sf_dir):
     return rows.groupBy("gold").agg(F.count("*").alias("n"), F.round(F.avg(F.col("is_ood").cast("int")), 6).alias("ood_rate"))
 
 
+def _open_world(spark, sf_dir):
+    """(gold, pred, best): a typer that was shown the declared labels alone; pred is OOD below its label's threshold."""
+    train = _train(spark, sf_dir).filter(F.col("label").isin(DECLARED))
+    params = gmm.diagonal(train)
+    limits = gmm.thresholds(gmm.log_likelihood(train.withColumnRenamed("label", "gold"), params, ["gold"]))
+    found = gmm.classify(gmm.log_likelihood(_test(spark, sf_dir), params, ["vec_id", "gold"]), limits, "vec_id")
+    return found.select("gold", F.when(F.col("is_ood"), "OOD").otherwise(F.col("label")).alias("pred"), F.col("label").alias("best"))
+
+
+def in_schema_accuracy(spark, sf_dir):
+    return metrics.in_schema(_open_world(spark, sf_dir), DECLARED)
+
+
+def unknown_label_recall(spark, sf_dir):
+    return metrics.unknown_recall(_open_world(spark, sf_dir), DECLARED)
+
+
+def gmm_anchored_predict(spark, sf_dir):
+    """Mixtures of all training vectors, begun at each label's centroid; nothing else of the labels is used."""
+    train = _train(spark, sf_dir)
+    mixtures = gmm.fit_anchored(train, vectors.centroids(train), 3)
+    scored = gmm.score_mixtures(_test(spark, sf_dir), mixtures, ["vec_id", "gold"]).withColumnRenamed("ll", "sim")
+    return vectors.best_label(scored, ["vec_id"]).select("vec_id", "gold", F.col("label").alias("pred"))
+
+
 def empirical_hierarchy(spark, sf_dir):
-    return gmm.inclusion(_ll(spark, sf_dir, _train(spark, sf_dir).withColumnRenamed("label", "gold")), 0.45)
+    """Line kinds as labels, quantity and discount as two dimensions: bubbles that overlap."""
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("label"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount") * 100.0).alias("vec"))
+    params = gmm.diagonal(rows)
+    return gmm.inclusion(gmm.log_likelihood(rows.withColumnRenamed("label", "gold"), params, ["gold"]), gmm.sizes(params), LEAST_INCLUDED)
 
 
 def bubble_size(spark, sf_dir):
@@ -278,7 +311,7 @@ def align_full_outer(spark, sf_dir):
 
 def aligned_metrics(spark, sf_dir):
     pairs = align.align(_gold_spans(spark, sf_dir), _pred_spans(spark, sf_dir), SPAN)
-    return metrics.ami(pairs).crossJoin(metrics.accuracy(pairs)).crossJoin(metrics.macro_f1(pairs))
+    return metrics.summary(pairs)
 
 
 def matched_offsets(spark, sf_dir):
@@ -292,15 +325,14 @@ def detection_recall_sweep(spark, sf_dir):
 
 def flagship_zero_shot_typing(spark, sf_dir):
     """Centroids, cosine, argmax, then the metrics, in one plan."""
-    pairs = _typed(spark, sf_dir)
-    return metrics.ami(pairs).crossJoin(metrics.accuracy(pairs)).crossJoin(metrics.macro_f1(pairs))
+    return metrics.summary(_typed(spark, sf_dir))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         flagship_zero_shot_typing, l2_normalize, matryoshka_truncate, label_centroids, cosine_matrix, multi_proto_maxsim, class_calibration, nearest_centroid, refine_1_iter, refine_3_iter, detector_fusion, beta_sweep, runner_ups_top3,
-        knn_cosine_15, dim_sweep, balanced_weights, gmm_k1_diag_params, gmm_k1_loglik, ood_thresholds, ood_predict, ood_rate, empirical_hierarchy, bubble_size, loglik_summary, gmm_k3_predict, linear_svc, logreg, threshold_rule, threshold_tuning, kfold_assign, out_of_fold,
+        knn_cosine_15, dim_sweep, balanced_weights, gmm_k1_diag_params, gmm_k1_loglik, ood_thresholds, ood_predict, ood_rate, empirical_hierarchy, in_schema_accuracy, unknown_label_recall, gmm_anchored_predict, bubble_size, loglik_summary, gmm_k3_predict, linear_svc, logreg, threshold_rule, threshold_tuning, kfold_assign, out_of_fold,
         triplets_hash_seeded, hard_negative_pairs, label_anchored_triplets, triplet_loss, ami, ami_by_group, accuracy, macro_f1, per_label_prf, micro_prf, confusion_pivot, class_bias, topk_confusions, top3_misdirections, align_full_outer, aligned_metrics, matched_offsets, detection_recall_sweep,
     )
 }
@@ -342,13 +374,14 @@ _GS = "gs AS (SELECT l_orderkey AS sent_id, l_partkey % 4 AS s, l_partkey % 4 +
 _AL = f"""{_GS}, gd AS (SELECT sent_id, s, e, max_by(gold, ord * 1000 + ascii(gold)) AS gold FROM gs GROUP BY ALL), pd AS (SELECT sent_id, s, e, max_by(pred, ord * 1000 + ascii(pred)) AS pred FROM ps GROUP BY ALL),
 al AS (SELECT sent_id, s, e, coalesce(gold, '__predicted_not_gold__') AS gold, coalesce(pred, '__gold_not_predicted__') AS pred FROM gd FULL JOIN pd USING (sent_id, s, e))"""
 _METRICS = "(SELECT round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) FROM pairs) AS accuracy, (SELECT round(avg(exact), 6) FROM pr) AS macro_f1"
+_OPEN = _G.replace("vec_id % 5 <> 0 GROUP BY gold, pos)", f"vec_id % 5 <> 0 AND gold IN {tuple(DECLARED)} GROUP BY gold, pos)") + ", ow AS (SELECT gold, CASE WHEN is_ood THEN 'OOD' ELSE label END AS pred, label AS best FROM ood)"
 ORACLES = {
     "flagship_zero_shot_typing": f"WITH {_T}, pairs AS (SELECT gold, pred FROM typed), {_ami('pairs')}, {_PRF} SELECT ami, {_METRICS} FROM am",
     "l2_normalize": f"WITH {_V} SELECT vec_id, pos, round(x, 6) AS x FROM v",
     "matryoshka_truncate": f"WITH {_V}, t AS (SELECT * FROM raw WHERE pos < 16), n16 AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM t GROUP BY vec_id) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS x FROM t JOIN n16 USING (vec_id)",
     "label_centroids": f"WITH {_C} SELECT label, pos, round(x, 6) AS x FROM c",
     "cosine_matrix": f"WITH {_C} SELECT vec_id, label, round(sim, 6) AS sim FROM sims",
-    "multi_proto_maxsim": f"WITH {_V}, s AS (SELECT a.vec_id, b.vec_id AS p, b.gold AS label, sum(a.x * b.x) AS sim FROM v a JOIN v b ON a.pos = b.pos WHERE a.vec_id % 5 = 0 AND b.vec_id % 10 IN (1, 2) GROUP BY ALL) SELECT vec_id, label, round(max(sim), 6) AS sim FROM s GROUP BY vec_id, label",
+    "multi_proto_maxsim": f"WITH {_V}, pm AS (SELECT gold AS label, (vec_id // 5) % {PARTS} AS part, pos, avg(x) AS m FROM v WHERE vec_id % 5 <> 0 GROUP BY ALL), pn AS (SELECT label, part, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM pm GROUP BY ALL), s AS (SELECT v.vec_id, pm.label, pm.part, sum(v.x * m / n) AS sim FROM v JOIN pm ON v.pos = pm.pos JOIN pn ON pn.label = pm.label AND pn.part = pm.part WHERE v.vec_id % 5 = 0 GROUP BY ALL) SELECT vec_id, label, round(max(sim), 6) AS sim FROM s GROUP BY vec_id, label",
     "class_calibration": f"WITH {_C} SELECT vec_id, label, round(sim - avg(sim) OVER (PARTITION BY label), 6) AS sim FROM sims",
     "nearest_centroid": f"WITH {_T} SELECT vec_id, gold, pred FROM typed",
     "refine_1_iter": f"WITH {_T}, rm AS (SELECT t.pred AS label, v.pos, avg(v.x) AS m FROM typed t JOIN v USING (vec_id) GROUP BY ALL), rn AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM rm GROUP BY label), rc AS (SELECT c.label, c.pos, coalesce(m / n, c.x) AS x FROM c LEFT JOIN rm ON rm.label = c.label AND rm.pos = c.pos LEFT JOIN rn ON rn.label = c.label), s2 AS (SELECT v.vec_id, rc.label, sum(v.x * rc.x) AS sim FROM v JOIN rc ON v.pos = rc.pos WHERE v.vec_id % 5 = 0 GROUP BY ALL) SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 6) DESC, label) AS r FROM s2) WHERE r = 1",
@@ -363,7 +396,15 @@ ORACLES = {
     "ood_thresholds": f"WITH {_G} SELECT label, round(threshold, 4) AS threshold FROM lim",
     "ood_predict": f"WITH {_G} SELECT vec_id, label, is_ood FROM ood",
     "ood_rate": f"WITH {_G} SELECT gold, count(*) AS n, round(avg(CASE WHEN is_ood THEN 1.0 ELSE 0.0 END), 6) AS ood_rate FROM ood GROUP BY gold",
-    "empirical_hierarchy": f"WITH {_G}, md AS (SELECT label, quantile_cont(ll, 0.5) AS m FROM ll WHERE gold = label AND vec_id % 5 <> 0 GROUP BY label) SELECT gold AS child, label AS parent, round(avg(CASE WHEN round(ll, 4) > round(m, 4) THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM ll JOIN md USING (label) WHERE gold <> label AND vec_id % 5 <> 0 GROUP BY gold, label HAVING round(avg(CASE WHEN round(ll, 4) > round(m, 4) THEN 1.0 ELSE 0.0 END), 6) >= 0.3",
+    "empirical_hierarchy": f"""WITH x AS (SELECT row_number() OVER () AS id, l_returnflag || l_linestatus AS gold, CAST(l_quantity AS DOUBLE) AS q, l_discount * 100.0::DOUBLE AS d FROM lineitem),
+        g AS (SELECT gold AS label, avg(q) AS mq, var_pop(q) + 1e-4 AS vq, avg(d) AS md, var_pop(d) + 1e-4 AS vd FROM x GROUP BY gold),
+        ll AS MATERIALIZED (SELECT x.gold, g.label, -0.5 * (ln(2 * pi() * vq) + (q - mq) * (q - mq) / vq + ln(2 * pi() * vd) + (d - md) * (d - md) / vd) AS ll FROM x, g),
+        m AS (SELECT label, quantile_cont(ll, 0.5) AS m FROM ll WHERE gold = label GROUP BY label),
+        f AS (SELECT gold AS child, label AS parent, round(avg(CASE WHEN round(ll, 4) > round(m, 4) THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM ll JOIN m USING (label) WHERE gold <> label GROUP BY gold, label)
+        SELECT f.child, f.parent, f.fraction FROM f LEFT JOIN f b ON b.child = f.parent AND b.parent = f.child JOIN g c ON c.label = f.child JOIN g p ON p.label = f.parent
+        WHERE f.fraction >= {LEAST_INCLUDED} AND (coalesce(b.fraction, 0) < {LEAST_INCLUDED} OR round(p.vq + p.vd, 6) >= round(c.vq + c.vd, 6))""",
+    "in_schema_accuracy": f"WITH {_OPEN} SELECT count(*) AS n_total, count(CASE WHEN gold IN {tuple(DECLARED)} THEN 1 END) AS n_in, count(CASE WHEN pred = 'OOD' THEN 1 END) AS n_ood, round(avg(CASE WHEN gold IN {tuple(DECLARED)} THEN CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END END), 6) AS accuracy_in, round(avg(CASE WHEN gold IN {tuple(DECLARED)} THEN CASE WHEN gold = best THEN 1.0 ELSE 0.0 END END), 6) AS accuracy_in_best FROM ow",
+    "unknown_label_recall": f"WITH {_OPEN} SELECT gold, count(*) AS n, count(CASE WHEN pred = 'OOD' THEN 1 END) AS n_ood, round(avg(CASE WHEN pred = 'OOD' THEN 1.0 ELSE 0.0 END), 6) AS recall FROM ow WHERE gold NOT IN {tuple(DECLARED)} GROUP BY gold",
     "bubble_size": f"WITH {_G} SELECT label, round(sum(var), 6) AS size FROM g GROUP BY label",
     "loglik_summary": f"WITH {_G} SELECT gold, round(min(ll), 4) AS ll_min, round(quantile_cont(ll, 0.05), 4) AS ll_p05, round(quantile_cont(ll, 0.5), 4) AS ll_median, round(quantile_cont(ll, 0.95), 4) AS ll_p95, round(max(ll), 4) AS ll_max FROM ll WHERE gold = label AND vec_id % 5 = 0 GROUP BY gold",
     "threshold_rule": f"WITH {_C} SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim - CAST(label AS INTEGER) / 100.0::DOUBLE, 6) DESC, label) AS r FROM sims) WHERE r = 1",

@@ -29,7 +29,7 @@ kept AS (SELECT * FROM lines WHERE trim(text) <> ''),
 words AS (SELECT doc_id, line, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM kept),
 toks AS (SELECT doc_id, line, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM words),
 offs AS (SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_off FROM toks),
-tok AS (SELECT doc_id, line, CAST(pos AS INTEGER) AS pos, token, CAST(start_off AS INTEGER) AS start_off, CAST(start_off + length(token) AS INTEGER) AS end_off FROM offs)
+tok AS MATERIALIZED (SELECT doc_id, line, CAST(pos AS INTEGER) AS pos, token, CAST(start_off AS INTEGER) AS start_off, CAST(start_off + length(token) AS INTEGER) AS end_off FROM offs)
 """
 _SPANS = (
     _TOKENS

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -53,46 +53,69 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a master on this machine alone gets one of our own, as in
+    tests; on a cluster that is an error, as executors cannot share a local folder.
+    """
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(conf or f"file://{tempfile.mkdtemp(prefix='spanforge-ckpt-')}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/spanforge-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df written as Parquet in the shared folder: lineage ends here and survives lost executors.
-
-    What was shuffled to make them is not needed any more. Spark deletes it once
-    the driver's JVM has collected its plan, which is asked for here, so that a
-    job of many steps does not keep the shuffles of all of them on disk.
-    """
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+#: Spark's own switch: the shuffles of a query go when it ends.
+_SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of a table of keys that joins may broadcast: some tens of MB in each executor.
-MOST_BROADCAST_KEYS = 1_000_000
 
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """The rows of df written as Parquet in the shared folder: lineage ends here and survives lost executors.
 
-def keys_side(keys: DataFrame) -> DataFrame:
-    """A written table of keys for a join: broadcast if its counted rows are within the bound, else for Spark to shuffle."""
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys
+    Shuffles that only made them go when they are written. Tables of earlier
+    cuts given as done, which nothing but df needed, are deleted then.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    before = spark.conf.get(_SHUFFLES_END, None)
+    spark.conf.set(_SHUFFLES_END, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLES_END)
+        else:
+            spark.conf.set(_SHUFFLES_END, before)
+    drop(*done)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spanforge_cut = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the written tables of cuts that nothing reads any more; other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_spanforge_cut", None)
+        if path:
+            at, files = _file_system(t.sparkSession, path)
+            files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

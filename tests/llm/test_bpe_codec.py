@@ -29,22 +29,58 @@ def test_equals_library(spark):
     assert sorted(map(tuple, bpe_codec.digests(coded).collect()), key=str) == sorted(want, key=str)
 
 
+def codec():
+    return bpe_codec._codec(open(PATH, encoding="utf-8").read())
+
+
 def test_stream_is_bounded_and_early():
-    codec = bpe_codec._codec(open(PATH, encoding="utf-8").read())
-    bound = codec.merges.lookahead + codec.merges.longest
+    encoder = codec().encoder
     for word in ["abracadabra" * 200, "aaaaaaaaaaaaab" * 100, "ingtheringand" * 150, "!?!?!?..." * 150]:
-        state, out = codec.encoder.root, 0
-        for at, symbol in enumerate(codec.merges.word(word.encode())):
-            state, stable = codec.encoder.step(state, symbol)
-            out += sum(len(codec.merges.text[t]) for t in stable)
-            assert at + 1 - out <= bound
+        read, out = 0, 0
+
+        def tape():
+            nonlocal read
+            for symbol in encoder.merges.word(word.encode()):
+                read += 1
+                yield symbol
+
+        for some in encoder.stream(tape()):
+            out += sum(len(encoder.merges.text[t]) for t in some)
+            assert read - out <= encoder.stretch
+        assert out == read
+
+
+def test_lookahead_suffices(monkeypatch):
+    encoder, rng = codec().encoder, random.Random(3)
+    common = [t for t in encoder.merges.ids if 1 < len(t) < 9 and t.isascii() and t.isalpha()]
+    words = ["".join(rng.choices(common, k=150)) for _ in range(60)] + ["".join(rng.choices(s, k=900)) for s in ("ab", "aehinorst", "!?.-", "lmnosxy") for _ in range(15)]
+    for word in words:
+        symbols = encoder.merges.word(word.encode())
+        monkeypatch.setattr(encoder, "stretch", 10**9)
+        (whole,) = encoder.stream(symbols)
+        monkeypatch.setattr(encoder, "stretch", encoder.lookahead + 1)
+        parts = list(encoder.stream(symbols))
+        assert len(parts) > 10 and sum(parts, []) == whole
+
+
+def test_query_uses_the_bound_and_the_machine(monkeypatch):
+    c = bpe_codec.Codec(open(PATH, encoding="utf-8").read())
+    assert c.encoder.lookahead == c.merges.lookahead > 0
+    fed = []
+    monkeypatch.setattr(c.machine, "feed", lambda tokens, feed=c.machine.feed: (fed.append(len(tokens)), feed(tokens))[1])
+    monkeypatch.setattr(bpe_codec, "PIECE", 7)
+    ids = c.encode("one two three " * 20)
+    library = Tokenizer.from_file(PATH)
+    assert c.decode(ids) == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    assert sum(fed) == len(ids) // 4 and max(fed) == 7
 
 
 def test_text_machine():
-    codec = bpe_codec._codec(open(PATH, encoding="utf-8").read())
-    machine = bpe_codec.TextMachine(codec.merges)
-    ids = np.frombuffer(codec.encode("Naïve 漢字 😀, ok<|endoftext|>"), "<u4").tolist()
-    assert "".join(map(machine.feed, ids)) + machine.finish() == "naïve 漢字 😀, ok <|endoftext|>"
+    c = codec()
+    machine = bpe_codec.TextMachine(c.merges, plain=False)
+    ids = np.frombuffer(c.encode("Naïve 漢字 😀, ok<|endoftext|>"), "<u4").tolist()
+    assert "".join(machine.feed([i]) for i in ids) + machine.finish() == "naïve 漢字 😀, ok <|endoftext|>"
+    assert machine.feed([ids[0]]) == machine.feed([ids[0]])
 
 
 def test_no_rows(spark):

@@ -53,10 +53,33 @@ def test_recall_on_loose_groups():
     rng = np.random.default_rng(3)
     x = p.unit(np.array(groups(4, [3] * 500, 0.2)))
     pivots = p.choose_pivots(x[rng.permutation(len(x))[:700]], 64)
-    i, j = np.nonzero(np.triu(x @ x.T >= p.LEAST_COSINE, 1))
-    sets = p.permutations(x, pivots)
-    shared = (sets[i][:, :, None] == sets[j][:, None, :]).sum((1, 2))
-    assert len(i) > 500 and (shared >= 2).mean() >= 0.9
+    want = set(zip(*np.nonzero(np.triu(x @ x.T >= p.LEAST_COSINE, 1))))
+    perms = p.permutations(x, pivots)
+    key, row = p.list_keys(perms, 64)
+    found = []
+    for k in np.unique(key):
+        own = np.sort(row[key == k])
+        found += [(a, b) for i, j in p.candidates(int(k), perms, own, own, 64) for a, b in zip(i, j)]
+    assert len(found) == len(set(found))  # a pair belongs to one list
+    assert len(want) > 500 and len(want & set(found)) >= 0.9 * len(want)
+
+
+def test_candidates_by_definition():
+    rng = np.random.default_rng(5)
+    perms = np.array([rng.permutation(9)[: p.NEAREST] for _ in range(200)], np.int32)
+    key, row = p.list_keys(perms, 9)
+    found = set()
+    for k in np.unique(key):
+        own = np.sort(row[key == k])
+        found |= {(a, b) for i, j in p.candidates(int(k), perms, own, own, 9) for a, b in zip(i.tolist(), j.tolist())}
+    want = set()
+    for a in range(200):
+        for b in range(a + 1, 200):
+            u, v = perms[a].tolist(), perms[b].tolist()
+            both = set(u) & set(v)
+            if len(both) >= p.LEAST_SHARED and sum(abs(u.index(z) - v.index(z)) for z in both) + (p.NEAREST - len(both)) * p.NEAREST <= p.MOST_MOVED:
+                want.add((a, b))
+    assert found == want and len(want) > 100
 
 
 def test_nothing_to_compare(spark):

@@ -66,3 +66,34 @@ def test_hot_anchor(spark, monkeypatch):
 
 def test_empty(spark):
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    one, other = ("".join(x[bin(i).count("1") % 2] for i in range(1024)) for x in ("ab", "ba"))
+    words = [f"w{i}" for i in range(20)]
+    check(spark, [(1, " ".join([*words[:9], one, *words[9:]])), (2, " ".join([*words[:9], other, *words[9:]]))])
+
+
+def test_key_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8), (1, "a b", 7, 8)], "doc_id long, text string, _row_key long, _row_key_ int")
+    out = s.remove_repeats(docs, 2)
+    assert out.columns == [*docs.columns, "n_words", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "", 7, 8, 2, 2), (1, "a b", 7, 8, 2, 0)]
+    long = spark.createDataFrame([(1, "a b c " * 100_000)], "doc_id long, text string")
+    assert s.remove_repeats(long).first().n_removed == 300_000 - 3
+
+
+def test_arrays_hashes():
+    import numpy as np
+
+    from spanforge.llm.arrays import same_bytes, word_hash
+
+    rng = random.Random(2)
+    words = [b"a", b"a\0", b"abcdefgh", b"abcdefgh\0", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 70, b"x" * 70] + ["".join(rng.choices("ab", k=rng.randint(1, 20))).encode() for _ in range(500)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    h = word_hash(data, starts, ends)
+    assert len(set(h.tolist())) == len(set(words))
+    of = np.array([rng.randrange(len(words)) for _ in words])
+    assert same_bytes(data, starts, ends, of).tolist() == [w == words[j] for w, j in zip(words, of)]
