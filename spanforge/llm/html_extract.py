@@ -4,6 +4,12 @@ Paragraphs pass points, for their length and commas, to their ancestors: all to
 the parent, half to the one above, a third and less beyond. A container's points
 are discounted by the share of its text in links. The best container is kept
 with those siblings that score well beside it.
+
+Elements, roles and hidden parts that are never main text go at once. Words of a
+class or id weigh: each that tells of chrome counts against the element, each
+other one for it. Where they count against it the element must have the more
+points by its paragraphs; a few words (comments, adverts, cookies, ...) cannot be
+made up for by prose, as reader comments are prose too.
 """
 
 from __future__ import annotations
@@ -32,9 +38,15 @@ CLOSES = {k: (frozenset(v.split()), frozenset(LIMITS[k].split())) for k, v in CL
 #: What never belongs to the main text: elements, roles, and words of a class or id.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math nav aside footer form button select option textarea input label dialog menu audio video map noembed noframes xmp title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored sponsors promo promoted promotion sidebar sidebars rail menu menus navbar navigation nav breadcrumb breadcrumbs toolbar topbar masthead header footer foot comment comments commentlist disqus replies discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager skip".split()
+CHROME = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored sponsors promo sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs toolbar topbar masthead footer comment comments commentlist disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login widget widgets pagination pager".split()
 )
+DOUBTFUL = frozenset("rail header foot replies discussion notice notices alert subscription share sharing social related recommended recommendations promoted promotion skip".split())
+#: Words that say where or of what form an element is, and those before or after which a name tells of another element.
+SHAPES = frozenset("a area bar block body box button buttons col column container content div el group holder icon icons id inner item items left line link links list main outer page pane panel post posts right row section site slot text top bottom ul unit wrap wrapper".split())
+ELSEWHERE = frozenset("has with no none without is open closed enabled disabled".split())
+#: Points that an element needs for each word against it, and where as many words speak for it.
+AGAINST, EVEN = 8.0, 0.5
 _WORDS = regex.compile(r"[a-z]+|[A-Z]+[a-z]*")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd", "figcaption")) | HEADINGS
@@ -43,26 +55,45 @@ START = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "letters", "linked", "gone")
+    __slots__ = ("tag", "parent", "children", "needs", "prose", "letters", "linked", "gone")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.points, self.letters, self.linked, self.gone = 0.0, 0, 0, False
+        self.needs, self.prose, self.letters, self.linked, self.gone = 0.0, 0.0, 0, 0, False
 
 
-def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
+def name_points(names: str, tag: str = "div", inside_article: bool = False) -> float:
+    """Points that an element of these classes and ids needs by its paragraphs; infinite where none make up for them."""
+    needs = 0.0
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not ELSEWHERE.isdisjoint(words):
+            continue
+        chrome = sum(w in CHROME for w in words)
+        doubtful = sum(w in DOUBTFUL and not (w == "header" and inside_article) for w in words)
+        others = sum(w not in SHAPES and w not in CHROME and w not in DOUBTFUL for w in words)
+        against = chrome + doubtful - others - (tag == "article")
+        if chrome and against >= 0:
+            return float("inf")
+        if chrome + doubtful:
+            needs = max(needs, AGAINST * against if against > 0 else EVEN)
+    return needs
+
+
+def _needs(tag: str, attrs: str, inside_article: bool) -> float:
+    """Points that an element needs to stay; infinite where it never does."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return float("inf")
+    if not attrs or tag in ("html", "body"):
+        return 0.0
     found = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
-        return True
+        return float("inf")
     style = found.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
-        return True
+        return float("inf")
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return any(w.lower() in BAD_WORDS for w in _WORDS.findall(names))
+    return 0.0 if tag == "main" else name_points(names, tag, inside_article)
 
 
 def parse(text: str) -> Node:
@@ -109,7 +140,8 @@ def parse(text: str) -> Node:
                     break
         at = depth[-1]
         node = Node(tag, at)
-        node.gone = at.gone or _unwanted(tag, m["attrs"], articles > 0)
+        node.needs = _needs(tag, m["attrs"], articles > 0)
+        node.gone = at.gone or node.needs == float("inf")
         if not at.gone:
             at.children.append(node)
         if tag in RAW:
@@ -130,6 +162,8 @@ def _measure(root: Node) -> list[Node]:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.gone)
+    for n in order:
+        n.letters, n.linked = 0, 0
     for n in reversed(order):
         n.letters += sum(len(c.strip()) for c in n.children if isinstance(c, str))
         if n.tag == "a":
@@ -157,14 +191,35 @@ def _is_paragraph(n: Node) -> bool:
     return n.tag in ("div", "section", "article", "main", "body", "center") and any(isinstance(c, str) and c.strip() for c in n.children)
 
 
+def _worth(n: Node) -> float:
+    """Points of a paragraph for its length and commas, less for links; 0 for what is none."""
+    if not n.letters or not _is_paragraph(n):
+        return 0.0
+    worth = (1 + min(_commas(n), 10) + min(n.letters / 100, 3)) * (1 - n.linked / n.letters)
+    return worth * min(1.0, n.letters / 25)
+
+
+def _weighed(root: Node) -> list[Node]:
+    """The measured elements, less those whose paragraphs have not the points that their names ask for."""
+    order = _measure(root)
+    if any(n.needs for n in order):
+        for n in order:
+            n.prose = _worth(n)
+        for n in reversed(order):
+            if n.prose < n.needs:
+                n.gone = True
+            elif n.parent is not None:
+                n.parent.prose += n.prose
+        order = _measure(root)
+    return order
+
+
 def _score(order: list[Node]) -> dict[Node, float]:
     points: dict[Node, float] = {}
     for n in order:
-        if not n.letters or not _is_paragraph(n):
+        worth = _worth(n)
+        if not worth:
             continue
-        worth = (1 + min(_commas(n), 10) + min(n.letters / 100, 3)) * (1 - n.linked / n.letters)
-        if n.letters < 25:
-            worth *= n.letters / 25
         holder = n if n.tag not in PARAGRAPHS else n.parent
         share = 1.0
         level = 1
@@ -208,8 +263,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _measure(root)
-    scores = _score(order)
+    scores = _score(_weighed(root))
     best = max(scores, key=scores.get, default=None)
     if best is None or scores[best] <= 0:
         kept = [root]

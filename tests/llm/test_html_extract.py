@@ -1,4 +1,8 @@
-from spanforge.llm.html_extract import extract, main_text
+import random
+
+import pytest
+
+from spanforge.llm.html_extract import extract, main_text, name_points
 
 PROSE = "This is a sentence, with commas, long enough to count as a paragraph of the article itself."
 
@@ -46,3 +50,68 @@ def test_table(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("1", 0), ("2", len(PROSE) * 20000), ("None", 2)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="entry-header"><h1>{}</h1></div>',
+        '<p class="notice-board">{}</p>',
+        '<p id="related-work">{}</p>',
+        '<section class="alert-systems"><h2>A title</h2><p>{}</p></section>',
+        '<div class="skip-connections"><p>{}</p><p>{}</p></div>',
+        '<div class="header"><p>{}</p></div>',
+        '<div class="has-sidebar"><p>{}</p></div>',
+        '<section id="market-share-by-rail-operator"><p>{}</p></section>',
+    ],
+)
+def test_names_do_not_remove_prose_of_the_article(part):
+    inner = part.replace("{}", f"{PROSE} Part.")
+    got = main_text(page(f"<article><p>{PROSE}</p>{inner}<p>{PROSE}</p></article>"))
+    assert got.count(f"{PROSE} Part.") == part.count("{}") and got.count(PROSE) == 2 + part.count("{}")
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "comment-list", "ad", "ad-slot", "cookie-notice", "notice", "site-alert-box", "newsletter-signup", "share", "social-links", "related-posts", "sidebar"])
+def test_names_of_chrome_remove(name):
+    got = main_text(page(f'<article><p>{PROSE}</p><div class="{name}"><p>Not, this.</p></div><p>{PROSE}</p></article>'))
+    assert got == f"{PROSE}\n\n{PROSE}"
+
+
+def test_comments_go_however_long():
+    thread = "".join(f'<article class="comment"><p>{PROSE} {i}</p></article>' for i in range(30))
+    assert main_text(page(f'<main><article class="post comments-open"><p>{PROSE}</p></article><section id="comments">{thread}</section></main>')) == PROSE
+    assert main_text(page(f'<article><p>{PROSE}</p></article><div class="thread">{thread}</div>')) == PROSE
+
+
+def test_name_points():
+    assert name_points("post entry-content") == name_points("has-sidebar") == name_points("") == 0
+    assert name_points("notice") > name_points("notice-board") > 0
+    assert name_points("Comments") == name_points("adSlot") == float("inf") > name_points("comment-on-methods")
+
+
+def test_planted_articles():
+    """Generated pages: an article of known blocks among chrome of every kind comes back block by block."""
+    words = "river stone light under many roads carry people where old towns keep their names while winter moves along".split()
+    for seed in range(150):
+        rng = random.Random(seed)
+
+        def prose(least=20):
+            text = " ".join(rng.choice(words) + ("," if rng.random() < 0.1 else "") for _ in range(rng.randint(least, 60)))
+            return text.rstrip(",").capitalize() + "."
+
+        def links(n):
+            return "<ul>" + "".join(f'<li><a href="/{i}">{rng.choice(words)} {rng.choice(words)}</a></li>' for i in range(n)) + "</ul>"
+
+        title = prose(20)[:60].strip()
+        blocks = [title] + [prose() for _ in range(rng.randint(3, 9))]
+        kept = ["p", 'p class="lead"', 'p class="notice-board"', 'blockquote id="alert-history"', "h2", 'div class="related-work-section"']
+        inside = [f"<{(t := rng.choice(kept))}>{b}</{t.split()[0]}>" for b in blocks[1:]]
+        noise = [f'<div class="ad">{prose()}</div>', f'<div class="share">{links(3)}</div>', f'<div class="related-posts">{links(4)}</div>', f'<aside><p>{prose()}</p></aside>', f"<form><p>{prose()}</p></form>", "<script>var t='</p>';</script>"]
+        for n in rng.sample(noise, rng.randint(0, 4)):
+            inside.insert(rng.randint(0, len(inside)), n)
+        shell = rng.choice(["article", "main", 'div class="story"', 'div id="content"'])
+        article = f"<{shell}><h1>{title}</h1>{''.join(inside)}</{shell.split()[0]}>"
+        around = [f"<header><p>{prose()}</p></header>", f"<nav>{links(8)}</nav>", f'<div class="cookie-consent"><p>{prose()}</p></div>', f'<div class="sidebar"><p>{prose()}</p>{links(5)}</div>']
+        after = [f'<div id="comments"><p>{prose()}</p><p>{prose()}</p></div>', f"<footer><p>{prose()}</p></footer>"]
+        body = "".join(rng.sample(around, rng.randint(0, 4))) + article + "".join(rng.sample(after, rng.randint(0, 2)))
+        assert main_text(page(body)) == "\n\n".join(blocks), (seed, body)
