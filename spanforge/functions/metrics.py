@@ -8,6 +8,7 @@ expensive set of pairs).
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -108,6 +109,65 @@ def unknown_recall(pairs: DataFrame, declared: list[str], sentinel: str = "OOD")
     rows = pairs.filter(~F.col("gold").isin(declared)).groupBy("gold")
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("pred") == sentinel).alias("n_ood"), F.round(F.avg((F.col("pred") == sentinel).cast("int")), 6).alias("recall"))
 
+
+def open_confusion(pairs: DataFrame, declared: list[str], sentinel: str = "OOD") -> DataFrame:
+    """(gold, pred, n) dense: every declared label and every other gold label, by every declared label and the sentinel."""
+    spark = pairs.sparkSession
+    counts = pairs.groupBy("gold", "pred").agg(_size(pairs).alias("n"))
+    rows = spark.createDataFrame([(x,) for x in declared], "gold string").union(counts.select("gold")).distinct()
+    columns = F.broadcast(spark.createDataFrame([(x,) for x in [*declared, sentinel]], "pred string"))
+    return rows.crossJoin(columns).join(counts, ["gold", "pred"], "left").na.fill(0, ["n"])
+
+
+def open_report(typed: DataFrame, declared: list[str], sentinel: str = "OOD") -> DataFrame:
+    """(section, name, metric, value): the whole evaluation of typed(gold, pred, best, ll) against the declared labels.
+
+    Sections: total, label (each declared one: a prediction counts as false where
+    the gold label is another declared one), unknown (recall of the sentinel on
+    gold labels that are not declared), confusion (dense) and loglik (spread of ll
+    by gold label). All but the last come from one table of (gold, pred, best).
+    """
+    table = cut(typed.groupBy("gold", "pred", "best").agg(F.count("*").alias("weight")))
+    inside = F.col("gold").isin(declared)
+    cell = lambda *c: F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in c])).alias("m")
+    ratio = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+    labels = typed.sparkSession.createDataFrame([(x,) for x in declared], "name string")
+    held = table.filter(inside)
+    support = held.groupBy(F.col("gold").alias("name")).agg(F.sum("weight").alias("support"), count(F.col("gold") == F.col("pred")).alias("tp"))
+    predicted = held.groupBy(F.col("pred").alias("name")).agg(F.sum("weight").alias("predicted"))
+    each = cut(labels.join(support, "name", "left").join(predicted, "name", "left").na.fill(0))
+    tp, fp, fn = F.col("tp"), F.col("predicted") - F.col("tp"), F.col("support") - F.col("tp")
+    f1 = ratio(2 * tp, F.col("support") + F.col("predicted"))
+    by_label = each.select("name", cell(("support", F.col("support")), ("tp", tp), ("fp", fp), ("fn", fn), ("precision", ratio(tp, F.col("predicted"))), ("recall", ratio(tp, F.col("support"))), ("f1", f1)))
+    sums = each.agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("p"), F.sum("support").alias("s"), F.round(F.avg(f1), 6).alias("macro"))
+    whole = table.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"), count(inside).alias("n_in"), count(inside & (F.col("gold") == F.col("pred"))).alias("right"), count(inside & (F.col("gold") == F.col("best"))).alias("right_best"), count(F.col("pred") == sentinel).alias("ood"))
+    total = whole.crossJoin(sums).select(F.lit("all").alias("name"), cell(
+        ("n_eval_spans", F.col("n")), ("n_in_schema_spans", F.col("n_in")), ("accuracy_in_schema", ratio(F.col("right"), F.col("n_in"))), ("accuracy_best_in_schema", ratio(F.col("right_best"), F.col("n_in"))), ("ood_rate", ratio(F.col("ood"), F.col("n"))),
+        ("micro_precision", ratio(F.col("tp"), F.col("p"))), ("micro_recall", ratio(F.col("tp"), F.col("s"))), ("micro_f1", ratio(2 * F.col("tp"), F.col("p") + F.col("s"))), ("macro_f1", F.col("macro")),
+    ))
+    unknown = table.filter(~inside).groupBy(F.col("gold").alias("name")).agg(F.sum("weight").alias("n"), count(F.col("pred") == sentinel).alias("ood"))
+    unknown = unknown.select("name", cell(("support", F.col("n")), ("n_detected_ood", F.col("ood")), ("recall", ratio(F.col("ood"), F.col("n")))))
+    grid = open_confusion(table.select("gold", "pred", "weight"), declared, sentinel).select(F.col("gold").alias("name"), F.struct(F.col("pred").alias("metric"), F.col("n").cast("double").alias("value")).alias("m"))
+    p = F.percentile("ll", F.array(*map(F.lit, (0.05, 0.5, 0.95))))
+    spread = typed.groupBy(F.col("gold").alias("name")).agg(F.min("ll").alias("lo"), p.alias("p"), F.max("ll").alias("hi"))
+    spread = spread.select("name", cell(*[(n, F.round(v, 4)) for n, v in (("min", F.col("lo")), ("p05", F.col("p")[0]), ("median", F.col("p")[1]), ("p95", F.col("p")[2]), ("max", F.col("hi")))]))
+    parts = [part.select(F.lit(section).alias("section"), "name", "m.metric", "m.value") for section, part in (("total", total), ("label", by_label), ("unknown", unknown), ("confusion", grid), ("loglik", spread))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def diagnosis(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """per_label with class_bias's counts and the k labels that each is mostly taken for, as 'label:count' in order."""
+    table = cells(pairs)
+    wrong = table.filter("gold <> pred").withColumn("r", F.row_number().over(Window.partitionBy("gold").orderBy(F.desc("weight"), "pred"))).filter(F.col("r") <= k)
+    taken = wrong.groupBy(F.col("gold").alias("label")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(":", "pred", "weight").alias("t")))), lambda x: x["t"]), " ").alias("taken_for"))
+    every = Window.partitionBy()
+    out = per_label(table).join(taken, "label", "left").na.fill("", ["taken_for"])
+    bias = F.when((F.col("support") == 0) & (F.col("predicted") > 0), F.lit(float("inf"))).otherwise(F.round(F.coalesce(F.try_divide("predicted", "support"), F.lit(0.0)), 6))
+    share = lambda c: F.round(F.col(c) / F.sum("support").over(every), 6)
+    return out.withColumn("bias", bias).withColumn("gold_share", share("support")).withColumn("pred_share", share("predicted"))
+
+
 def resamples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, gold, pred, weight): the contingency tables of so many resamples with replacement.
 

@@ -148,3 +148,47 @@ def score_mixtures(vectors: DataFrame, mixtures: DataFrame, keep: list[str]) ->
     scored = pairs.select(*keep, "label", F.transform("c", one).alias("l"))
     top = F.array_max("l")
     return scored.withColumn("top", top).select(*keep, "label", (F.col("top") + F.log(F.aggregate(F.transform("l", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda s, v: s + v))).alias("ll"))
+
+
+def full(vectors: DataFrame) -> DataFrame:
+    """(label, n, mean, precision, log_det): a Gaussian of full covariance for each label, REGULARISE on its diagonal.
+
+    Tasks add up d x d sums for each label, which are added by cell; a label's
+    d x d numbers meet in one row, however many vectors it has.
+    """
+    ship(vectors.sparkSession)
+
+    def sums(frames):
+        total: dict = {}
+        for f in frames:
+            for label, rows in f.groupby("label"):
+                x = np.column_stack([np.ones(len(rows)), np.stack(rows["vec"])])
+                total[label] = total.get(label, 0) + x.T @ x
+        for label, t in total.items():
+            yield pd.DataFrame({"label": label, "i": range(len(t)), "row": list(t)})
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        t = np.stack(frame.sort_values("i")["row"])
+        n, mean = t[0, 0], t[0, 1:] / t[0, 0]
+        cov = t[1:, 1:] / n - np.outer(mean, mean) + REGULARISE * np.eye(len(mean))
+        return pd.DataFrame({"label": frame["label"].iloc[:1], "n": [int(n)], "mean": [mean], "precision": [np.linalg.inv(cov).ravel()], "log_det": [np.linalg.slogdet(cov)[1]]})
+
+    cells = vectors.select("label", "vec").mapInPandas(sums, "label string, i int, row array<double>").select("label", "i", F.posexplode("row").alias("j", "x"))
+    added = cells.groupBy("label", "i", "j").agg(F.sum("x").alias("x")).groupBy("label", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row"))
+    return added.groupBy("label").applyInPandas(solve, "label string, n long, mean array<double>, precision array<double>, log_det double")
+
+
+def full_log_likelihood(vectors: DataFrame, params: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, label, ll) of vectors under each label's Gaussian of full covariance; a row of parameters a label is broadcast."""
+
+    @F.pandas_udf("double")
+    def ll(vec: pd.Series, mean: pd.Series, precision: pd.Series, log_det: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=float)
+        x = np.stack(vec) - np.stack(mean)
+        d = x.shape[1]
+        q = np.einsum("ni,nij,nj->n", x, np.stack(precision).reshape(-1, d, d), x)
+        return pd.Series(-0.5 * (d * np.log(2 * np.pi) + log_det.to_numpy() + q))
+
+    pairs = vectors.crossJoin(F.broadcast(params))
+    return pairs.select(*keep, params["label"], ll("vec", "mean", "precision", "log_det").alias("ll"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import macro_f1
 from ..session import ship
+from .triplets import number, places
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
@@ -135,3 +136,12 @@ def out_of_fold(rows: DataFrame, k: int = 5) -> DataFrame:
         part = logistic(dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f).withColumnRenamed("label", "gold")).select("vec_id", "gold", "pred")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def hold_out(items: DataFrame, share: float, seed: str) -> DataFrame:
+    """items(id, label) with held_out: the rounded share of each label, by md5; where a label has one item alone, that share of all items whatever their label."""
+    placed, sizes = places(items, seed)
+    least = sizes.agg(F.min("size").alias("least"))
+    rows = placed.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(least))
+    any_ = number("id", F.lit(seed)) / float(1 << 32) < share
+    return rows.select("id", "label", F.when(F.col("least") > 1, F.col("place") < F.round(F.col("size") * share)).otherwise(any_).alias("held_out"))

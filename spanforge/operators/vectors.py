@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 EPSILON = 1e-12
+#: Vectors of a block of brute-force neighbours.
+BLOCK = 1024
 
 
 def doubles(v: str) -> Column:
@@ -81,18 +87,106 @@ def refine(mentions: DataFrame, prototypes: DataFrame, rounds: int, key: str = "
     return protos
 
 
-def knn(train: DataFrame, test: DataFrame, k: int = 15, key: str = "vec_id", blocks: int = 16) -> DataFrame:
+#: The zero-shot variants, as name, prototype mode, rounds of refinement and calibration.
+VARIANTS = [
+    ("raw", "raw", 0, False),
+    ("context", "context", 0, False),
+    ("context+calib", "context", 0, True),
+    ("context+refine", "context", 3, False),
+    ("context+refine+calib", "context", 3, True),
+    ("ensemble", "ensemble", 0, False),
+    ("ensemble+refine", "ensemble", 3, False),
+    ("multi-proto", "multi", 0, False),
+]
+
+
+def variants(mentions: DataFrame, modes: dict[str, DataFrame], key: str) -> DataFrame:
+    """(variant, key, gold, pred) of mentions(key, gold, vec) under every variant whose prototypes modes has; a refinement is made once."""
+    made: dict[tuple[str, int], DataFrame] = {}
+    out = None
+    for name, mode, rounds, calibrated in VARIANTS:
+        if mode not in modes:
+            continue
+        if (mode, rounds) not in made:
+            made[mode, rounds] = refine(mentions, modes[mode], rounds, key) if rounds else cut(modes[mode].select("label", "vec"))
+        sims = similarities(mentions, made[mode, rounds], [key, "gold"])
+        best = best_label(calibrate(sims) if calibrated else sims, [key]).select(F.lit(name).alias("variant"), key, "gold", F.col("label").alias("pred"))
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        raise ValueError("no prototypes of a known mode")
+    return out
+
+
+def _packed(rows: DataFrame, columns: list[str], block: int, name: str) -> tuple[DataFrame, int]:
+    """(name, rows): the rows dealt by hash of the first column into lists of some block rows; and the number of lists."""
+    many = max(1, -(-rows.count() // block))
+    dealt = rows.select(F.struct(*columns).alias("r"), F.pmod(F.xxhash64(columns[0]), F.lit(many)).cast("int").alias(name))
+    return dealt.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), many
+
+
+def knn(train: DataFrame, test: DataFrame, k: int = 15, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """Majority label of the k nearest training vectors by cosine; ties by vector id, then by label.
 
-    Brute force in blocks: each test vector meets each block of training vectors
-    once and keeps that block's best k, so no task sees all pairs of a vector.
+    Brute force in blocks of bounded size: a task holds one block of either side
+    and keeps the best k of each test vector, so what is shuffled on is k rows for
+    each test vector and block, and blocks grow in number with the data.
     """
-    dealt = train.select(F.col(key).alias("n_id"), F.col("label").alias("n_label"), F.col("vec").alias("n_vec"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    asked = test.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    scored = asked.join(dealt, "block").select(key, "block", "n_id", "n_label", F.round(dot(F.col("vec"), F.col("n_vec")), 6).alias("sim"))
-    for group in ([key, "block"], [key]):
-        order = Window.partitionBy(*group).orderBy(F.desc("sim"), "n_id")
-        scored = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    votes = scored.groupBy(key, "n_label").agg(F.count("*").alias("votes"))
+    ship(train.sparkSession)
+    known, many = _packed(train.select(F.col(key).alias("n_id"), F.col("label").alias("n_label"), F.col("vec").alias("n_vec")), ["n_id", "n_label", "n_vec"], block, "block")
+    asked, _ = _packed(test.select(F.col(key).alias("t_id"), F.col("vec").alias("t_vec")), ["t_id", "t_vec"], block, "part")
+    id_type = train.schema[key].dataType.simpleString()
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for left, right in zip(f["part_rows"], f["block_rows"]):
+                right = sorted(right, key=lambda r: r["n_id"])
+                sims = np.round(np.stack([r["t_vec"] for r in left]) @ np.stack([r["n_vec"] for r in right]).T, 6)
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                ids, labels = (np.array([r[c] for r in right], object) for c in ("n_id", "n_label"))
+                yield pd.DataFrame({key: np.repeat([r["t_id"] for r in left], order.shape[1]), "n_id": ids[order].ravel(), "n_label": labels[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
+
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(known, "block").repartition("part", "block")
+    scored = pairs.select("part_rows", "block_rows").mapInPandas(best, f"{key} {id_type}, n_id {id_type}, n_label string, sim double")
+    order = Window.partitionBy(key).orderBy(F.desc("sim"), "n_id")
+    nearest = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    votes = nearest.groupBy(key, "n_label").agg(F.count("*").alias("votes"))
     top = Window.partitionBy(key).orderBy(F.desc("votes"), "n_label")
     return votes.withColumn("rank", F.row_number().over(top)).filter("rank = 1").select(key, F.col("n_label").alias("pred"), "votes")
+
+
+def principal(vectors: DataFrame, n: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the n leading components as rows and their variances (n - 1 in the divisor) of the vectors.
+
+    Tasks add up d x d sums, which are added by cell; d x d numbers come to the driver.
+    """
+    ship(vectors.sparkSession)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            if len(f):
+                x = np.column_stack([np.ones(len(f)), np.stack(f["v"])])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": range(len(total)), "row": list(total)})
+
+    cells = vectors.select(F.col(vec).alias("v")).mapInPandas(sums, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    d = max((c.i for c in cells), default=0)
+    total = np.zeros((d + 1, d + 1))
+    for c in cells:
+        total[c.i, c.j] = c.x
+    count, mean = total[0, 0], total[0, 1:] / max(total[0, 0], 1)
+    value, component = np.linalg.eigh((total[1:, 1:] - count * np.outer(mean, mean)) / max(count - 1, 1))
+    order = np.argsort(-value)[:n]
+    return mean, component[:, order].T, value[order]
+
+
+def project(vectors: DataFrame, mean: np.ndarray, components: np.ndarray, vec: str = "vec") -> DataFrame:
+    """vectors with vec replaced by its coordinates along the components."""
+    ship(vectors.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def onto(v: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(v) - mean) @ components.T)) if len(v) else pd.Series([], dtype=object)
+
+    return vectors.withColumn(vec, onto(vec))

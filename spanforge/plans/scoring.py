@@ -36,10 +36,10 @@ def _typed(spark, sf_dir):
     return vectors.best_label(_sims(spark, sf_dir), ["vec_id", "gold"]).select("vec_id", "gold", F.col("label").alias("pred"))
 
 
-def _detected(spark, sf_dir):
+def _detected(spark, sf_dir, sims=None):
     """A stand-in detector's candidate and score by rule."""
     cand = F.pmod(F.col("vec_id") * 7 + 3, F.lit(10)).cast("string")
-    return _sims(spark, sf_dir).withColumn("cand_label", cand).withColumn("score", F.pmod(F.col("vec_id") * 13, F.lit(101)) / 100.0)
+    return (_sims(spark, sf_dir) if sims is None else sims).withColumn("cand_label", cand).withColumn("score", F.pmod(F.col("vec_id") * 13, F.lit(101)) / 100.0)
 
 
 def l2_normalize(spark, sf_dir):
@@ -154,12 +154,12 @@ def ood_rate(spark, sf_dir):
 
 
 def _open_world(spark, sf_dir):
-    """(gold, pred, best): a typer that was shown the declared labels alone; pred is OOD below its label's threshold."""
+    """(gold, pred, best, ll): a typer that was shown the declared labels alone; pred is OOD below its label's threshold."""
     train = _train(spark, sf_dir).filter(F.col("label").isin(DECLARED))
     params = gmm.diagonal(train)
     limits = gmm.thresholds(gmm.log_likelihood(train.withColumnRenamed("label", "gold"), params, ["gold"]))
     found = gmm.classify(gmm.log_likelihood(_test(spark, sf_dir), params, ["vec_id", "gold"]), limits, "vec_id")
-    return found.select("gold", F.when(F.col("is_ood"), "OOD").otherwise(F.col("label")).alias("pred"), F.col("label").alias("best"))
+    return found.select("gold", F.when(F.col("is_ood"), "OOD").otherwise(F.col("label")).alias("pred"), F.col("label").alias("best"), "ll")
 
 
 def in_schema_accuracy(spark, sf_dir):
@@ -409,9 +409,6 @@ ORACLES = {
     "loglik_summary": f"WITH {_G} SELECT gold, round(min(ll), 4) AS ll_min, round(quantile_cont(ll, 0.05), 4) AS ll_p05, round(quantile_cont(ll, 0.5), 4) AS ll_median, round(quantile_cont(ll, 0.95), 4) AS ll_p95, round(max(ll), 4) AS ll_max FROM ll WHERE gold = label AND vec_id % 5 = 0 GROUP BY gold",
     "threshold_rule": f"WITH {_C} SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim - CAST(label AS INTEGER) / 100.0::DOUBLE, 6) DESC, label) AS r FROM sims) WHERE r = 1",
     "kfold_assign": "SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings",
-    "triplets_hash_seeded": "WITH e AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label FROM embeddings), p AS (SELECT a.id AS anchor, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id || '|' || b.id || '|p42'), b.id) AS r FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id), n AS (SELECT a.id AS anchor, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id || '|' || b.id || '|n42'), b.id) AS r FROM e a JOIN e b ON a.label <> b.label) SELECT p.anchor, p.other AS positive, n.other AS negative, CAST(p.r AS INTEGER) AS rank FROM p JOIN n ON p.anchor = n.anchor AND p.r = n.r WHERE p.r <= 2",
-    "hard_negative_pairs": f"WITH {_T}, er AS (SELECT vec_id AS id, gold, pred FROM typed WHERE gold <> pred), po AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label FROM embeddings WHERE vec_id % 5 <> 0), p AS (SELECT er.id AS anchor, po.id AS other, row_number() OVER (PARTITION BY er.id ORDER BY md5(er.id || '|' || po.id || '|p42'), po.id) AS r FROM er JOIN po ON po.label = er.gold AND po.id <> er.id), n AS (SELECT er.id AS anchor, po.id AS other, row_number() OVER (PARTITION BY er.id ORDER BY md5(er.id || '|' || po.id || '|n42'), po.id) AS r FROM er JOIN po ON po.label = er.pred) SELECT p.anchor, p.other AS positive, n.other AS negative, CAST(p.r AS INTEGER) AS rank FROM p JOIN n ON p.anchor = n.anchor AND p.r = n.r WHERE p.r <= 3",
-    "label_anchored_triplets": "WITH e AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label FROM embeddings), l AS (SELECT DISTINCT label FROM e) SELECT id AS anchor, label AS positive, other AS negative FROM (SELECT e.id, e.label, l.label AS other, row_number() OVER (PARTITION BY e.id ORDER BY md5(e.id || '|' || l.label || '|n7'), l.label) AS r FROM e JOIN l ON l.label <> e.label) WHERE r = 1",
     "ami": f"WITH {_P}, {_ami('pairs')} SELECT ami FROM am",
     "ami_by_group": f"WITH {_P}, {_ami('pairs', 'l_linenumber')} SELECT l_linenumber, ami FROM am",
     "accuracy": f"WITH {_P} SELECT round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pairs",

@@ -56,7 +56,11 @@ class Registry:
 
 def read_doc_json(spark: SparkSession, path: str) -> DataFrame:
     """(id, sent_id, text, spans): word spans of document JSON as character spans."""
-    docs = spark.read.schema(DOC_JSON).json(path, multiLine=True).select(F.explode("documents").alias("d")).select("d.*")
+    return doc_json_spans(spark.read.schema(DOC_JSON).json(path, multiLine=True).select(F.explode("documents").alias("d")).select("d.*"))
+
+
+def doc_json_spans(docs: DataFrame) -> DataFrame:
+    """read_doc_json of documents (id, sentences, entities)."""
     sents = docs.select("id", F.posexplode("sentences").alias("sent_id", "words"))
     ents = docs.select("id", F.explode_outer("entities").alias("e")).filter("e is not null").select("id", F.col("e.sentence_idx").alias("sent_id"), F.col("e.type").alias("label"), F.col("e.start_word_idx").alias("a"), F.col("e.end_word_idx").alias("b"))
     start = F.when(F.col("a") == 0, 0).otherwise(F.char_length(F.array_join(F.slice("words", 1, F.col("a")), " ")) + 1)
@@ -76,6 +80,18 @@ def to_doc_json(corpus: DataFrame) -> DataFrame:
     return sents.join(ents, "sent_id", "left").select(F.col("sent_id").cast("string").alias("id"), "sentences", F.coalesce("entities", F.array().cast("array<struct<type:string,sentence_idx:int,start_word_idx:int,end_word_idx:int>>")).alias("entities"))
 
 
+def doc_json_summary(corpus: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row of an export: n_docs, n_entities, n_dropped (spans that cover no word) and entity_types in order."""
+    asked = corpus.agg(F.sum(F.size("spans")).cast("long").alias("asked"))
+    kept = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size("entities")).cast("long").alias("n_entities"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.transform("entities", lambda e: e["type"]))))).alias("entity_types"))
+    return kept.crossJoin(asked).select("n_docs", "n_entities", (F.col("asked") - F.col("n_entities")).alias("n_dropped"), "entity_types")
+
+
+def dev_sample(docs: DataFrame, n: int = 200) -> DataFrame:
+    """The first n documents of a training export, by id as a number: its dev split."""
+    return docs.orderBy(F.col("id").try_cast("long").asc_nulls_last(), "id").limit(n)
+
+
 def read_yaml(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Rows of a list of mappings in a small configuration file."""
     with open(path, encoding="utf-8") as file:

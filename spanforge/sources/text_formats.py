@@ -15,8 +15,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bio_text(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sent_id, pos, token, tag): first and last column of each line; blank lines end sentences, one-column lines are skipped."""
-    lines = numbered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", r"(?U)\s+", " ")))
+    return bio_lines(numbered_lines(spark, path))
+
+
+def bio_lines(lines: DataFrame) -> DataFrame:
+    """(file, sent_id, pos, token, tag): first and last column of each of lines(file, line, value); blank lines end sentences, one-column lines are skipped."""
+    lines = lines.withColumn("value", F.trim(F.regexp_replace("value", r"(?U)\s+", " ")))
     order = Window.partitionBy("file").orderBy("line")
     marked = lines.withColumn("block", F.sum((F.col("value") == "").cast("int")).over(order))
     cols = marked.withColumn("cols", F.split("value", " ")).filter(F.size("cols") >= 2)
@@ -43,13 +47,25 @@ def load_corpus(tagged: DataFrame, keys: list[str], order: str, most: int | None
     out = tagged.groupBy(*keys).agg(text.alias("text")).join(found, keys)
     if most is None:
         return out
-    ranked = found.select(*keys, F.row_number().over(Window.orderBy(order)).alias("r")).filter(F.col("r") <= most)
-    return out.join(F.broadcast(ranked.drop("r")), keys)
+    return out.join(found.select(*keys).orderBy(order, *keys).limit(most), keys)
+
+
+#: Splits by the name that is asked for, and the file that holds them.
+SPLIT_FILES = {"train": "train", "validation": "dev", "test": "test"}
+
+
+def tag_summary(tagged: DataFrame, by: list[str], sentence: list[str]) -> DataFrame:
+    """(by, n_sentences, n_entities) of tagged tokens: sentences are told apart by their columns, entities are counted by their B- tags."""
+    one = tagged.groupBy(*by, *sentence).agg(F.count_if(F.col("tag").startswith("B-")).alias("n"))
+    return one.groupBy(*by).agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_entities"))
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sent_id, pos, token, entity): words of a ten-column table; comments, ranges (3-4) and empty words (5.1) are left out."""
-    lines = numbered_lines(spark, path)
+    return conllu_lines(numbered_lines(spark, path))
+
+
+def conllu_lines(lines: DataFrame) -> DataFrame:
+    """(file, sent_id, pos, token, entity): words of a ten-column table in lines(file, line, value); comments, ranges (3-4) and empty words (5.1) are left out."""
     order = Window.partitionBy("file").orderBy("line")
     marked = lines.withColumn("block", F.sum((F.trim("value") == "").cast("int")).over(order)).filter("value not like '#%'")
     cols = marked.withColumn("c", F.split("value", "\t")).filter((F.size("c") >= 10) & ~F.col("c")[0].contains("-") & ~F.col("c")[0].contains("."))
@@ -88,8 +104,11 @@ def bracket_spans(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_list(spark: SparkSession, path: str) -> DataFrame:
-    """(split, doc): bullets under the heading before them."""
-    lines = numbered_lines(spark, path)
+    return split_lines(numbered_lines(spark, path))
+
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """(split, doc): bullets of lines(file, line, value) under the heading before them."""
     heading = F.regexp_extract("value", r"^##\s*(\S+)", 1)
     under = F.last(F.when(heading != "", heading), True).over(Window.partitionBy("file").orderBy("line"))
     doc = F.regexp_extract("value", r"^\s*\*\s*(\S+)", 1)
@@ -102,9 +121,28 @@ def split_docs(docs: DataFrame, splits: DataFrame, special: str = "GENTLE_") ->
     return joined.select("doc", F.when(F.col("doc").startswith(special), "special_test").otherwise(F.coalesce("split", F.lit("train"))).alias("split"))
 
 
+def documents_of(docs: DataFrame, splits: DataFrame, corpus: str, split: str) -> DataFrame:
+    """docs(doc) of one split: of the main corpus by the split list, its train split being what no list names.
+
+    The special corpus has a test split alone, all its documents; asked for
+    another it gives the main corpus's.
+    """
+    if corpus not in ("main", "special") or split not in SPLIT_FILES:
+        raise ValueError(f"unknown corpus or split {corpus}, {split}")
+    if corpus == "special" and split == "test":
+        return docs.filter(F.col("doc").startswith("GENTLE_"))
+    main = docs.filter(F.col("doc").startswith("GUM_"))
+    if split == "train":
+        return main.join(splits.filter(F.col("split").isin("dev", "test", "test2")).select("doc"), "doc", "left_anti")
+    return main.join(splits.filter(F.col("split") == SPLIT_FILES[split]).select("doc"), "doc", "left_semi")
+
+
 def queue_log(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seconds) of finished runs; a negative exit code is no match, the last line of a name wins."""
-    lines = numbered_lines(spark, path)
+    return queue_lines(numbered_lines(spark, path))
+
+
+def queue_lines(lines: DataFrame) -> DataFrame:
+    """(name, seconds) of finished runs in lines(file, line, value); a negative exit code is no match, the last line of a name wins."""
     pattern = r"\]\s*(\S+).*:\s*done\s+exit=\d+\s+(\d+)s"
     rows = lines.select("file", "line", F.regexp_extract("value", pattern, 1).alias("name"), F.regexp_extract("value", pattern, 2).alias("s")).filter("name <> ''")
     return rows.groupBy("name").agg(F.max_by(F.col("s").cast("long"), F.struct("file", "line")).alias("seconds"))
@@ -117,3 +155,37 @@ def metric_files(spark: SparkSession, path: str) -> DataFrame:
     metric = F.regexp_extract("file", r"/metrics/([^/]+)$", 1)
     last = lines.select(run.alias("run"), metric.alias("metric"), "line", F.split("value", " ").alias("c")).groupBy("run", "metric").agg(F.max_by("c", "line").alias("c"))
     return last.select("run", "metric", F.col("c")[1].cast("double").alias("value"), F.col("c")[2].cast("long").alias("step"))
+
+
+def parameter_files(spark: SparkSession, path: str) -> DataFrame:
+    """(run, name, value): the params files of a run store, trash left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).filter("file not like '%/.trash/%'")
+    return whole.select(F.regexp_extract("file", r"([^/]+)/params/[^/]+$", 1).alias("run"), F.regexp_extract("file", r"/params/([^/]+)$", 1).alias("name"), "value")
+
+
+def best_runs(runs: DataFrame, prefer: str | None = None, states: list[str] | None = None) -> DataFrame:
+    """(dataset, run, value): of runs(dataset, run, model, state, value, changed) the one of the preferred model, then the newest, of each dataset.
+
+    Runs without a dataset or a value count for nothing, nor do those of other
+    states where states are named; of equally new ones the greatest name wins.
+    """
+    kept = runs.filter("dataset is not null and value is not null")
+    kept = kept.filter(F.col("state").isin(states)) if states is not None else kept
+    first = F.coalesce(F.col("model") == prefer, F.lit(False)).cast("int") if prefer else F.lit(0)
+    best = kept.groupBy("dataset").agg(F.max(F.struct(first.alias("p"), "changed", "run", "value")).alias("b"))
+    return best.select("dataset", "b.run", "b.value")
+
+
+def choose_splits(spans_by_split: DataFrame) -> DataFrame:
+    """(dataset, fit_split, eval_split, status) of (dataset, split, n_sentences, n_spans).
+
+    train falls back to validation, and test does. status: failed_load_train,
+    failed_load_test, failed_fit (no span to fit on), no_eval_spans or ok.
+    """
+    cell = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c)))
+    names = [f"{s}_{c}" for s in ("train", "validation", "test") for c in ("n_sentences", "n_spans")]
+    wide = spans_by_split.groupBy("dataset").agg(*[cell(*n.split("_", 1)).alias(n) for n in names])
+    pick = lambda s: F.when(F.col(f"{s}_n_sentences").isNotNull(), s).when(F.col("validation_n_sentences").isNotNull(), "validation")
+    spans_of = lambda s: F.coalesce(F.when(F.col(f"{s}_n_sentences").isNotNull(), F.col(f"{s}_n_spans")).otherwise(F.col("validation_n_spans")), F.lit(0))
+    status = F.when(pick("train").isNull(), "failed_load_train").when(pick("test").isNull(), "failed_load_test").when(spans_of("train") == 0, "failed_fit").when(spans_of("test") == 0, "no_eval_spans").otherwise("ok")
+    return wide.select("dataset", pick("train").alias("fit_split"), pick("test").alias("eval_split"), status.alias("status"))

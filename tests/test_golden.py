@@ -130,10 +130,10 @@ def test_template_place_is_the_first_occurrence(spark):
 
 
 def test_parsers(spark):
-    row = spark.createDataFrame([('He said ["a", "b"] and ["c"]', 'bad [a, "x"', "Marie(B-per), Curie(I-per)", "aXbaXb aX")], "a string, b string, c string, d string").select(
+    row = spark.createDataFrame([('He said ["a", 7, " b "] and ["c"]', 'bad [a, "x"] "y"', "Marie,(B-per), Curie(I-per)", "aXbaXb aX")], "a string, b string, c string, d string").select(
         parsing.first_json_strings(F.col("a")).alias("a"), parsing.first_json_strings(F.col("b")).alias("b"), parsing.word_tag_pairs(F.col("c")).alias("c"), parsing.greedy_spans(F.col("d"), F.array(F.lit("aX"), F.lit("Xb"), F.lit("aX"), F.lit("zz"))).alias("d"), parsing.locate(F.col("d"), F.lit("XB")).alias("e")
     ).first()
-    assert row.a == ["a", "b"] and row.b == ["x"] and [tuple(p) for p in row.c] == [("Marie", "B-per"), ("Curie", "I-per")]
+    assert row.a == ["a", "b"] and row.b == ["x"] and [tuple(p) for p in row.c] == [("Marie,", "B-per"), ("Curie", "I-per")]
     assert [(s.start_off, s.end_off) for s in row.d] == [(0, 2), (4, 6), (7, 9)] and row.e == 1
 
 
@@ -163,4 +163,102 @@ def test_heads(spark):
     weights = {r.label: r.weight for r in linear.balanced_weights(spark.createDataFrame([("a",)] * 3 + [("b",)], "label string")).collect()}
     assert weights == {"a": 4 / 6, "b": 2.0}
     made = triplets.sample(train.select(F.col("vec_id").alias("id"), "label"), 2, "1").collect()
+    again = triplets.sample(train.repartition(5).select(F.col("vec_id").alias("id"), "label"), 2, "1").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, made))
     assert len(made) == 120 and all(r.anchor != r.positive and (r.anchor - r.positive) % 2 == 0 and (r.anchor - r.negative) % 2 for r in made)
+
+
+def test_triplet_edges(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, label string")
+    made = triplets.sample(items.filter("label is not null"), 2, "s").collect()
+    assert sorted((r.anchor, r.positive, r.negative) for r in made) == [(1, 2, 3), (2, 1, 3)]
+    assert triplets.sample(items.filter("label = 'a'"), 2, "s").count() == 0 and triplets.sample(items.limit(0), 1, "s").count() == 0
+    assert triplets.sample(items.filter("label is not null"), 1, "s", excluded=["b"]).count() == 0
+    errors = spark.createDataFrame([(1, "a", "b"), (9, "b", "c")], "id long, gold string, pred string")
+    hard = triplets.hard_negatives(errors, items, "s", 1)
+    assert all((r.anchor, r.positive, r.negative) == (1, 2, 3) for r in hard.collect()) and hard.count() <= 1
+    mixed = triplets.mix(hard.limit(0).union(spark.createDataFrame([(i, 0, 0, 1) for i in range(9)], "a long, p long, n long, r int")), triplets.sample(items.filter("label is not null"), 1, "s"), 4, 0.5, "s")
+    assert sorted(r.kind for r in mixed.collect()) == ["easy", "easy", "hard", "hard"]
+    with_labels, _ = triplets.entity_triplets(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "doc_id long, id long, label string"), "s", same_doc=1.0)
+    assert {(r.anchor, r.positive, r.negative) for r in with_labels.collect() if r.anchor < 3} == {(1, "a", "b"), (2, "b", "a")}
+
+
+def test_neighbours_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(230, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, "abc"[i % 3], x[i].tolist()) for i in range(230)], "vec_id long, label string, vec array<double>")
+    got = {r.vec_id: (r.pred, r.votes) for r in vectors.knn(rows.filter("vec_id >= 30"), rows.filter("vec_id < 30"), 7, block=40).collect()}
+    for i in range(30):
+        near = sorted(range(30, 230), key=lambda j: (-round(float(x[i] @ x[j]), 6), j))[:7]
+        votes = {c: sum("abc"[j % 3] == c for j in near) for c in "abc"}
+        assert got[i] == min(((c, n) for c, n in votes.items() if n), key=lambda p: (-p[1], p[0]))
+
+
+def test_principal_components_and_full_gaussians(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 5)) @ rng.normal(size=(5, 5)) + np.arange(5)
+    rows = spark.createDataFrame([(i, "xy"[i % 2], (x[i] + (i % 2) * 2).tolist()) for i in range(120)], "vec_id long, label string, vec array<double>")
+    data = np.array([r.vec for r in rows.orderBy("vec_id").collect()])
+    mean, components, variances = vectors.principal(rows, 3)
+    assert np.allclose(mean, data.mean(0)) and np.allclose(variances, np.sort(np.linalg.eigvalsh(np.cov(data.T)))[::-1][:3])
+    low = np.array([r.vec for r in vectors.project(rows, mean, components).orderBy("vec_id").collect()])
+    assert np.allclose(np.cov(low.T), np.diag(variances), atol=1e-9)
+    params = gmm.full(rows)
+    got = {(r.vec_id, r.label): r.ll for r in gmm.full_log_likelihood(rows, params, ["vec_id"]).collect()}
+    for label in "xy":
+        own = data[["xy"[i % 2] == label for i in range(120)]]
+        cov = np.cov(own.T, bias=True) + gmm.REGULARISE * np.eye(5)
+        d = data - own.mean(0)
+        want = -0.5 * (5 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + (d * np.linalg.solve(cov, d.T).T).sum(1))
+        assert all(abs(got[i, label] - want[i]) < 1e-6 for i in range(120))
+
+
+def test_variants_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4)) + np.repeat(np.eye(4)[:3] * 1.5, 20, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mentions = spark.createDataFrame([(i, "abc"[i // 20], x[i].tolist()) for i in range(60)], "vec_id long, gold string, vec array<double>")
+    start = np.eye(4)[:3] + 0.1
+    start /= np.linalg.norm(start, axis=1, keepdims=True)
+    protos = spark.createDataFrame([(c, start[i].tolist()) for i, c in enumerate("abc")], "label string, vec array<double>")
+    got = {}
+    for r in vectors.variants(mentions, {"context": protos, "multi": protos.union(protos)}, "vec_id").collect():
+        got.setdefault(r.variant, {})[r.vec_id] = r.pred
+    assert set(got) == {"context", "context+calib", "context+refine", "context+refine+calib", "multi-proto"}
+    c = start
+    for _ in range(3):
+        own = (x @ c.T).round(6).argmax(1)
+        c = np.stack([(m := x[own == j].mean(0)) / np.linalg.norm(m) if (own == j).any() else c[j] for j in range(3)])
+    for name, p in (("context", start), ("context+refine", c)):
+        sims = x @ p.T
+        assert [got[name][i] for i in range(60)] == ["abc"[j] for j in sims.round(6).argmax(1)]
+        assert [got[f"{name}+calib"][i] for i in range(60)] == ["abc"[j] for j in (sims - sims.mean(0)).round(6).argmax(1)]
+    assert got["multi-proto"] == got["context"]
+
+
+def test_hold_out(spark):
+    items = spark.createDataFrame([(i, "ab"[i % 10 == 0]) for i in range(100)], "id long, label string")
+    held = linear.hold_out(items, 0.2, "s").filter("held_out").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in held} == {"a": 18, "b": 2}
+    lone = linear.hold_out(items.union(spark.createDataFrame([(1000, "z")], items.schema)), 0.2, "s")
+    assert lone.count() == 101 and 5 < lone.filter("held_out").count() < 40
+
+
+def test_realignment():
+    pairs = [("Marie", "B-per"), ("extra", "O"), ("CURIE", " I-per "), ("won", ""), ("x", "B-loc")]
+    assert parsing.realigned_tags(["Marie", "Curie", "missing", "won", "a"], pairs) == ["B-per", "I-per", "O", "O", "O"]
+    assert parsing.realigned_tags(["far"], [("1", "O"), ("2", "O"), ("3", "O"), ("4", "O"), ("far", "B-x")]) == ["O"]
+    assert parsing.realigned_tags(["w"], []) == ["O"] and parsing.realigned_tags([], pairs) == []
+
+
+def test_placed_and_typed_entities(spark):
+    row = spark.createDataFrame([("abab ab Paris", '[{"text": "ab", "type": "Creative Work"}, {"text": "bab", "type": "LOC"}, {"text": "ab", "type": "loc"}, {"text": "Paris", "type": "none"}]')], "t string, o string")
+    got = row.select(parsing.typed_entities(F.col("o"), F.col("t"), ["creative_work", "LOC"]).alias("s"), parsing.typed_entities(F.lit("no list"), F.col("t"), ["LOC"]).alias("n")).first()
+    assert [tuple(s) for s in got.s] == [(0, 2, "creative_work"), (2, 4, "LOC")] and got.n == []
+
+
+def test_open_report_without_a_declared_label(spark):
+    typed = spark.createDataFrame([("x", "OOD", "a", -1.0), ("x", "a", "a", -2.0)], "gold string, pred string, best string, ll double")
+    rows = {(r.section, r.name, r.metric): r.value for r in metrics.open_report(typed, ["a", "b"]).collect()}
+    assert rows["total", "all", "accuracy_in_schema"] == 0.0 and rows["unknown", "x", "recall"] == 0.5 and rows["confusion", "b", "OOD"] == 0.0 and rows["loglik", "x", "max"] == -1.0

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "4GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con

@@ -78,3 +78,30 @@ def test_reports(spark, tmp_path):
     assert [r.line for r in structured.markdown(rows.orderBy("dataset"), ["dataset", "value"]).collect()] == ["| a | 0.75 |", "| b | 0.1 |"]
     cells = spark.createDataFrame([("m", "a", 1.0), ("m", "a", 2.0)], "model string, dataset string, value double")
     assert structured.mean_std_cells(cells).first().cell == "1.5±0.7"
+
+
+def test_corpora_and_runs(spark):
+    docs = spark.createDataFrame([("GUM_a",), ("GUM_b",), ("GENTLE_x",)], "doc string")
+    splits = spark.createDataFrame([("dev", "GUM_a"), ("test2", "GENTLE_x")], "split string, doc string")
+    of = lambda corpus, split: sorted(r.doc for r in t.documents_of(docs, splits, corpus, split).collect())
+    assert of("main", "train") == of("special", "train") == ["GUM_b"] and of("main", "validation") == ["GUM_a"] and of("main", "test") == [] and of("special", "test") == ["GENTLE_x"]
+    runs = spark.createDataFrame([("d", "r1", "m", "s", 1.0, 5), ("d", "r2", "x", "s", 2.0, 9), ("d", "r3", "m", "s", None, 99), (None, "r4", "m", "s", 1.0, 1)], "dataset string, run string, model string, state string, value double, changed long")
+    assert [tuple(r) for r in t.best_runs(runs, "m").collect()] == [("d", "r1", 1.0)] and [tuple(r) for r in t.best_runs(runs).collect()] == [("d", "r2", 2.0)] and t.best_runs(runs, states=["z"]).count() == 0
+    sizes = spark.createDataFrame([("a", "validation", 1, 1), ("b", "train", 1, 0), ("b", "test", 1, 1), ("c", "test", 1, 1), ("d", "train", 1, 1), ("e", "train", 1, 1), ("e", "test", 1, 0)], "dataset string, split string, n_sentences long, n_spans long")
+    assert {r.dataset: (r.fit_split, r.eval_split, r.status) for r in t.choose_splits(sizes).collect()} == {"a": ("validation", "validation", "ok"), "b": ("train", "test", "failed_fit"), "c": (None, "test", "failed_load_train"), "d": ("train", None, "failed_load_test"), "e": ("train", "test", "no_eval_spans")}
+
+
+def test_export_summary(spark):
+    corpus = spark.createDataFrame([(i, "Marie Curie", [(0, 5, "per"), (6, 6, "none")]) for i in range(12)], "sent_id long, text string, spans array<struct<start_off:int,end_off:int,label:string>>")
+    docs = structured.to_doc_json(corpus)
+    row = structured.doc_json_summary(corpus, docs).first()
+    assert (row.n_docs, row.n_entities, row.n_dropped, row.entity_types) == (12, 12, 12, ["per"])
+    assert [r.id for r in structured.dev_sample(docs, 3).collect()] == ["0", "1", "2"]
+
+
+def test_parameter_files(spark, tmp_path):
+    for run, name, value in (("r1", "dataset", "conll"), (".trash/r9", "dataset", "x")):
+        (tmp_path / run / "params").mkdir(parents=True)
+        (tmp_path / run / "params" / name).write_text(value + "\n")
+    got = t.parameter_files(spark, str(tmp_path / "r*" / "params" / "*")).collect()
+    assert [(r.run, r.name, r.value.strip()) for r in got] == [("r1", "dataset", "conll")]
