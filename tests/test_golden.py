@@ -262,3 +262,60 @@ def test_open_report_without_a_declared_label(spark):
     typed = spark.createDataFrame([("x", "OOD", "a", -1.0), ("x", "a", "a", -2.0)], "gold string, pred string, best string, ll double")
     rows = {(r.section, r.name, r.metric): r.value for r in metrics.open_report(typed, ["a", "b"]).collect()}
     assert rows["total", "all", "accuracy_in_schema"] == 0.0 and rows["unknown", "x", "recall"] == 0.5 and rows["confusion", "b", "OOD"] == 0.0 and rows["loglik", "x", "max"] == -1.0
+
+
+def test_bootstrap_by_definition(spark):
+    rng = random.Random(9)
+    gold = [rng.choice("abc") for _ in range(90)]
+    pred = [g if rng.random() < 0.7 else rng.choice("abc") for g in gold]
+    pairs = spark.createDataFrame(list(zip(gold, pred)), "gold string, pred string")
+    drawn = {}
+    for r in metrics.resamples(pairs, 6, 5).collect():
+        drawn.setdefault(r.replicate, []).extend([(r.gold, r.pred)] * r.weight)
+    assert sorted(drawn) == list(range(6)) and all(len(d) == 90 and set(d) <= set(zip(gold, pred)) for d in drawn.values())
+    assert len({tuple(sorted(d)) for d in drawn.values()}) > 1
+    rows = {r.metric: r for r in metrics.bootstrap(pairs, 6, 5).collect()}
+    amis = [plain_ami(*zip(*d)) for d in drawn.values()]
+
+    def f1(d):
+        labels = {x for p in d for x in p}
+        one = lambda c: 2 * sum(p == (c, c) for p in d) / (sum(p[0] == c for p in d) + sum(p[1] == c for p in d))
+        return sum(map(one, labels)) / len(labels)
+
+    for metric, values in (("ami", amis), ("macro_f1", [f1(d) for d in drawn.values()])):
+        want = (np.mean(values), np.std(values, ddof=1), *np.percentile(values, [2.5, 97.5]))
+        assert all(abs(x - y) < 5e-6 for x, y in zip(tuple(rows[metric])[1:], want))
+    assert metrics.bootstrap(pairs.limit(0), 6, 5).count() == 0
+
+
+def test_threshold_tuning_by_plain_descent(spark):
+    rng = np.random.default_rng(11)
+    probs = rng.dirichlet([2, 1, 1], 60)
+    gold = ["abc"[int(np.argmax(p + rng.normal(0, 0.2, 3) + [-0.15, 0, 0.1]))] for p in probs]
+    rows = spark.createDataFrame([(g, list("abc"), p.tolist()) for g, p in zip(gold, probs)], "gold string, labels array<string>, probs array<double>")
+    got = {r.label: r.threshold for r in linear.tune_thresholds(rows, 1).collect()}
+
+    def score(t):
+        pred = ["abc"[int(np.argmax(p - t))] for p in probs]
+        labels = set(gold) | set(pred)
+        return round(sum(2 * sum(g == p == c for g, p in zip(gold, pred)) / (gold.count(c) + pred.count(c)) for c in labels) / len(labels), 6)
+
+    t = np.zeros(3)
+    for at in range(3):
+        options = [round(-0.3 + 0.025 * i, 3) for i in range(25)]
+        t[at] = max(options, key=lambda v: (score(np.where(np.arange(3) == at, v, t)), -abs(v), -v))
+    assert [got[c] for c in "abc"] == t.tolist()
+
+
+def test_anchored_mixtures_start_at_their_anchor(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(-3, 1, (80, 2)), rng.normal(3, 1, (80, 2))])
+    _, mean, _ = gmm.em(x, 2, 0, 1, np.array([5.0, 5.0]))
+    assert mean[0].tolist() == [5.0, 5.0] and 0 < np.abs(mean[1] - 5).max() < 6 * gmm.JITTER
+    points = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")
+    anchors_ = spark.createDataFrame([("low", [-3.0, -3.0]), ("high", [3.0, 3.0])], "label string, vec array<double>")
+    got = gmm.fit_anchored(points, anchors_, 2).collect()
+    assert sorted((r.label, r.component) for r in got) == [("high", 0), ("high", 1), ("low", 0), ("low", 1)]
+    assert all(abs(sum(r.weight for r in got if r.label == label) - 1) < 1e-9 for label in ("low", "high"))
+    with pytest.raises(ValueError):
+        gmm.fit_anchored(points.limit(0), anchors_, 2)
