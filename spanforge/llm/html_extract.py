@@ -8,8 +8,11 @@ with those siblings that score well beside it.
 Elements, roles and hidden parts that are never main text go at once. Words of a
 class or id weigh: each that tells of chrome counts against the element, each
 other one for it. Where they count against it the element must have the more
-points by its paragraphs; a few words (comments, adverts, cookies, ...) cannot be
-made up for by prose, as reader comments are prose too.
+points by its paragraphs. Names that end in a word of chrome (comments, adverts,
+cookies, ...), words of place and shape aside, cannot be made up for by prose, as
+reader comments are prose too. Where another word follows, as in cookie-recipe,
+the last one tells what the element is: inside an article a little prose is
+enough, elsewhere it takes as much as for a doubtful word.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ CLOSES = {"li": "li", "dd": "dd dt", "dt": "dd dt", "tr": "tr td th", "td": "td
 LIMITS = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "tr": "table", "td": "table", "th": "table", "option": "select", "tbody": "table", "thead": "table", "tfoot": "table"}
 CLOSES = {k: (frozenset(v.split()), frozenset(LIMITS[k].split())) for k, v in CLOSES.items()}
 #: What never belongs to the main text: elements, roles, and words of a class or id.
-DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math nav aside footer form button select option textarea input label dialog menu audio video map noembed noframes xmp title".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg canvas annotation annotation-xml nav aside footer form button select option textarea input label dialog menu audio video map noembed noframes xmp title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 CHROME = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored sponsors promo sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs toolbar topbar masthead footer comment comments commentlist disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login widget widgets pagination pager".split()
@@ -55,11 +58,11 @@ START = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 3.0, "td": 2.0, "
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "needs", "prose", "letters", "linked", "gone")
+    __slots__ = ("tag", "parent", "children", "needs", "prose", "letters", "linked", "commas", "gone")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.needs, self.prose, self.letters, self.linked, self.gone = 0.0, 0.0, 0, 0, False
+        self.needs, self.prose, self.letters, self.linked, self.commas, self.gone = 0.0, 0.0, 0, 0, 0, False
 
 
 def name_points(names: str, tag: str = "div", inside_article: bool = False) -> float:
@@ -73,8 +76,11 @@ def name_points(names: str, tag: str = "div", inside_article: bool = False) -> f
         doubtful = sum(w in DOUBTFUL and not (w == "header" and inside_article) for w in words)
         others = sum(w not in SHAPES and w not in CHROME and w not in DOUBTFUL for w in words)
         against = chrome + doubtful - others - (tag == "article")
-        if chrome and against >= 0:
+        told = [w for w in words if w not in SHAPES]
+        if chrome and (told[-1] in CHROME or not others):
             return float("inf")
+        if chrome and not inside_article:
+            against = max(against, 1)
         if chrome + doubtful:
             needs = max(needs, AGAINST * against if against > 0 else EVEN)
     return needs
@@ -96,12 +102,40 @@ def _needs(tag: str, attrs: str, inside_article: bool) -> float:
     return 0.0 if tag == "main" else name_points(names, tag, inside_article)
 
 
+class Open:
+    """The open elements, with the places of each name and of the blocks, so that no search walks through them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.blocks, self.articles = [root], [], 0
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost element of this name; 0 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.articles += node.tag in ("article", "main")
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at this place and all within."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.articles -= node.tag in ("article", "main")
+
+
 def parse(text: str) -> Node:
     """The tree of a page; elements that never belong to the main text are marked as gone and stay empty."""
     root = at = Node("#root", None)
     position, size = 0, len(text)
-    depth: list[Node] = [root]
-    articles = 0
+    within = Open(root)
     while position < size:
         m = _TOKEN.match(text, position)
         position = m.end()
@@ -115,32 +149,21 @@ def parse(text: str) -> Node:
         if m["end"]:
             if tag == "br":
                 at.children.append(" ")
-            elif any(n.tag == tag for n in reversed(depth)):
-                while True:
-                    n = depth.pop()
-                    articles -= n.tag in ("article", "main")
-                    if n.tag == tag:
-                        break
-                at = depth[-1]
+            elif place := within.last(tag):
+                within.close(place)
+                at = within.nodes[-1]
             continue
         if tag in BLOCK and tag not in CLOSES:
-            for i in range(len(depth) - 1, 0, -1):
-                if depth[i].tag == "p":
-                    del depth[i:]
-                    break
-                if depth[i].tag in BLOCK and depth[i].tag != "p":
-                    break
+            if within.blocks and within.nodes[within.blocks[-1]].tag == "p":
+                within.close(within.blocks[-1])
         elif tag in CLOSES:
             closes, until = CLOSES[tag]
-            for i in range(len(depth) - 1, 0, -1):
-                if depth[i].tag in until:
-                    break
-                if depth[i].tag in closes:
-                    del depth[i:]
-                    break
-        at = depth[-1]
+            place = max(map(within.last, closes))
+            if place > max(map(within.last, until)):
+                within.close(place)
+        at = within.nodes[-1]
         node = Node(tag, at)
-        node.needs = _needs(tag, m["attrs"], articles > 0)
+        node.needs = _needs(tag, m["attrs"], within.articles > 0)
         node.gone = at.gone or node.needs == float("inf")
         if not at.gone:
             at.children.append(node)
@@ -148,14 +171,13 @@ def parse(text: str) -> Node:
             end = regex.compile(rf"</{tag}[^>]*>?", regex.I).search(text, position)
             position = end.end() if end else size
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            depth.append(node)
+            within.push(node)
             at = node
-            articles += tag in ("article", "main")
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Text and linked text of every kept element, in page order."""
+    """Text, linked text and commas of every kept element, in page order."""
     order: list[Node] = []
     stack: list[Node] = [root]
     while stack:
@@ -163,28 +185,20 @@ def _measure(root: Node) -> list[Node]:
         order.append(n)
         stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.gone)
     for n in order:
-        n.letters, n.linked = 0, 0
+        n.letters, n.linked, n.commas = 0, 0, 0
     for n in reversed(order):
-        n.letters += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        own = [c for c in n.children if isinstance(c, str)]
+        n.letters += sum(len(c.strip()) for c in own)
+        n.commas += sum(c.count(",") + c.count("،") + c.count("、") + c.count("，") for c in own)
         if n.tag == "a":
             n.linked = n.letters
         if n.parent is not None:
             n.parent.letters += n.letters
             n.parent.linked += n.linked
+            n.parent.commas += n.commas
     return order
 
 
-def _commas(node: Node) -> int:
-    total, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                total += c.count(",") + c.count("،") + c.count("、") + c.count("，")
-            elif not c.gone:
-                stack.append(c)
-    return total
-
-
 def _is_paragraph(n: Node) -> bool:
     if n.tag in PARAGRAPHS:
         return not any(isinstance(c, Node) and c.tag in BLOCK and not c.gone for c in n.children)
@@ -195,7 +209,7 @@ def _worth(n: Node) -> float:
     """Points of a paragraph for its length and commas, less for links; 0 for what is none."""
     if not n.letters or not _is_paragraph(n):
         return 0.0
-    worth = (1 + min(_commas(n), 10) + min(n.letters / 100, 3)) * (1 - n.linked / n.letters)
+    worth = (1 + min(n.commas, 10) + min(n.letters / 100, 3)) * (1 - n.linked / n.letters)
     return worth * min(1.0, n.letters / 25)
 
 
@@ -288,7 +302,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page, or one without any text to keep, gives an empty text;
     n_chars counts code points. Null and repeated ids, urls and rows stay as
-    they are; other columns are ignored; no text is cut.
+    they are; an empty table gives no rows; other columns are ignored; no text is
+    cut, and the time that a page takes grows with its length, however deep it is.
     """
     ship(pages.sparkSession)
 

@@ -1,8 +1,9 @@
 import random
+import time
 
 import pytest
 
-from spanforge.llm.html_extract import extract, main_text, name_points
+from spanforge.llm.html_extract import CHROME, DOUBTFUL, extract, main_text, name_points
 
 PROSE = "This is a sentence, with commas, long enough to count as a paragraph of the article itself."
 
@@ -115,3 +116,33 @@ def test_planted_articles():
         after = [f'<div id="comments"><p>{prose()}</p><p>{prose()}</p></div>', f"<footer><p>{prose()}</p></footer>"]
         body = "".join(rng.sample(around, rng.randint(0, 4))) + article + "".join(rng.sample(after, rng.randint(0, 2)))
         assert main_text(page(body)) == "\n\n".join(blocks), (seed, body)
+
+
+@pytest.mark.parametrize("word", sorted(CHROME | DOUBTFUL))
+def test_every_word_before_another_leaves_prose(word):
+    long = f"{PROSE} " * 4
+    for name in (f"{word}-recipe", f"{word}-theory history", f"the{word.title()}Engineering"):
+        inner = f'<div class="{name}"><p>{long}</p></div>'
+        assert main_text(page(f"<article><p>{PROSE}</p>{inner}<p>{PROSE}</p></article>")).count(PROSE) == 6, name
+        assert main_text(page(f'<div id="story"><p>{PROSE}</p><section class="{name}"><p>{long}</p><p>{long}</p><p>{long}</p></section><p>{PROSE}</p></div>')).count(PROSE) == 14, name
+
+
+@pytest.mark.parametrize("word", sorted(CHROME))
+def test_every_word_of_chrome_removes_as_the_last_one(word):
+    for name in (word, f"reader-{word}", f"{word}-box", f"site{word.title()}Wrapper"):
+        assert main_text(page(f'<article><p>{PROSE}</p><div class="{name}"><p>{PROSE * 5}</p></div></article>')) == PROSE, name
+
+
+def test_formulas_are_text():
+    assert main_text(page("<article><p>If <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>a=b</annotation></math> holds.</p></article>")) == "If a=b holds."
+
+
+@pytest.mark.parametrize(
+    ("one", "size"),
+    [("<div>a", 100_000), ("<b>a", 100_000), ("<p><b><li>a", 50_000), ("<span></i>", 100_000), ("<b><table><tr><td>x", 30_000), ("<div><p>a, b</p>", 60_000), ("<ul><li>a", 60_000)],
+)
+def test_deep_pages_take_seconds(one, size):
+    began = time.process_time()
+    main_text(one * size)
+    main_text("<b>" * size + "<li></li><div></div>" * size)
+    assert time.process_time() - began < 20

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from spanforge.llm import pivot_index as p
 
@@ -64,20 +67,57 @@ def test_recall_on_loose_groups():
     assert len(want) > 500 and len(want & set(found)) >= 0.9 * len(want)
 
 
+def partners(rng, x, cosine):
+    """A vector at this cosine of each of x."""
+    z = rng.normal(size=x.shape)
+    z = p.unit(z - (z * x).sum(1, keepdims=True) * x)
+    return cosine * x + math.sqrt(1 - cosine * cosine) * z
+
+
+@pytest.mark.parametrize("size", [16, 64, 768])
+@pytest.mark.parametrize("n_pivots", [16, 64, 256, 512, 2048])
+def test_recall_at_every_number_of_pivots(n_pivots, size, cosine=0.9501):
+    rng = np.random.default_rng(n_pivots + size)
+    pivots = p.choose_pivots(p.unit(rng.normal(size=(p.SAMPLE_ROWS // 4, size))), n_pivots)
+    x = p.unit(rng.normal(size=(1000, size)))
+    perms = np.concatenate([p.permutations(x, pivots), p.permutations(partners(rng, x, cosine), pivots)])
+    key, row = p.list_keys(perms, len(pivots))
+    lists = [set() for _ in perms]
+    for k, r in zip(key.tolist(), row.tolist()):
+        lists[r].add(k)
+    found = 0
+    for i in range(1000):
+        two = np.array([i, i + 1000])
+        found += sum(len(a) for k in lists[i] & lists[i + 1000] for a, _ in p.candidates(k, perms, two, two, len(pivots)))
+    assert found >= 920
+
+
+def test_recall_through_spark(spark):
+    """5,000 vectors in 64 dimensions with a partner each for half of them, against brute force."""
+    rng = np.random.default_rng(7)
+    x = p.unit(rng.normal(size=(2500, 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, partners(rng, x, 0.955)]))]
+    got = {r.vec_id: r for r in p.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    every = p.unit(np.array([v for _, v in rows]))
+    want = np.triu(every @ every.T >= p.LEAST_COSINE, 1).sum()
+    assert sum(r.n_links for r in got.values()) >= 2 * 0.9 * want and want >= 2500
+
+
 def test_candidates_by_definition():
     rng = np.random.default_rng(5)
-    perms = np.array([rng.permutation(9)[: p.NEAREST] for _ in range(200)], np.int32)
-    key, row = p.list_keys(perms, 9)
+    pivots, (least, moved) = 14, p.agree(14)
+    perms = np.array([rng.permutation(pivots)[: p.NEAREST] for _ in range(200)], np.int32)
+    key, row = p.list_keys(perms, pivots)
     found = set()
     for k in np.unique(key):
         own = np.sort(row[key == k])
-        found |= {(a, b) for i, j in p.candidates(int(k), perms, own, own, 9) for a, b in zip(i.tolist(), j.tolist())}
+        found |= {(a, b) for i, j in p.candidates(int(k), perms, own, own, pivots) for a, b in zip(i.tolist(), j.tolist())}
     want = set()
     for a in range(200):
         for b in range(a + 1, 200):
             u, v = perms[a].tolist(), perms[b].tolist()
             both = set(u) & set(v)
-            if len(both) >= p.LEAST_SHARED and sum(abs(u.index(z) - v.index(z)) for z in both) + (p.NEAREST - len(both)) * p.NEAREST <= p.MOST_MOVED:
+            if len(both) >= least and sum(abs(u.index(z) - v.index(z)) for z in both) + (p.NEAREST - len(both)) * p.NEAREST <= moved:
                 want.add((a, b))
     assert found == want and len(want) > 100
 
