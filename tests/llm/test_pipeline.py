@@ -68,3 +68,45 @@ def test_stages_keep_the_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, path)
         assert out.schema.simpleString() == docs.schema.simpleString(), name
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+#: Names that operators give to columns of their own.
+CLASHING = "score n_words n_removed _row_key k component rest doc _text _rest similarity item_id n h fp ids n_tokens marks".split()
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_empty_table(spark, folder, name):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert STAGES[name](spark, docs.limit(0), path).count() == 0
+
+
+def test_clashing_names_keep_their_values(spark, folder, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "LEAST_STEPS", 20)
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    own = {c: 77.0 + i for i, c in enumerate(CLASHING)}
+    docs = docs.selectExpr("*", *(f"double({v}) as {c}" for c, v in own.items()))
+    for name in list(STAGES)[:-1]:
+        out = STAGES[name](spark, docs, path)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        rows = out.collect()
+        assert len(rows) > 100 and all(r[c] == v for r in rows for c, v in own.items()), name
+
+
+def test_nulls_repeats_and_long_texts(spark, folder):
+    path, items = folder
+    long = " ".join(f"w{i}" for i in range(60_000))
+    odd = [(None, "abc " * 30), (None, None), (1, None), (1, ""), (1, "same words " * 3), (1, "same words " * 3), (2, long), (3, long + " end"), (4, items[0][1])]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in STAGES["near_dedup"](spark, docs, path).collect()), key=str)
+    assert kept == sorted([(None, None), (None, "abc " * 30), (1, "same words " * 3), (2, long), (4, items[0][1])], key=str)
+    cleared = STAGES["substring_dedup"](spark, docs, path).collect()
+    assert sorted(len(r.text) for r in cleared if r.doc_id in (2, 3)) == [3, len(long)]
+    assert len(cleared) == len(odd) and all(r.n_chars == len(r.text) for r in cleared)
+    clean = STAGES["decontamination"](spark, docs, path).collect()
+    assert sorted((r.doc_id or -1 for r in clean)) == [-1, -1, 1, 1, 1, 1, 2, 3]
+    coded = STAGES["bpe"](spark, docs, path).collect()
+    assert len(coded) == len(odd) and sorted(r.n_tokens for r in coded)[:3] == [0, 0, 0]
+    assert STAGES["quality"](spark, docs, path).columns == docs.columns
