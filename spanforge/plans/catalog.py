@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpora, harness, reports, scoring, text_queries
+from . import corpora, harness, learning, reports, scoring, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **scoring.QUERIES, **reports.QUERIES, **corpora.QUERIES, **harness.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES, **scoring.ORACLES, **reports.ORACLES, **corpora.ORACLES, **harness.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **scoring.QUERIES, **reports.QUERIES, **corpora.QUERIES, **harness.QUERIES, **learning.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **scoring.ORACLES, **reports.ORACLES, **corpora.ORACLES, **harness.ORACLES, **learning.ORACLES}

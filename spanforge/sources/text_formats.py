@@ -1,4 +1,4 @@
-"""Text sources: token/tag lines, bracket-annotated tables, split lists, logs. One file is one row until it is split."""
+"""Text sources: token/tag lines and bracket-annotated tables, read by byte ranges; split lists and logs, where one file is one row until it is split."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import spans
+from . import blocks
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -14,8 +15,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
 
 
-def bio_text(spark: SparkSession, path: str) -> DataFrame:
-    return bio_lines(numbered_lines(spark, path))
+def bio_text(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
+    """(file, sent_id, pos, token, tag) of token/tag files: as bio_lines gives them, but read by byte ranges and without a shuffle of the lines."""
+    rows = blocks.numbered(blocks.read(spark, path, "bio", split_bytes))
+    return rows.select("file", "sent_id", "pos", F.col("first").alias("token"), F.col("second").alias("tag"))
 
 
 def bio_lines(lines: DataFrame) -> DataFrame:
@@ -60,8 +63,10 @@ def tag_summary(tagged: DataFrame, by: list[str], sentence: list[str]) -> DataFr
     return one.groupBy(*by).agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_entities"))
 
 
-def conllu(spark: SparkSession, path: str) -> DataFrame:
-    return conllu_lines(numbered_lines(spark, path))
+def conllu(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
+    """(file, sent_id, pos, token, entity) of ten-column files: as conllu_lines gives them, but read by byte ranges and without a shuffle of the lines."""
+    rows = blocks.numbered(blocks.read(spark, path, "conllu", split_bytes))
+    return rows.select("file", "sent_id", "pos", F.col("first").alias("token"), F.col("second").alias("entity"))
 
 
 def conllu_lines(lines: DataFrame) -> DataFrame:
