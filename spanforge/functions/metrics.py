@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 #: Label pairs that a resampled contingency table may have.
 MOST_CELLS = 100_000
@@ -53,7 +53,7 @@ def ami(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Only the contingency table is shuffled; the expected information sums over
     distinct pairs of marginals, and over counts within twelve deviations of the
-    hypergeometric mean, so it does not grow with the number of rows.
+    hypergeometric mean, so it grows with the root of the number of rows.
     """
     by = by or []
     table, gold, pred, total = _sides(pairs, by)
@@ -168,6 +168,18 @@ def diagnosis(pairs: DataFrame, k: int = 3) -> DataFrame:
     return out.withColumn("bias", bias).withColumn("gold_share", share("support")).withColumn("pred_share", share("predicted"))
 
 
+def _bounded_cells(pairs: DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The contingency table in order and its counts; one of more than MOST_CELLS is refused."""
+    table = cells(pairs).orderBy("gold", "pred").limit(MOST_CELLS + 1).toPandas()
+    if len(table) > MOST_CELLS:
+        raise ValueError("too many label pairs to resample")
+    return table, table["weight"].to_numpy(np.int64)
+
+
+def _drawn(counts: np.ndarray, seed: int, replicate: int) -> np.ndarray:
+    return np.random.default_rng([seed, replicate]).multinomial(counts.sum(), counts / counts.sum())
+
+
 def resamples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, gold, pred, weight): the contingency tables of so many resamples with replacement.
 
@@ -175,25 +187,76 @@ def resamples(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
     of the table, so no row is copied and the work grows with the cells. The table
     is a row for each pair of labels; a larger one than MOST_CELLS is refused.
     """
-    table = cells(pairs).orderBy("gold", "pred").limit(MOST_CELLS + 1).toPandas()
-    if len(table) > MOST_CELLS:
-        raise ValueError("too many label pairs to resample")
-    counts = table["weight"].to_numpy(np.int64)
+    ship(pairs.sparkSession)
+    table, counts = _bounded_cells(pairs)
 
     def draw(batches):
         for frame in batches:
             for i in frame["replicate"]:
-                drawn = np.random.default_rng([seed, int(i)]).multinomial(counts.sum(), counts / counts.sum())
-                yield pd.DataFrame({"replicate": i, "gold": table["gold"], "pred": table["pred"], "weight": drawn})
+                yield pd.DataFrame({"replicate": i, "gold": table["gold"], "pred": table["pred"], "weight": _drawn(counts, seed, int(i))})
 
     some = pairs.sparkSession.range(replicates if len(table) else 0).withColumnRenamed("id", "replicate")
     return some.mapInPandas(draw, "replicate long, gold string, pred string, weight long").filter("weight > 0")
 
 
+def expected_information(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, total: int) -> float:
+    """Expected mutual information of marginals a and b, na and nb times each, of `total` pairs.
+
+    A count's probability follows from the one before it by the hypergeometric
+    ratio, over twelve deviations around the mean, and all are scaled to sum to one.
+    """
+    out = 0.0
+    for x, many in zip(a.tolist(), na.tolist()):
+        for y, more in zip(b.tolist(), nb.tolist()):
+            mean = x * y / total
+            spread = 12 * math.sqrt(mean * (total - x) / total * (total - y) / max(total - 1, 1)) + 30
+            n = np.arange(max(0, x + y - total, math.floor(mean - spread)), min(x, y, math.ceil(mean + spread)) + 1, dtype=float)
+            step = np.log((x - n[:-1]) * (y - n[:-1]) / ((n[:-1] + 1) * (total - x - y + n[:-1] + 1)))
+            log = np.concatenate([[0.0], np.cumsum(step)])
+            p = np.exp(log - log.max())
+            some = n > 0
+            out += many * more * float((n[some] / total * np.log(n[some] * total / (float(x) * y)) * p[some]).sum() / p.sum())
+    return out
+
+
+def scores_of_cells(gold: np.ndarray, pred: np.ndarray, weight: np.ndarray, labels: int) -> tuple[float, float]:
+    """Adjusted mutual information and macro F1 of a contingency table of label numbers, as ami and macro_f1 give them."""
+    some = weight > 0
+    gold, pred, n = gold[some], pred[some], weight[some].astype(float)
+    a, b = np.bincount(gold, n, labels), np.bincount(pred, n, labels)
+    total = n.sum()
+    seen = (a + b) > 0
+    f1 = float((2 * np.bincount(gold[gold == pred], n[gold == pred], labels)[seen] / (a + b)[seen]).mean())
+    a, b = a[a > 0], b[b > 0]
+    if len(a) == len(b) == 1:
+        return 1.0, f1
+    information = float((n / total * np.log(n * total / (np.bincount(gold, n, labels)[gold] * np.bincount(pred, n, labels)[pred]))).sum())
+    entropy = [float(-(m / total * np.log(m / total)).sum()) for m in (a, b)]
+    expected = expected_information(*(np.unique(m.astype(np.int64), return_counts=True)[i] for i in (0, 1) for m in (a, b)), int(total))
+    under = sum(entropy) / 2 - expected
+    least = np.finfo(float).eps
+    return (information - expected) / (under if abs(under) >= least else math.copysign(least, under)), f1
+
+
+def resampled_scores(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, ami, macro_f1) of the tables that resamples draws, scored in the task that draws them: no table leaves it."""
+    ship(pairs.sparkSession)
+    table, counts = _bounded_cells(pairs)
+    names, numbers = np.unique(np.concatenate([table["gold"].to_numpy(str), table["pred"].to_numpy(str)]), return_inverse=True)
+    gold, pred = numbers[: len(table)], numbers[len(table) :]
+
+    def score(batches):
+        for frame in batches:
+            rows = [(int(i), *scores_of_cells(gold, pred, _drawn(counts, seed, int(i)), len(names))) for i in frame["replicate"]]
+            yield pd.DataFrame(rows, columns=["replicate", "ami", "macro_f1"])
+
+    some = pairs.sparkSession.range(replicates if len(table) else 0).withColumnRenamed("id", "replicate")
+    return some.mapInPandas(score, "replicate long, ami double, macro_f1 double")
+
+
 def bootstrap(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(metric, mean, std, low, high) of ami and macro_f1 over resamples; low and high are the 2.5 and 97.5 percentiles."""
-    drawn = cut(resamples(pairs, replicates, seed))
-    each = ami(drawn, ["replicate"]).join(macro_f1(drawn, ["replicate"]), "replicate")
+    each = resampled_scores(pairs, replicates, seed)
     rows = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("ami", "macro_f1")])).alias("m")).select("m.*")
     p = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
     out = rows.groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), p.alias("p"))

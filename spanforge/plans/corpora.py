@@ -11,6 +11,8 @@ from ..session import table
 from ..sources import structured, text_formats
 from .text_queries import _SPANS, KEYS, _tagged
 
+#: Letters that have a capital of one letter on every engine.
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 TYPES = ["Person", "creative_work", "GPE"]
 
 
@@ -145,7 +147,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def realigned_tags(spark, sf_dir):
     """What a tagger made of each turn, with words left out, added and in another case, on the turn's own words again."""
     tag = lambda i: F.when(i % 3 == 0, "B-X").when(i % 3 == 1, "I-X").otherwise("O")
-    pair = lambda w, i: F.concat(F.when(i % 11 == 4, F.upper(w)).otherwise(w), F.lit("("), tag(i), F.lit(")"))
+    pair = lambda w, i: F.concat(F.when(i % 11 == 4, F.translate(w, _SMALL, _SMALL.upper())).otherwise(w), F.lit("("), tag(i), F.lit(")"))
     made = F.transform("words", lambda w, i: F.when(i % 7 == 3, F.lit("")).when(i % 5 == 2, F.concat(F.lit("zzz(B-Y), "), pair(w, i))).otherwise(pair(w, i)))
     rows = _turns(spark, sf_dir).filter(~F.exists("words", lambda w: w.rlike(r"[()]"))).withColumn("output", F.array_join(F.filter(made, lambda x: x != ""), ", "))
     return parsing.realigned(rows, ["conv_id", "turn"]).select("conv_id", "turn", "pos", "token", "tag")
@@ -209,7 +211,7 @@ ORACLES = {
     "split_fallback": "WITH o AS (SELECT o_custkey AS dataset, ['train', 'validation', 'test'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS split, count(*) AS n, count(CASE WHEN o_orderpriority <= '2-HIGH' THEN 1 END) AS s FROM orders GROUP BY ALL), d AS (SELECT DISTINCT dataset FROM o), j AS (SELECT d.dataset, coalesce(a.split, v.split) AS fit_split, coalesce(t.split, v.split) AS eval_split, coalesce(a.s, v.s, 0) AS fs, coalesce(t.s, v.s, 0) AS es FROM d LEFT JOIN o a ON a.dataset = d.dataset AND a.split = 'train' LEFT JOIN o v ON v.dataset = d.dataset AND v.split = 'validation' LEFT JOIN o t ON t.dataset = d.dataset AND t.split = 'test') SELECT dataset, fit_split, eval_split, CASE WHEN fit_split IS NULL THEN 'failed_load_train' WHEN eval_split IS NULL THEN 'failed_load_test' WHEN fs = 0 THEN 'failed_fit' WHEN es = 0 THEN 'no_eval_spans' ELSE 'ok' END AS status FROM j",
     "realigned_tags": f"""WITH RECURSIVE {_TU}, u AS MATERIALIZED (SELECT * FROM t WHERE len(list_filter(words, lambda w: regexp_matches(w, '[()]'))) = 0),
         g AS (SELECT conv_id, turn, i, words[i + 1] AS w, CASE i % 3 WHEN 0 THEN 'B-X' WHEN 1 THEN 'I-X' ELSE 'O' END AS tag FROM u, unnest(range(len(words))) r(i)),
-        p AS (SELECT conv_id, turn, i * 2 + 1 AS o, CASE WHEN i % 11 = 4 THEN upper(w) ELSE w END AS w, tag FROM g WHERE i % 7 <> 3 UNION ALL SELECT conv_id, turn, i * 2, 'zzz', 'B-Y' FROM g WHERE i % 7 <> 3 AND i % 5 = 2),
+        p AS (SELECT conv_id, turn, i * 2 + 1 AS o, CASE WHEN i % 11 = 4 THEN translate(w, '{_SMALL}', '{_SMALL.upper()}') ELSE w END AS w, tag FROM g WHERE i % 7 <> 3 UNION ALL SELECT conv_id, turn, i * 2, 'zzz', 'B-Y' FROM g WHERE i % 7 <> 3 AND i % 5 = 2),
         q AS MATERIALIZED (SELECT conv_id, turn, list(lower(w) ORDER BY o) AS ws, list(tag ORDER BY o) AS ts FROM p GROUP BY ALL),
         b AS MATERIALIZED (SELECT u.conv_id, u.turn, words, coalesce(ws, []) AS ws, coalesce(ts, []) AS ts FROM u LEFT JOIN q ON q.conv_id = u.conv_id AND q.turn = u.turn),
         f AS (SELECT conv_id, turn, -1::BIGINT AS pos, 0::BIGINT AS nx, NULL::BIGINT AS hit FROM b UNION ALL

@@ -170,7 +170,7 @@ ORACLES = {
     "bio_to_spans_lenient": f"WITH {_SPANS} SELECT doc_id, line, start_off, end_off, label, first_pos, last_pos FROM sp",
     "bio_to_spans_strict": f"WITH {_SPANS} SELECT doc_id, line, start_off, end_off, label, first_pos, last_pos FROM sp WHERE first_bio = 'B'",
     "char_span_to_word_idx": f"WITH {_SPANS} SELECT sp.doc_id, sp.line, sp.start_off + 1 AS start_off, sp.end_off + 2 AS end_off, sp.first_pos AS span_id, min(t.pos) AS word_start, max(t.pos) + 1 AS word_end FROM sp LEFT JOIN tok t ON t.doc_id = sp.doc_id AND t.line = sp.line AND t.start_off < sp.end_off + 2 AND sp.start_off + 1 < t.end_off GROUP BY ALL",
-    "word_span_to_char": f"WITH {_SPANS} SELECT sp.doc_id, sp.line, first_pos, last_pos, a.start_off AS char_start, b.end_off AS char_end FROM sp JOIN tok a ON a.doc_id = sp.doc_id AND a.line = sp.line AND a.pos = first_pos JOIN tok b ON b.doc_id = sp.doc_id AND b.line = sp.line AND b.pos = last_pos",
+    "word_span_to_char": f"WITH {_SPANS}, fs AS MATERIALIZED (SELECT sp.doc_id, sp.line, first_pos, last_pos, t.start_off AS char_start FROM sp JOIN tok t ON t.doc_id = sp.doc_id AND t.line = sp.line AND t.pos = first_pos) SELECT fs.doc_id, fs.line, first_pos, last_pos, char_start, t.end_off AS char_end FROM fs JOIN tok t ON t.doc_id = fs.doc_id AND t.line = fs.line AND t.pos = last_pos",
     "span_in_context": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, md5('classification: ' || {_ENT}) AS context_md5, substr(text, s + 1, e - s) AS span FROM cx",
     "span_windowed": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, substr(text, greatest(0, s - 160) + 1, s - greatest(0, s - 160)) || '[ENT] ' || substr(text, s + 1, e - s) || ' [/ENT]' || substr(text, e + 1, 160) AS windowed FROM cx",
     "kwic": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, substr(text, greatest(0, s - 60) + 1, s - greatest(0, s - 60)) || '[[' || substr(text, s + 1, e - s) || ']]' || substr(text, e + 1, 60) AS snippet FROM cx",
