@@ -92,20 +92,21 @@ tx AS (SELECT doc_id, line, string_agg(token, ' ' ORDER BY pos) AS text FROM tok
 cx AS (SELECT sp.doc_id, sp.line, sp.start_off AS s, sp.end_off AS e, tx.text AS text FROM sp JOIN tx ON sp.doc_id = tx.doc_id AND sp.line = tx.line WHERE sp.label = 'CAP')
 """
 )
-#: Label names to break up, in every style that corpora use.
-LABELS = ["creative-work", "PER", "academicjournal", "Restaurant_Name", "ORG", "cell_type", "GPE", "programlang", "chemicalCompound", "DNA", "misc", "political party", "musicalartist", "eventLOC", "a/b"]
-
-
-def _labels(spark):
-    return spark.createDataFrame([(x,) for x in LABELS], "label string")
+def _part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as labels, in every style that corpora use: joined by marks, in inner capitals, acronyms, glued to a suffix, all capitals."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.floor(key / 6) % len(words) + 1).cast("int"))
+    styles = [F.replace(name, F.lit(" "), F.lit("_")), F.replace(F.initcap(name), F.lit(" "), F.lit("")), F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit("/"), "p_type")]
+    styles += [F.upper(pick(anchors.LONG_ACRONYMS)), F.concat(F.substring_index(name, " ", 1), pick(anchors.SUFFIXES)), F.col("p_type")]
+    return table(spark, sf_dir, "part").select(F.element_at(F.array(*styles), (key % 6 + 1).cast("int")).alias("label")).distinct()
 
 
 def anchor_words_research(spark, sf_dir):
-    return _labels(spark).select("label", F.array_join(anchors.long_anchors(F.col("label")), "|").alias("words"))
+    return _part_labels(spark, sf_dir).select("label", F.array_join(anchors.long_anchors(F.col("label")), "|").alias("words"))
 
 
 def anchor_words_package(spark, sf_dir):
-    return _labels(spark).select("label", F.array_join(anchors.short_anchors(F.col("label")), "|").alias("words"))
+    return _part_labels(spark, sf_dir).select("label", F.array_join(anchors.short_anchors(F.col("label")), "|").alias("words"))
 
 
 def _type_labels(spark, sf_dir):
@@ -162,9 +163,23 @@ def label_set_ops(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (token_offsets, bio_to_spans_lenient, bio_to_spans_strict, char_span_to_word_idx, word_span_to_char, span_in_context, span_windowed, kwic, anchor_words_research, anchor_words_package, anchor_resolve, template_expand, task_prefix, parse_pairs, json_props, pilener_pairs, gazetteer_detect, label_set_ops)}
 _ENT = "substr(text, 1, s) || '[ENT] ' || substr(text, s + 1, e - s) || ' [/ENT]' || substr(text, e + 1)"
-_SHORT = "VALUES ('creative-work','creative work|creative|work'),('PER','per|person|individual|human'),('academicjournal','academicjournal'),('Restaurant_Name','restaurant name|restaurant|name'),('ORG','org|organization|organisation|company'),('cell_type','cell type|cell|type'),('GPE','gpe|country|city|place'),('programlang','programlang'),('chemicalCompound','chemical compound|chemical|compound'),('DNA','dna'),('misc','misc|miscellaneous'),('political party','political party|political|party'),('musicalartist','musicalartist'),('eventLOC','event loc|event|loc'),('a/b','a b|a|b')"
-_LONG = "VALUES ('creative-work','creative work|creative|work|creative-work'),('PER','p e r|p|e|r|per'),('academicjournal','academicjournal|academic journal|journal|academic'),('Restaurant_Name','restaurant name|restaurant|name|restaurant_name'),('ORG','o r g|o|r|g|org'),('cell_type','cell type|cell|type|cell_type'),('GPE','g p e|g|p|e|gpe'),('programlang','programlang|program lang|lang|program'),('chemicalCompound','chemical compound|chemical|compound|chemicalcompound'),('DNA','d n a|d|n|a|dna'),('misc','misc|miscellaneous|other|event|work'),('political party','political party|political|party'),('musicalartist','musicalartist|musical artist|artist|musical'),('eventLOC','event l o c|event|l|o|c'),('a/b','a b|a|b|a/b')"
 _TYPES = "types AS (SELECT DISTINCT p_brand AS block, lower(replace(p_type, ' ', '_')) AS label FROM part)"
+_TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
+_STYLES = f"""st AS (SELECT p_partkey % 6 AS k, p_partkey // 6 AS j, p_name, p_type FROM part),
+    lb AS (SELECT DISTINCT CASE k WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN {_TITLE} WHEN 2 THEN replace(p_name, ' ', '-') || '/' || p_type
+        WHEN 3 THEN upper({list(anchors.LONG_ACRONYMS)}[j % {len(anchors.LONG_ACRONYMS)} + 1]) WHEN 4 THEN split_part(p_name, ' ', 1) || {list(anchors.SUFFIXES)}[j % {len(anchors.SUFFIXES)} + 1] ELSE p_type END AS label FROM st)"""
+_ACRONYM = lambda known, word: f"CASE {word} {' '.join(f'WHEN {k!r} THEN {v}' for k, v in known.items())} ELSE [] END"
+_ONCE = "list_filter(x, lambda w, i: w <> '' AND list_position(x, w) = i)"
+_GLUED = " ".join(f"WHEN suffix(one, '{x}') AND one <> '{x}' THEN [one[:len(one) - {len(x)}] || ' {x}', '{x}', one[:len(one) - {len(x)}]]" for x in anchors.SUFFIXES)
+_SHORT = f"""WITH {_STYLES}, j AS (SELECT label, lower(trim(regexp_replace(regexp_replace(trim(label), '[-_\\s/]+', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'))) AS joined FROM lb),
+    w AS (SELECT *, list_filter(string_split(joined, ' '), lambda w: w <> '') AS ws FROM j),
+    f AS (SELECT label, [joined] || {_ACRONYM(anchors.SHORT_ACRONYMS, "lower(trim(label))")} || CASE WHEN len(ws) > 1 THEN ws ELSE [] END AS x FROM w)
+    SELECT label, array_to_string({_ONCE}, '|') AS words FROM f"""
+_LONG = f"""WITH {_STYLES}, j AS (SELECT label, lower(trim(label)) AS low, array_to_string(list_transform(list_filter(regexp_split_to_array(trim(label), '[-_\\s/]+'), lambda p: p <> ''), lambda p: trim(regexp_replace(p, '([A-Z])', ' \\1', 'g'))), ' ') AS v FROM lb),
+    w AS (SELECT label, low, list_filter(string_split(lower(v), ' '), lambda w: w <> '') AS ws FROM j),
+    g AS (SELECT *, ws[1] AS one, CASE WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END || CASE WHEN len(ws) > 1 THEN ws ELSE [] END AS base FROM w),
+    f AS (SELECT label, CASE WHEN list_contains(base, low) THEN base ELSE base || [low] END || flatten(list_transform(ws || [low], lambda a: {_ACRONYM(anchors.LONG_ACRONYMS, "a")})) || CASE WHEN len(ws) = 1 AND length(one) > 8 THEN CASE {_GLUED} ELSE [] END ELSE [] END AS x FROM g)
+    SELECT label, array_to_string({_ONCE}[1:{anchors.MOST_ANCHORS}], '|') AS words FROM f"""
 ORACLES = {
     "token_offsets": f"WITH {_TOKENS} SELECT doc_id, line, pos, token, start_off, end_off FROM tok",
     "bio_to_spans_lenient": f"WITH {_SPANS} SELECT doc_id, line, start_off, end_off, label, first_pos, last_pos FROM sp",
@@ -174,8 +189,8 @@ ORACLES = {
     "span_in_context": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, md5('classification: ' || {_ENT}) AS context_md5, substr(text, s + 1, e - s) AS span FROM cx",
     "span_windowed": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, substr(text, greatest(0, s - 160) + 1, s - greatest(0, s - 160)) || '[ENT] ' || substr(text, s + 1, e - s) || ' [/ENT]' || substr(text, e + 1, 160) AS windowed FROM cx",
     "kwic": f"WITH {_TEXT} SELECT doc_id, line, s AS start_off, substr(text, greatest(0, s - 60) + 1, s - greatest(0, s - 60)) || '[[' || substr(text, s + 1, e - s) || ']]' || substr(text, e + 1, 60) AS snippet FROM cx",
-    "anchor_words_research": f"SELECT * FROM ({_LONG}) t(label, words)",
-    "anchor_words_package": f"SELECT * FROM ({_SHORT}) t(label, words)",
+    "anchor_words_research": _LONG,
+    "anchor_words_package": _SHORT,
     "anchor_resolve": f"WITH {_TYPES} SELECT block, label, CASE WHEN length(label) % 2 = 0 THEN 'curated|' || label ELSE replace(label, '_', ' ') END AS words, length(label) % 2 = 0 AS is_curated FROM types",
     "template_expand": "WITH l AS (SELECT DISTINCT lower(replace(p_type, ' ', '_')) AS label FROM part), w AS (SELECT label, CAST(unnest(range(len(string_split(label, '_')))) AS INTEGER) AS pos, unnest(string_split(label, '_')) AS word FROM l), t(template, pattern) AS (VALUES (0, '{a}'), (1, 'a {a}'), (2, 'the {a}'), (3, 'an example of {a}')) SELECT label, pos, word, template, replace(pattern, '{a}', word) AS text, CAST(instr(replace(pattern, '{a}', word), word) - 1 AS INTEGER) AS at FROM w, t",
     "task_prefix": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'classification: ' WHEN 1 THEN 'query: ' ELSE '' END AS prefix FROM supplier",
