@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import anchors
 from .models import Detector, Embedder, detect, embed, prototypes
-from .operators import gmm, linear, spans, vectors
+from .operators import em, gmm, linear, spans, vectors
 from .session import cut
 
 
@@ -67,79 +68,126 @@ class SupervisedTyper:
     head: str = "svc"
     threshold: float = 0.0
     prefix: str = "classification: "
-    train: DataFrame | None = None
+    fitted: linear.Head | None = None
 
     def fit(self, texts: DataFrame, gold: DataFrame) -> SupervisedTyper:
+        """Fits the head once; predict only applies it."""
         rows = gold.join(as_texts(texts.sparkSession, texts), "sent_id").withColumn("context", spans.in_context("text", "start_off", "end_off", self.prefix))
         train = cut(embed(rows, self.embedder, "context").select("label", "vec"))
         if train.isEmpty():
             raise ValueError("no spans to learn from")
-        self.train = train
+        one = train.first()
+        if train.filter(F.col("label") != one.label).isEmpty():
+            self.fitted = linear.Head([one.label], np.zeros((1, len(one.vec) + 1)))
+        else:
+            self.fitted = (linear.fit_squared_hinge if self.head == "svc" else linear.fit_logistic)(train, balanced=True)
         return self
 
-    def predict(self, texts) -> DataFrame:
-        if self.train is None:
+    def predict(self, texts, spark: SparkSession | None = None) -> DataFrame:
+        if self.fitted is None:
             raise RuntimeError("fit() comes first")
-        texts = as_texts(self.train.sparkSession, texts)
-        found = _mentions(texts, detect(texts, self.detector, None, self.threshold), self.embedder, self.prefix).withColumn("gold", F.lit(None).cast("string"))
-        head = linear.squared_hinge if self.head == "svc" else linear.logistic
-        if self.train.select("label").distinct().count() == 1:
-            return found.select(*ENTITY, F.lit(self.train.first().label).alias("label"), "score")
-        typed = head(self.train, found, balanced=True)
-        return found.join(typed.select("vec_id", F.col("pred").alias("label")), "vec_id").select(*ENTITY, "label", "score")
+        spark = texts.sparkSession if isinstance(texts, DataFrame) else spark or SparkSession.getActiveSession()
+        texts = as_texts(spark, texts)
+        found = _mentions(texts, detect(texts, self.detector, self.fitted.labels, self.threshold), self.embedder, self.prefix)
+        return self.fitted.predict(found).select(*ENTITY, F.col("pred").alias("label"), "score")
 
-    def save(self, path: str) -> None:
-        if self.train is None:
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """The head's labels and weights, and nothing of what it learned from."""
+        if self.fitted is None:
             raise RuntimeError("fit() comes first")
-        self.train.write.mode("overwrite").parquet(path)
+        self.fitted.save(spark or SparkSession.getActiveSession(), path)
 
     def load(self, spark: SparkSession, path: str) -> SupervisedTyper:
-        self.train = spark.read.parquet(path)
+        self.fitted = linear.Head.load(spark, path)
         return self
 
 
 @dataclass
 class GaussianPipeline:
-    """One diagonal Gaussian per declared label, thresholds for what is out of domain, and a label hierarchy."""
+    """A Gaussian mixture for each declared label, thresholds for what is out of domain, and a label hierarchy.
+
+    fit learns from texts alone, begun at the labels' anchor words; fit_supervised
+    from gold spans. components is the number of each label's mixture.
+    """
 
     labels: list[str]
     embedder: Embedder
     quantile: float = 0.05
-    params: DataFrame | None = None
+    detector: Detector | None = None
+    components: int = 1
+    threshold: float = 0.0
+    mode: str = "context"
+    seed: int = 42
+    mixtures: DataFrame | None = None
     limits: DataFrame | None = None
 
+    def _anchors(self, spark: SparkSession) -> DataFrame:
+        """(label, vec): the centroid of each label's anchor words."""
+        named = spark.createDataFrame([(x,) for x in self.labels], "label string").select("label", anchors.short_anchors(F.col("label")).alias("words"))
+        return vectors.centroids(prototypes(named, self.embedder, self.mode))
+
+    def fit(self, texts, spark: SparkSession | None = None) -> dict:
+        """Mixtures of all mentions that the detector finds, each begun at its label's anchors; says what was found.
+
+        Thresholds are the quantile of the likelihoods of the mentions that a label
+        wins. Without a mention there is nothing to fit, which is an error.
+        """
+        if self.detector is None:
+            raise ValueError("fit() needs a detector")
+        if not self.labels:
+            raise ValueError("no labels to choose from")
+        spark = texts.sparkSession if isinstance(texts, DataFrame) else spark or SparkSession.getActiveSession()
+        texts = as_texts(spark, texts)
+        found = _mentions(texts, detect(texts, self.detector, self.labels, self.threshold), self.embedder, "")
+        n_spans, size = found.agg(F.count("*"), F.max(F.size("vec"))).first()
+        if not n_spans:
+            raise RuntimeError("the detector finds no mention in these texts")
+        self.mixtures = cut(em.fit(found, em.around(self._anchors(spark), self.components, self.seed), every=True))
+        scored = cut(gmm.score_mixtures(found, self.mixtures, ["vec_id"]))
+        self.limits = cut(gmm.assigned_thresholds(scored, "vec_id", self.quantile))
+        n_texts = texts.count()
+        sizes = {r.label: r.size for r in em.sizes(self.mixtures).collect()}
+        return {"n_texts": n_texts, "n_spans": n_spans, "spans_per_text": n_spans / n_texts, "dim": size, "bubble_sizes": sizes}
+
     def fit_supervised(self, texts: DataFrame, gold: DataFrame) -> dict:
-        declared = texts.sparkSession.createDataFrame([(x,) for x in self.labels], "label string")
+        spark = texts.sparkSession
+        declared = spark.createDataFrame([(x,) for x in self.labels], "label string")
         kept = gold.join(F.broadcast(declared), "label", "left_semi")
-        rows = kept.join(as_texts(texts.sparkSession, texts), "sent_id").withColumn("context", spans.in_context("text", "start_off", "end_off"))
+        rows = kept.join(as_texts(spark, texts), "sent_id").withColumn("context", spans.in_context("text", "start_off", "end_off"))
         train = cut(embed(rows, self.embedder, "context").select("label", "vec"))
         counts = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
         if not counts:
             raise ValueError("no span has a declared label")
-        self.params = cut(gmm.diagonal(train))
-        self.ll = cut(gmm.log_likelihood(train.withColumnRenamed("label", "gold"), self.params, ["gold"]))
-        self.limits = cut(gmm.thresholds(self.ll, self.quantile))
+        if self.components == 1:
+            packed = gmm.diagonal(train).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "mean", "var"))).alias("p"))
+            one = packed.select("label", F.lit(0).alias("component"), F.lit(1.0).alias("weight"), F.col("p.mean").alias("mean"), F.col("p.var").alias("var"))
+            self.mixtures = cut(one)
+        else:
+            self.mixtures = cut(em.fit(train, em.around(self._anchors(spark), self.components, self.seed)))
+        scored = gmm.score_mixtures(train.withColumnRenamed("label", "gold"), self.mixtures, ["gold"])
+        self.limits = cut(gmm.thresholds(scored, self.quantile))
         return {"spans": counts, "skipped": sorted(set(self.labels) - set(counts))}
 
-    def hierarchy(self, least: float = 0.5) -> DataFrame:
-        if self.params is None:
-            raise RuntimeError("fit_supervised() comes first")
-        return gmm.inclusion(self.ll, gmm.sizes(self.params), least)
+    def hierarchy(self, least: float = 0.5, draws: int = 1000) -> DataFrame:
+        """(child, parent, fraction), by so many draws from each label's mixture."""
+        if self.mixtures is None:
+            raise RuntimeError("fit() or fit_supervised() comes first")
+        return em.hierarchy(self.mixtures, draws, self.seed, least)
 
     def predict(self, mentions: DataFrame, text: str, key: str) -> DataFrame:
         """(key, label, ll, is_ood, runner_ups) of mentions by their text; runner_ups[0] is the winner whatever its domain."""
-        if self.params is None:
-            raise RuntimeError("fit_supervised() comes first")
-        scored = cut(gmm.log_likelihood(embed(mentions, self.embedder, text), self.params, [key]))
+        if self.mixtures is None:
+            raise RuntimeError("fit() or fit_supervised() comes first")
+        scored = cut(gmm.score_mixtures(embed(mentions, self.embedder, text), self.mixtures, [key]))
         best = gmm.classify(scored, self.limits, key)
         top = vectors.runner_ups(scored.withColumnRenamed("ll", "sim"), [key], 3)
         packed = top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "label", F.round("sim", 4).alias("score")))).alias("x"))
         return best.join(packed.select(key, F.transform("x", lambda v: F.struct(v["label"].alias("label"), v["score"].alias("score"))).alias("runner_ups")), key).select(key, "label", "ll", "is_ood", "runner_ups")
 
     def save(self, path: str) -> None:
-        self.params.write.mode("overwrite").parquet(f"{path}/params")
+        self.mixtures.write.mode("overwrite").parquet(f"{path}/mixtures")
         self.limits.write.mode("overwrite").parquet(f"{path}/limits")
 
     def load(self, spark: SparkSession, path: str) -> GaussianPipeline:
-        self.params, self.limits = (spark.read.parquet(f"{path}/{n}") for n in ("params", "limits"))
+        self.mixtures, self.limits = (spark.read.parquet(f"{path}/{n}") for n in ("mixtures", "limits"))
         return self

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..session import cut, ship
+from . import gmm
 from .gmm import JITTER, REGULARISE
 
 MIXTURES = "label string, component int, weight double, mean array<double>, var array<double>"
@@ -72,14 +73,14 @@ def maximise(sums: np.ndarray) -> Mixture:
     return sums[:, 0] / sums[:, 0].sum(), mean, np.maximum(sums[:, d + 1 :] / n[:, None] - mean**2, 0) + REGULARISE
 
 
-def _sums(rows: DataFrame, mixtures: dict[str, Mixture]) -> dict[str, tuple[np.ndarray, float]]:
-    """By label the sums of one expectation over all rows(label, vec), and the log-likelihood."""
+def _sums(rows: DataFrame, mixtures: dict[str, Mixture], every: bool = False) -> dict[str, tuple[np.ndarray, float]]:
+    """By label the sums of one expectation over all rows(label, vec) of the label, or over every row, and the log-likelihood."""
     shared = rows.sparkSession.sparkContext.broadcast(mixtures)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list] = {}
         for f in frames:
-            for label, part in f.groupby("label"):
+            for label, part in [(label, f) for label in shared.value if len(f)] if every else f.groupby("label"):
                 if label in shared.value:
                     sums, ll = expect(np.stack(part["vec"]).astype(float), shared.value[label])
                     held = total.setdefault(label, [0.0, 0.0])
@@ -96,9 +97,12 @@ def _sums(rows: DataFrame, mixtures: dict[str, Mixture]) -> dict[str, tuple[np.n
     return out
 
 
-def fit(vectors: DataFrame, start: DataFrame, rounds: int = 200, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def fit(vectors: DataFrame, start: DataFrame, rounds: int = 200, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES, every: bool = False) -> DataFrame:
     """MIXTURES of vectors(label, vec), one for each label of start(label, seeds), its components begun at the seeds.
 
+    With every, no vector has a label, and each mixture is one of all vectors(vec):
+    its start alone tells it apart. Rows are not copied for it.
+
     Variances begin at the label's own, weights alike. A label is done when its
     mean log-likelihood moves by less than the tolerance, or after `rounds` rounds;
     it then takes no part in later ones. A label has at most as many components as
@@ -108,18 +112,19 @@ def fit(vectors: DataFrame, start: DataFrame, rounds: int = 200, tolerance: floa
     spark = vectors.sparkSession
     ship(spark)
     start = start.select(F.col("label").cast("string").alias("label"), "seeds")
-    rows = vectors.select(F.col("label").cast("string").alias("label"), F.col("vec").cast("array<double>").alias("vec")).filter("label is not null and vec is not null")
-    rows = cut(rows.join(start.select("label"), "label", "left_semi"))
+    label = F.lit("") if every else F.col("label").cast("string")
+    rows = vectors.select(label.alias("label"), F.col("vec").cast("array<double>").alias("vec")).filter("label is not null and vec is not null")
+    rows = cut(rows if every else rows.join(start.select("label"), "label", "left_semi"))
     # count, sums and squares of a label are 2 d + 1 numbers, those of a component too
     size = start.agg(F.sum(F.size("seeds") * F.size(F.get("seeds", F.lit(0))) * 24)).first()[0] or 0
     blocks = max(1, math.ceil(2 * size / block_bytes))
     block = F.pmod(F.xxhash64("label"), F.lit(blocks))
     made: list[DataFrame] = []
     for b in range(blocks):
-        part = rows.filter(block == b)
+        part = rows if every else rows.filter(block == b)
         seeded = {r.label: np.array(r.seeds, float) for r in start.filter(block == b).collect()}
         one = {label: (np.ones(1), s[:1], np.ones_like(s[:1])) for label, s in seeded.items()}
-        moments = {label: sums for label, (sums, _) in _sums(part, one).items()}
+        moments = {label: sums for label, (sums, _) in _sums(part, one, every).items()}
         count = {label: m[0, 0] for label, m in moments.items()}
         open_: dict[str, Mixture] = {}
         for label, m in moments.items():
@@ -130,7 +135,7 @@ def fit(vectors: DataFrame, start: DataFrame, rounds: int = 200, tolerance: floa
         for _ in range(rounds):
             if not open_:
                 break
-            for label, (sums, ll) in _sums(part, open_).items():
+            for label, (sums, ll) in _sums(part, open_, every).items():
                 mixture, ll = maximise(sums), ll / count[label]
                 if abs(ll - last[label]) < tolerance:
                     done[label] = mixture
@@ -169,6 +174,11 @@ def draw(mixtures: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return chosen.select(F.col("label").alias("gold"), "draw", vec.alias("vec"))
 
 
+def sizes(mixtures: DataFrame) -> DataFrame:
+    """(label, size): the summed variances of each label's components."""
+    return mixtures.groupBy("label").agg(F.sum(F.aggregate("var", F.lit(0.0), lambda a, v: a + v)).alias("size"))
+
+
 def hierarchy(mixtures: DataFrame, n: int = 1000, seed: int = 42, least: float = 0.5) -> DataFrame:
     """(child, parent, fraction): labels of whose mixture's draws at least that share lies in the parent's bubble.
 
@@ -177,8 +187,5 @@ def hierarchy(mixtures: DataFrame, n: int = 1000, seed: int = 42, least: float =
     bubble is the parent, by the summed variances of its components, and of equal
     ones each is.
     """
-    from . import gmm
-
-    sizes = mixtures.groupBy("label").agg(F.sum(F.aggregate("var", F.lit(0.0), lambda a, v: a + v)).alias("size"))
     scored = gmm.score_mixtures(draw(mixtures, n, seed), mixtures, ["gold", "draw"])
-    return gmm.inclusion(scored, sizes, least)
+    return gmm.inclusion(scored, sizes(mixtures), least)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import macro_f1
@@ -28,16 +30,63 @@ def _weighted(train: DataFrame, balanced: bool) -> DataFrame:
     return train.join(F.broadcast(balanced_weights(train)), "label")
 
 
-def logistic_probabilities(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: bool = False) -> DataFrame:
-    """(vec_id, gold, labels, probs): multinomial logistic regression, C as in the primal sum of losses."""
+@dataclass
+class Head:
+    """A fitted linear head: labels in order, a row of weights and an intercept for each; converged tells whether fitting ended by itself."""
+
+    labels: list[str]
+    weights: np.ndarray
+    converged: bool = True
+
+    def predict(self, rows: DataFrame, vec: str = "vec") -> DataFrame:
+        """rows with pred, the label of the largest score, of equal ones the first; null where the vector is."""
+        ship(rows.sparkSession)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array(self.labels, object), self.weights))
+
+        @F.pandas_udf("string")
+        def label(x: pd.Series) -> pd.Series:
+            labels, w = shared.value
+            out = pd.Series([None] * len(x), dtype=object)
+            there = np.flatnonzero(x.notna())
+            if len(there):
+                out.iloc[there] = labels[(np.stack(x.iloc[there]).astype(float) @ w[:, :-1].T + w[:, -1]).argmax(1)]
+            return out
+
+        return rows.withColumn("pred", label(F.col(vec)))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A row for each label with its weights, in order."""
+        rows = [(i, label, w.tolist(), self.converged) for i, (label, w) in enumerate(zip(self.labels, self.weights))]
+        spark.createDataFrame(rows, "place int, label string, weights array<double>, converged boolean").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Head:
+        rows = spark.read.parquet(path).orderBy("place").collect()
+        return Head([r.label for r in rows], np.array([r.weights for r in rows], float), all(r.converged for r in rows))
+
+
+def _logistic_model(train: DataFrame, c: float, balanced: bool):
+    """The fitted model and its labels in order."""
     rows = _weighted(train, balanced)
     indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
     ready = indexer.transform(rows).withColumn("features", array_to_vector("vec")).select("features", "y", "weight").persist()
     total = ready.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", standardization=False, regParam=1 / (c * total), elasticNetParam=0.0, maxIter=200, tol=1e-8).fit(ready)
     ready.unpersist()
+    return model, list(indexer.labels)
+
+
+def fit_logistic(train: DataFrame, c: float = 1.0, balanced: bool = False) -> Head:
+    model, labels = _logistic_model(train, c, balanced)
+    weights = np.concatenate([model.coefficientMatrix.toArray(), model.interceptVector.toArray()[:, None]], axis=1)
+    return Head(labels, weights, model.summary.totalIterations < 200)
+
+
+def logistic_probabilities(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: bool = False) -> DataFrame:
+    """(vec_id, gold, labels, probs): multinomial logistic regression, C as in the primal sum of losses."""
+    model, labels = _logistic_model(train, c, balanced)
     scored = model.transform(test.withColumn("features", array_to_vector("vec")))
-    return scored.select("vec_id", "gold", F.array(*map(F.lit, indexer.labels)).alias("labels"), vector_to_array("probability").alias("probs"))
+    return scored.select("vec_id", "gold", F.array(*map(F.lit, labels)).alias("labels"), vector_to_array("probability").alias("probs"))
 
 
 def _argmax(rows: DataFrame, scores: str) -> DataFrame:
@@ -49,8 +98,8 @@ def logistic(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: bool =
     return _argmax(logistic_probabilities(train, test, c, balanced), "probs")
 
 
-def squared_hinge(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: bool = False, rounds: int = 100) -> DataFrame:
-    """One-vs-rest linear SVM with squared hinge loss, by gradient steps whose sums Spark computes.
+def fit_squared_hinge(train: DataFrame, c: float = 1.0, balanced: bool = False, rounds: int = 300) -> Head:
+    """One-vs-rest linear SVM with squared hinge loss, by gradient steps whose sums Spark computes; the head tells whether `rounds` were enough.
 
     Each round is one aggregation of per-partition gradients of all classes;
     the driver holds only the weight matrix (classes by dimensions).
@@ -76,17 +125,26 @@ def squared_hinge(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: b
         return sum(np.array(r.grad) for r in got).reshape(w.shape), sum(r.gram for r in got)
 
     w = np.zeros((len(labels), dim + 1))
-    look, t, step = w.copy(), 1.0, None
+    look, t, step, moved = w.copy(), 1.0, None, np.inf
     for _ in range(rounds):  # accelerated gradient descent on |w|^2 / 2 + C * sum of losses
         grad, gram = sums(look)
         step = step or 1 / (1 + 2 * c * gram)
         new = look - step * (look + c * grad)
+        if ((look - new) * (new - w)).sum() > 0:  # momentum points uphill: begin it again
+            t = 1.0
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, moved = new + (t - 1) / after * (new - w), np.abs(new - w).max()
         w, t = new, after
         if moved < 1e-5:
             break
     rows.unpersist()
+    return Head(labels, w, bool(moved < 1e-5))
+
+
+def squared_hinge(train: DataFrame, test: DataFrame, c: float = 1.0, balanced: bool = False, rounds: int = 300) -> DataFrame:
+    """test with labels, scores and pred by the squared-hinge head of train."""
+    head = fit_squared_hinge(train, c, balanced, rounds)
+    labels, w = head.labels, head.weights
     scores = F.array(*[F.aggregate(F.zip_with("vec", F.array(*map(F.lit, map(float, r[:-1]))), lambda x, y: x * y), F.lit(float(r[-1])), lambda s, x: s + x) for r in w])
     return _argmax(test.withColumn("labels", F.array(*map(F.lit, labels))).withColumn("scores", scores), "scores")
 
@@ -113,9 +171,9 @@ def tune_thresholds(probs: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def folds(rows: DataFrame, k: int, key: str) -> DataFrame:
-    """(key, label, fold): a stratified fold by the order of hashes in each label."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.select(key, "label", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("int").alias("fold"))
+    """(key, label, fold): a stratified fold by the place of each row among its label's, in order of hashes; no label is ordered in one task."""
+    placed, _ = places(rows.select(F.col(key).alias("id"), "label"), None)
+    return placed.select(F.col("id").alias(key), "label", F.pmod("place", F.lit(k)).cast("int").alias("fold"))
 
 
 def out_of_fold(rows: DataFrame, k: int = 5) -> DataFrame:

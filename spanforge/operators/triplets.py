@@ -22,13 +22,13 @@ def number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def places(items: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
-    """items(id, label) with the place of each among its label's, in order of md5(id|seed) and id; and (label, size).
+def places(items: DataFrame, seed: str | None) -> tuple[DataFrame, DataFrame]:
+    """items(id, label) with the place of each among its label's, in order of md5(id|seed), or md5(id) without a seed, and id; and (label, size).
 
     Items are numbered within ranges of the md5, and the sizes of the ranges
     before are added: a few rows a label, like the labels themselves.
     """
-    hashed = items.select("id", "label", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed))).alias("h"))
+    hashed = items.select("id", "label", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed).cast("string"))).alias("h"))
     hashed = hashed.withColumn("range", F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("int"))
     sizes = hashed.groupBy("label", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -49,6 +49,8 @@ def test_supervised(spark, tmp_path, head):
         typer.fit(texts, gold.limit(0))
     typer.fit(texts, gold).save(str(tmp_path / "m"))
     again = SupervisedTyper(Gazetteer(NAMES), HashedNgrams(), head).load(spark, str(tmp_path / "m"))
+    assert again.fitted.converged and again.fitted.labels == ["city", "person", "substance"]
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 3  # weights, not what they come from
     assert {(r.span, r.label) for r in again.predict(TEXT).collect()} == {("Marie Curie", "person"), ("radium", "substance"), ("Paris", "city")}
 
 
@@ -67,6 +69,50 @@ def test_gaussian(spark, tmp_path):
         GaussianPipeline(["none"], HashedNgrams()).fit_supervised(texts, gold)
 
 
+def test_gaussian_from_anchors(spark, tmp_path):
+    names = {"person Anna": "person", "person Bert": "person", "city Rome": "city", "city Oslo": "city"}
+    texts = [f"{n} and then" for n in names] * 3 + ["nothing here", None]
+    pipe = GaussianPipeline(["person", "city"], HashedNgrams(32), detector=Gazetteer(names), components=2)
+    report = pipe.fit(texts, spark)
+    assert (report["n_texts"], report["n_spans"], report["dim"]) == (14, 12, 32) and set(report["bubble_sizes"]) == {"person", "city"}
+    assert pipe.mixtures.count() == 4 and pipe.limits.count() == 2
+    pipe.save(str(tmp_path / "a"))
+    again = GaussianPipeline([], HashedNgrams(32)).load(spark, str(tmp_path / "a"))
+    rows = spark.createDataFrame([(i, f"[ENT] {n} [/ENT] and then") for i, n in enumerate(names)], "id long, t string")
+    got = again.predict(rows, "t", "id").collect()
+    assert len(got) == 4 and all(len(r.runner_ups) == 2 for r in got)
+    assert again.hierarchy(0.0, 50).count() == 1
+    with pytest.raises(RuntimeError):
+        pipe.fit(["no name"], spark)
+    with pytest.raises(ValueError):
+        GaussianPipeline(["x"], HashedNgrams()).fit(texts, spark)
+    with pytest.raises(RuntimeError):
+        GaussianPipeline(["x"], HashedNgrams()).predict(rows, "t", "id")
+
+
+def test_supervised_mixtures_begin_at_anchors(spark):
+    texts = spark.createDataFrame([(i, f"{w} {i}") for i, w in enumerate(["Paris", "Berlin"] * 5)], "sent_id long, text string")
+    gold = texts.select("sent_id", F.lit(0).alias("start_off"), F.lit(5).alias("end_off"), F.lit("city").alias("label"))
+    pipe = GaussianPipeline(["city", "metal"], HashedNgrams(16), components=3)
+    assert pipe.fit_supervised(texts, gold) == {"spans": {"city": 10}, "skipped": ["metal"]}
+    assert {(r.label, r.component) for r in pipe.mixtures.collect()} == {("city", 0), ("city", 1), ("city", 2)}
+
+
+def test_head(spark):
+    import numpy as np
+
+    from spanforge.operators import linear
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], [float(i % 2) * 2 - 1 + 0.01 * i, 1.0]) for i in range(40)], "vec_id long, label string, vec array<double>")
+    test = rows.withColumnRenamed("label", "gold")
+    for fit, apply in ((linear.fit_squared_hinge, linear.squared_hinge), (linear.fit_logistic, linear.logistic)):
+        head = fit(rows)
+        assert {r.vec_id: r.pred for r in head.predict(test).collect()} == {r.vec_id: r.pred for r in apply(rows, test).collect()}
+    assert not linear.fit_squared_hinge(rows, rounds=2).converged and linear.fit_squared_hinge(rows).converged
+    odd = linear.Head(["x"], np.zeros((1, 3))).predict(spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "id long, vec array<double>")).collect()
+    assert [r.pred for r in odd] == [None, "x"]
+
+
 def test_streaming(spark, tmp_path):
     for i, text in enumerate([TEXT, "Curie", "nothing"]):
         (tmp_path / f"{i}.json").write_text(json.dumps({"sent_id": i, "text": text}))
