@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, scratch, ship
 
 EPSILON = 1e-12
-#: Vectors of a block of brute-force neighbours.
-BLOCK = 1024
+#: Vectors of a block that brute-force neighbours are asked for.
+BLOCK = 2048
 
 
 def doubles(v: str) -> Column:
@@ -117,36 +117,48 @@ def variants(mentions: DataFrame, modes: dict[str, DataFrame], key: str) -> Data
     return out
 
 
-def _packed(rows: DataFrame, columns: list[str], block: int, name: str) -> tuple[DataFrame, int]:
-    """(name, rows): the rows dealt by hash of the first column into lists of some block rows; and the number of lists."""
-    many = max(1, -(-rows.count() // block))
-    dealt = rows.select(F.struct(*columns).alias("r"), F.pmod(F.xxhash64(columns[0]), F.lit(many)).cast("int").alias(name))
-    return dealt.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), many
-
-
 def knn(train: DataFrame, test: DataFrame, k: int = 15, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """Majority label of the k nearest training vectors by cosine; ties by vector id, then by label.
 
-    Brute force in blocks of bounded size: a task holds one block of either side
-    and keeps the best k of each test vector, so what is shuffled on is k rows for
-    each test vector and block, and blocks grow in number with the data.
+    Brute force without a shuffle of vectors: test vectors are broadcast a block of
+    some `block` rows at a time, training vectors are read where they lie, and a task
+    keeps the best k of each test vector, so k rows for each test vector and task are
+    all that moves. Neither the broadcast nor what the driver holds grows with either
+    table; the passes over the training vectors do, with the test vectors.
     """
-    ship(train.sparkSession)
-    known, many = _packed(train.select(F.col(key).alias("n_id"), F.col("label").alias("n_label"), F.col("vec").alias("n_vec")), ["n_id", "n_label", "n_vec"], block, "block")
-    asked, _ = _packed(test.select(F.col(key).alias("t_id"), F.col("vec").alias("t_vec")), ["t_id", "t_vec"], block, "part")
+    spark = train.sparkSession
+    ship(spark)
     id_type = train.schema[key].dataType.simpleString()
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for left, right in zip(f["part_rows"], f["block_rows"]):
-                right = sorted(right, key=lambda r: r["n_id"])
-                sims = np.round(np.stack([r["t_vec"] for r in left]) @ np.stack([r["n_vec"] for r in right]).T, 6)
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                ids, labels = (np.array([r[c] for r in right], object) for c in ("n_id", "n_label"))
-                yield pd.DataFrame({key: np.repeat([r["t_id"] for r in left], order.shape[1]), "n_id": ids[order].ravel(), "n_label": labels[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
-
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(known, "block").repartition("part", "block")
-    scored = pairs.select("part_rows", "block_rows").mapInPandas(best, f"{key} {id_type}, n_id {id_type}, n_label string, sim double")
+    kept = f"{key} {id_type}, n_id {id_type}, n_label string, sim double"
+    many = max(1, -(-test.count() // block))
+    known = train.select(F.col(key).alias("n_id"), F.col("label").alias("n_label"), F.col("vec").alias("n_vec"))
+    known = cut(known) if many > 1 else known
+    path = scratch(spark, "neighbours")
+    for b in range(many):
+        asked = test.select(key, "vec").filter(F.pmod(F.xxhash64(key), F.lit(many)) == b).toPandas()
+        if not len(asked):
+            continue
+        shared = spark.sparkContext.broadcast((asked[key].to_numpy(), np.stack(asked["vec"]).astype(float)))
+
+        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, x = shared.value
+            held: list[np.ndarray] | None = None
+            for f in frames:
+                if not len(f):
+                    continue
+                sims = np.round(x @ np.stack(f["n_vec"]).astype(float).T, 6)
+                new = [sims, *(np.broadcast_to(np.array(f[c].tolist()), sims.shape) for c in ("n_id", "n_label"))]
+                every = new if held is None else [np.concatenate(p, axis=1) for p in zip(held, new)]
+                order = np.lexsort((every[1], -every[0]), axis=-1)[:, :k]
+                held = [np.take_along_axis(e, order, 1) for e in every]
+            if held is not None:
+                yield pd.DataFrame({key: np.repeat(names, held[0].shape[1]), "n_id": held[1].ravel(), "n_label": held[2].ravel(), "sim": held[0].ravel()})
+
+        known.mapInPandas(best, kept).write.mode("append").parquet(path)
+    if test.isEmpty():
+        scored = spark.createDataFrame([], kept)
+    else:
+        scored = spark.read.schema(kept).parquet(path)
     order = Window.partitionBy(key).orderBy(F.desc("sim"), "n_id")
     nearest = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     votes = nearest.groupBy(key, "n_label").agg(F.count("*").alias("votes"))

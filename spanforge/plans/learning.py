@@ -1,15 +1,15 @@
-"""Queries of the byte-range sources, generative models, mixtures over all rows and learned projections."""
+"""Queries of the byte-range sources, generative models, mixtures over all rows, learned projections, stores that resume and isolated runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import generation
+from .. import generation, runs
 from ..functions import parsing
-from ..operators import em, metric_learning, spans, triplets, vectors
+from ..operators import decode, em, metric_learning, spans, triplets, vectors
 from ..session import cut, scratch, table
-from ..sources import blocks
+from ..sources import blocks, reports, resumable
 from .corpora import _LN, _TU, _conllu, _turns
 from .text_queries import _SPANS, KEYS, _tagged
 
@@ -125,9 +125,82 @@ def projection_learning(spark, sf_dir):
     return spark.createDataFrame([(m, round(a, 4), round(b, 4)) for m, a, b in out], "measure string, before double, after double")
 
 
+def closed_set_spans(spark, sf_dir):
+    """Words of turns, long ones in two pieces, with scores by md5: the best allowed tags, and the spans that they make."""
+    keys = ["conv_id", "turn"]
+    words = spans.token_offsets(_turns(spark, sf_dir).select(*keys, F.posexplode("words").alias("pos", "token")), keys)
+    cut_at = F.when(F.char_length("token") > 6, F.array(F.lit(4), F.char_length("token") - 4)).otherwise(F.array(F.char_length("token")))
+    pieces = words.select(*keys, "pos", "start_off", F.posexplode(cut_at).alias("piece", "size"))
+    begin = F.col("start_off") + F.col("piece") * 4
+    scores = F.array(*[(triplets.number("conv_id", "turn", "pos", "piece", F.lit(t)) % 1000 + F.lit(300 if t == 0 else 0)).cast("double") for t in range(5)])
+    rows = pieces.select(*keys, "pos", begin.alias("start_off"), (begin + F.col("size")).alias("end_off"), scores.alias("scores"))
+    found = decode.decode(decode.merge_pieces(rows, keys), keys, ["X", "Y"])
+    return found.select(*keys, "start_off", "end_off", "label", F.round("score", 6).alias("score"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def resumed_results(spark, sf_dir):
+    """Totals of each priority from a store whose first run was killed at the third one; made_again tells what the second run made."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    inputs = {p: orders.filter(F.col("o_orderpriority") == p) for p in PRIORITIES}
+    store, killed = resumable.Results(spark, scratch(spark, "results")), []
+
+    def compute(key: str, rows: DataFrame) -> DataFrame:
+        if key == PRIORITIES[2] and not killed:
+            killed.append(key)
+            return rows.select(F.raise_error(F.lit("killed")).cast("long").alias("n"), F.lit(0).cast("long").alias("cents"))
+        return rows.agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+
+    try:
+        store.run(inputs, compute, "totals")
+    except Exception as error:
+        if "killed" not in str(error):
+            raise
+    again = store.run(inputs, compute, "totals")
+    return store.read("n long, cents long").withColumn("made_again", F.col("key").isin(again.computed))
+
+
+def flattened_reports(spark, sf_dir):
+    """Orders as reports of three shapes, flattened."""
+    key, text = F.col("o_orderkey").cast("string"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    shapes = [
+        text('{"id": ', key, ', "metrics": {"priority": "', F.col("o_orderpriority"), '", "by.customer": [', F.col("o_custkey").cast("string"), ", 0.5, true]}}"),
+        text('{"runs": [{"seed": 1, "status": "', F.col("o_orderstatus"), '"}, {"seed": 2, "status": null}]}'),
+        text('[{"empty": []}, "', F.col("o_orderstatus"), '"]'),
+    ]
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*shapes), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("text"))
+    return reports.flattened(made, "o_orderkey").select("o_orderkey", "path", "value")
+
+
+def isolated_runs(spark, sf_dir):
+    """Priorities as datasets: one cannot be read, one is empty, one cannot be fitted, one crashes on a row, one ends well."""
+    orders = table(spark, sf_dir, "orders")
+
+    def load(p: str):
+        def run() -> DataFrame:
+            if p == PRIORITIES[0]:
+                return spark.read.parquet(f"{sf_dir}/{p}-is-not-there.parquet")
+            return orders.filter(F.col("o_orderpriority") == p).filter(F.lit(p != PRIORITIES[1]))
+
+        return run
+
+    def fit(p: str, rows: DataFrame) -> None:
+        if p == PRIORITIES[2]:
+            raise ValueError("nothing to fit on")
+
+    def evaluate(p: str, rows: DataFrame) -> DataFrame:
+        seen = F.when((F.lit(p) == PRIORITIES[3]) & (F.col("o_orderkey") % 2 == 0), F.raise_error(F.lit("bad row"))).otherwise(F.col("o_custkey"))
+        return rows.groupBy(seen.cast("long").alias("customer")).agg(F.count("*").alias("n"))
+
+    status, _ = runs.run_all(spark, {p: load(p) for p in PRIORITIES}, evaluate, "customer long, n long", fit, lambda: orders.limit(1).count())
+    return status.select("dataset", "status", "n_rows", "n_out", F.col("error").isNotNull().alias("has_error"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning)
+    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning, closed_set_spans, resumed_results, flattened_reports, isolated_runs)
 }
 
 _TX = _TU + """, tx AS MATERIALIZED (SELECT conv_id || '-' || turn AS sent_id, text, words FROM t WHERE NOT regexp_matches(text, '[()\\[\\]"\\\\]'))"""
@@ -151,6 +224,25 @@ ORACLES = {
     "generated_exact_json": _FIRST,
     "generated_any_json": _FIRST,
     "generation_failures": f"WITH {_TX} SELECT sent_id, 'out of memory' AS reason FROM tx WHERE {_ASKED} > {LIMIT}",
+    "closed_set_spans": f"""WITH RECURSIVE {_TU}, g AS (SELECT conv_id, turn, i, words[i + 1] AS w, coalesce(list_sum(list_transform(words[1:i], lambda x: length(x) + 1)), 0) AS s FROM t, unnest(range(len(words))) r(i)),
+        pc AS (SELECT *, j FROM g, unnest(range(CASE WHEN length(w) > 6 THEN 2 ELSE 1 END)) r(j)),
+        sc AS (SELECT conv_id, turn, i, list_transform(range(5), lambda k: CAST('0x' || substr(md5(conv_id || '|' || turn || '|' || i || '|' || j || '|' || k), 1, 8) AS BIGINT) % 1000 + CASE WHEN k = 0 THEN 300 ELSE 0 END) AS x FROM pc),
+        wd AS MATERIALIZED (SELECT conv_id, turn, i, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4]), avg(x[5])] AS x FROM sc GROUP BY ALL),
+        v AS (SELECT conv_id, turn, 0::BIGINT AS i, [x[1], x[2], -1e18, x[4], -1e18] AS b, ['0', '1', '2', '3', '4'] AS p FROM wd WHERE i = 0 UNION ALL
+            SELECT v.conv_id, v.turn, v.i + 1, [m + x[1], m + x[2], greatest(b[2], b[3]) + x[3], m + x[4], greatest(b[4], b[5]) + x[5]],
+                [p[k] || '0', p[k] || '1', CASE WHEN b[2] >= b[3] THEN p[2] ELSE p[3] END || '2', p[k] || '3', CASE WHEN b[4] >= b[5] THEN p[4] ELSE p[5] END || '4']
+            FROM (SELECT *, list_max(b) AS m, list_position(b, list_max(b)) AS k FROM v) v JOIN wd ON wd.conv_id = v.conv_id AND wd.turn = v.turn AND wd.i = v.i + 1),
+        l AS (SELECT conv_id, turn, max_by(p[list_position(b, list_max(b))], i) AS path FROM v GROUP BY ALL),
+        tg AS (SELECT g.conv_id, g.turn, g.i, s, s + length(w) AS e, CAST(path[g.i + 1] AS INTEGER) AS k, wd.x[CAST(path[g.i + 1] AS INTEGER) + 1] AS score FROM g JOIN l USING (conv_id, turn) JOIN wd ON wd.conv_id = g.conv_id AND wd.turn = g.turn AND wd.i = g.i),
+        o AS (SELECT *, sum(CASE WHEN k IN (1, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS island FROM tg)
+        SELECT conv_id, turn, CAST(min(s) AS INTEGER) AS start_off, CAST(max(e) AS INTEGER) AS end_off, CASE WHEN min(k) <= 2 THEN 'X' ELSE 'Y' END AS label, round(avg(score), 6) AS score FROM o WHERE k > 0 GROUP BY conv_id, turn, island""",
+    "resumed_results": f"SELECT o_orderpriority AS key, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, o_orderpriority >= '{PRIORITIES[2]}' AS made_again FROM orders GROUP BY o_orderpriority",
+    "flattened_reports": """SELECT o_orderkey, p.path, p.value FROM orders, LATERAL (SELECT unnest(CASE o_orderkey % 3
+        WHEN 0 THEN [{'path': '.id', 'value': CAST(o_orderkey AS VARCHAR)}, {'path': '.metrics.priority', 'value': o_orderpriority}, {'path': '.metrics.by.customer[0]', 'value': CAST(o_custkey AS VARCHAR)}, {'path': '.metrics.by.customer[1]', 'value': '0.5'}, {'path': '.metrics.by.customer[2]', 'value': 'true'}]
+        WHEN 1 THEN [{'path': '.runs[0].seed', 'value': '1'}, {'path': '.runs[0].status', 'value': o_orderstatus}, {'path': '.runs[1].seed', 'value': '2'}, {'path': '.runs[1].status', 'value': NULL}]
+        ELSE [{'path': '[0].empty', 'value': NULL}, {'path': '[1]', 'value': o_orderstatus}] END) AS p)""",
+    "isolated_runs": f"""SELECT o_orderpriority AS dataset, CASE o_orderpriority WHEN '{PRIORITIES[0]}' THEN 'failed_load' WHEN '{PRIORITIES[1]}' THEN 'no_rows' WHEN '{PRIORITIES[2]}' THEN 'failed_fit' WHEN '{PRIORITIES[3]}' THEN 'crashed' ELSE 'ok' END AS status,
+        CASE o_orderpriority WHEN '{PRIORITIES[1]}' THEN 0 WHEN '{PRIORITIES[4]}' THEN count(*) END AS n_rows, CASE WHEN o_orderpriority = '{PRIORITIES[4]}' THEN count(DISTINCT o_custkey) END AS n_out, o_orderpriority NOT IN ('{PRIORITIES[1]}', '{PRIORITIES[4]}') AS has_error FROM orders GROUP BY o_orderpriority""",
     "hierarchy_monte_carlo": f"""WITH x AS (SELECT l_returnflag || l_linestatus AS label, l_linenumber % 2 AS c, CAST(l_quantity AS DOUBLE) AS q, l_discount * 100.0::DOUBLE AS d FROM lineitem),
         g AS MATERIALIZED (SELECT label, c, count(*) / sum(count(*)) OVER (PARTITION BY label) AS w, avg(q) AS mq, var_pop(q) + 1e-4 AS vq, avg(d) AS md, var_pop(d) + 1e-4 AS vd FROM x GROUP BY label, c),
         h AS (SELECT *, sum(w) OVER (PARTITION BY label ORDER BY c) AS reached, sum(w) OVER (PARTITION BY label) AS total FROM g),
