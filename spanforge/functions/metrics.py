@@ -51,9 +51,9 @@ def _sides(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataF
 def ami(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adjusted mutual information (arithmetic mean, natural log) of gold and pred, per group of `by`.
 
-    Only the contingency table is shuffled; the expected information sums over
-    distinct pairs of marginals, and over counts within twelve deviations of the
-    hypergeometric mean, so it grows with the root of the number of rows.
+    Only the contingency table is shuffled; the expected information is a row for
+    each distinct pair of marginals, which sums over counts within twelve deviations
+    of the hypergeometric mean, so it grows with the root of the number of rows.
     """
     by = by or []
     table, gold, pred, total = _sides(pairs, by)
@@ -66,14 +66,15 @@ def ami(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     ca = gold.groupBy(*by, "a").agg(F.count("*").alias("na"))
     cb = pred.groupBy(*by, "b").agg(F.count("*").alias("nb"))
     grid = on(ca.join(cb, by) if by else ca.crossJoin(cb), total)
-    mean = a.cast("double") * b / t
-    spread = F.sqrt(mean * (t - a) / t * (t - b) / F.greatest(t - 1, F.lit(1))) * 12 + 30
-    low = F.greatest(F.lit(1).cast("long"), a + b - t, F.floor(mean - spread))
-    high = F.least(a, b, F.ceil(mean + spread))
-    terms = grid.filter(low <= high).select(*by, "a", "b", "na", "nb", "total", F.explode(F.sequence(low, high)).alias("n"))
-    lf = log_factorial
-    p = F.exp(lf(a) + lf(b) + lf(t - a) + lf(t - b) - lf(t) - lf(n) - lf(a - n) - lf(b - n) - lf(t - a - b + n))
-    emi = terms.groupBy(*by).agg(F.sum(F.col("na") * F.col("nb") * n / t * F.log(n * t / (a.cast("double") * b)) * p).alias("emi"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*by).schema.fields)
+    ship(pairs.sparkSession)
+
+    def expected(frames):
+        for f in frames:
+            parts = [expected_information(*(np.array([int(x)]) for x in r), int(n)) for *r, n in zip(f["a"], f["b"], f["na"], f["nb"], f["total"])]
+            yield f[by].assign(part=np.array(parts, float))
+
+    emi = grid.select(*by, "a", "b", "na", "nb", "total").mapInPandas(expected, f"{kinds}, part double" if by else "part double").groupBy(*by).agg(F.sum("part").alias("emi"))
     joined = mi.join(h, by).join(k, by).join(emi, by, "left") if by else mi.crossJoin(h).crossJoin(k).crossJoin(emi)
     top, under = F.col("mi") - F.coalesce("emi", F.lit(0.0)), (F.col("hg") + F.col("hp")) / 2 - F.coalesce("emi", F.lit(0.0))
     safe = F.when(F.abs(under) < 2.220446049250313e-16, F.lit(2.220446049250313e-16) * F.when(under < 0, -1).otherwise(1)).otherwise(under)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import spans
+from ..session import cut
 
 DOC_JSON = "documents array<struct<id:string,sentences:array<array<string>>,entities:array<struct<type:string,sentence_idx:int,start_word_idx:int,end_word_idx:int>>>>, metadata struct<entity_types:array<string>>"
 
@@ -22,12 +25,18 @@ class Registry:
     """Corpora by name: a kind of source and where it lies."""
 
     def __init__(self):
-        self._known: dict[str, tuple[str, str, str | None]] = {}
+        self._known: dict[str, dict] = {}
+
+    def add(self, name: str, kind: str, path: str, tags: str | None = None, columns: tuple[str, str] = ("tokens", "tags"), files: dict[str, str] | None = None, corpus: str | None = None, listed: str | None = None) -> None:
+        """A corpus: its kind of source and path, in which {split} stands for the split or for what files names it.
 
-    def add(self, name: str, kind: str, path: str, tags: str | None = None) -> None:
+        parquet_tags: columns of tokens and tags; tags names a map of TAG_MAPS, or a text
+        file with a tag a line, for tags that are numbers. conllu: corpus is main or
+        special, whose documents listed, a split list, deals to the splits.
+        """
         if kind not in ("bio_text", "parquet_tags", "conllu", "doc_json"):
             raise ValueError(f"unknown kind of source {kind}")
-        self._known[name] = kind, path, tags
+        self._known[name] = {"kind": kind, "path": path, "tags": tags, "columns": columns, "files": files or {}, "corpus": corpus, "listed": listed}
 
     def names(self) -> list[str]:
         return sorted(self._known)
@@ -38,22 +47,65 @@ class Registry:
 
         if name not in self._known:
             raise KeyError(f"unknown corpus {name}; known: {', '.join(self.names())}")
-        kind, path, tags = self._known[name]
-        path = path.replace("{split}", split)
+        known = self._known[name]
+        kind, path = known["kind"], known["path"].replace("{split}", known["files"].get(split, split))
         if kind == "bio_text":
             return t.load_corpus(t.bio_text(spark, path), ["file", "sent_id"], "sent_id", most)
         if kind == "parquet_tags":
-            rows = spark.read.parquet(path)
-            rows = t.decode_tags(rows, TAG_MAPS[tags]) if tags else rows
+            rows = spark.read.parquet(path).withColumnsRenamed(dict(zip(known["columns"], ("tokens", "tags"))))
+            tags = known["tags"]
+            names = TAG_MAPS.get(tags) or ([r.value for r in t.numbered_lines(spark, tags).orderBy("line").collect() if r.value] if tags else None)
+            rows = t.decode_tags(rows, names) if names else rows
+            if "sent_id" not in rows.columns:
+                rows = cut(rows).withColumn("sent_id", F.monotonically_increasing_id())
             return t.load_corpus(t.explode_tokens(rows, ["sent_id"]), ["sent_id"], "sent_id", most)
         if kind == "conllu":
             words = t.conllu(spark, path)
+            if known["corpus"]:
+                named = words.withColumn("doc", F.regexp_extract("file", r"([^/]+)\.conllu$", 1))
+                kept = t.documents_of(named.select("doc").distinct(), t.split_list(spark, known["listed"]), known["corpus"], split)
+                words = named.join(kept, "doc", "left_semi").drop("doc")
             found = spans.nest(t.bracket_spans(words, ["file", "sent_id"]), ["file", "sent_id"])
             text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ")
-            return words.groupBy("file", "sent_id").agg(text.alias("text")).join(found, ["file", "sent_id"])
+            out = words.groupBy("file", "sent_id").agg(text.alias("text")).join(found, ["file", "sent_id"])
+            return out if most is None else out.orderBy("file", "sent_id").limit(most)
         return read_doc_json(spark, path)
 
 
+#: The corpora known by name, of each the kind of its source, its columns and what names its tags.
+CORPORA = {
+    "crossner": ("parquet_tags", "ner_tags", "labels"),
+    "wnut17": ("parquet_tags", "ner_tags", "labels"),
+    "mit_restaurant": ("parquet_tags", "tags", "mit_restaurant"),
+    "fabner": ("parquet_tags", "ner_tags", "labels"),
+    "bionlp2004": ("parquet_tags", "tags", "bionlp2004"),
+    "conll2003": ("parquet_tags", "ner_tags", "labels"),
+    "crossner_ai": ("bio_text", None, None),
+    "crossner_literature": ("bio_text", None, None),
+    "crossner_music": ("bio_text", None, None),
+    "crossner_politics": ("bio_text", None, None),
+    "crossner_science": ("bio_text", None, None),
+    "mit_movie": ("parquet_tags", "tags", "mit_movie_trivia"),
+    "gum": ("conllu", "main", None),
+    "gentle": ("conllu", "special", None),
+}
+
+
+def standard_registry(root: str) -> Registry:
+    """A registry of CORPORA below a folder: NAME/SPLIT.parquet with NAME/labels.txt, NAME/SPLIT.txt with dev for validation, or gum/dep/*.conllu with gum/splits.md."""
+    from .text_formats import SPLIT_FILES
+
+    out = Registry()
+    for name, (kind, column, tags) in CORPORA.items():
+        if kind == "parquet_tags":
+            out.add(name, kind, f"{root}/{name}/{{split}}.parquet", f"{root}/{name}/labels.txt" if tags == "labels" else tags, ("tokens", column))
+        elif kind == "bio_text":
+            out.add(name, kind, f"{root}/{name}/{{split}}.txt", files=SPLIT_FILES)
+        else:
+            out.add(name, kind, f"{root}/gum/dep/*.conllu", corpus=column, listed=f"{root}/gum/splits.md")
+    return out
+
+
 def read_doc_json(spark: SparkSession, path: str) -> DataFrame:
     """(id, sent_id, text, spans): word spans of document JSON as character spans."""
     return doc_json_spans(spark.read.schema(DOC_JSON).json(path, multiLine=True).select(F.explode("documents").alias("d")).select("d.*"))
@@ -83,8 +135,10 @@ def to_doc_json(corpus: DataFrame) -> DataFrame:
 def doc_json_summary(corpus: DataFrame, docs: DataFrame) -> DataFrame:
     """One row of an export: n_docs, n_entities, n_dropped (spans that cover no word) and entity_types in order."""
     asked = corpus.agg(F.sum(F.size("spans")).cast("long").alias("asked"))
-    kept = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size("entities")).cast("long").alias("n_entities"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.transform("entities", lambda e: e["type"]))))).alias("entity_types"))
-    return kept.crossJoin(asked).select("n_docs", "n_entities", (F.col("asked") - F.col("n_entities")).alias("n_dropped"), "entity_types")
+    kept = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size("entities")).cast("long").alias("n_entities"))
+    # told apart before they meet, so what meets is a row for each type
+    types = docs.select(F.explode("entities.type").alias("type")).distinct().agg(F.sort_array(F.collect_list("type")).alias("entity_types"))
+    return kept.crossJoin(types).crossJoin(asked).select("n_docs", "n_entities", (F.col("asked") - F.col("n_entities")).alias("n_dropped"), "entity_types")
 
 
 def dev_sample(docs: DataFrame, n: int = 200) -> DataFrame:
@@ -115,6 +169,47 @@ def markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |")).alias("line"))
 
 
+#: Characters that a LaTeX table cell has to escape, and how.
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): each row as a line of a LaTeX table, special characters escaped; null is empty."""
+
+    def cell(c: str):
+        known = F.create_map(*[F.lit(x) for pair in LATEX.items() for x in pair])
+        letters = F.filter(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), ""), lambda x: x != "")
+        return F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+
+    return rows.select(F.concat(F.concat_ws(" & ", *[cell(c) for c in columns]), F.lit(r" \\")).alias("line"))
+
+
+def write_table(lines: DataFrame, columns: list[str], path: str, kind: str = "markdown") -> None:
+    """Lines of markdown() or latex() with the head and end of a table, as one text file below path; tables are small."""
+    if kind == "markdown":
+        head, end = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)], []
+    elif kind == "latex":
+        named = ["".join(LATEX.get(x, x) for x in c) for c in columns]
+        head, end = [rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", " & ".join(named) + r" \\", r"\midrule"], [r"\bottomrule", r"\end{tabular}"]
+    else:
+        raise ValueError(f"unknown kind of table {kind}")
+    spark = lines.sparkSession
+    placed = lines.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("i"), "line")
+    frame = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(end)], "part int, i long, line string")
+    frame.unionByName(placed).coalesce(1).sortWithinPartitions("part", "i").select("line").write.mode("overwrite").text(path)
+
+
+def write_report(rows: DataFrame, path: str, parameters: dict | None = None) -> None:
+    """rows(dataset, metric, value) as one report JSON {params, results: {dataset: {metric: value}}}, which report_metrics reads; a null value is left out."""
+    import json
+
+    one = rows.filter("value is not null").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("dataset", "m"))), lambda e: F.struct(e["dataset"].alias("key"), F.map_from_entries(e["m"]).alias("value")))
+    every = one.agg(F.map_from_entries(entries).alias("results"))
+    text = F.concat(F.lit(f'{{"params": {json.dumps(parameters or {}, ensure_ascii=False, sort_keys=True)}, '), F.substring(F.to_json(F.struct("results")), F.lit(2), F.lit(2**31 - 1)))
+    every.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def mean_std_cells(rows: DataFrame) -> DataFrame:
     """(model, dataset, cell): mean and deviation of value over seeds, for a table."""
     stats = rows.groupBy("model", "dataset").agg(F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("s"))

@@ -105,3 +105,40 @@ def test_parameter_files(spark, tmp_path):
         (tmp_path / run / "params" / name).write_text(value + "\n")
     got = t.parameter_files(spark, str(tmp_path / "r*" / "params" / "*")).collect()
     assert [(r.run, r.name, r.value.strip()) for r in got] == [("r1", "dataset", "conll")]
+
+
+def test_standard_registry(spark, tmp_path):
+    known = structured.standard_registry(str(tmp_path))
+    assert known.names() == sorted(structured.CORPORA) and len(known.names()) == 14
+    (tmp_path / "crossner_ai").mkdir()
+    (tmp_path / "crossner_ai" / "dev.txt").write_text("Paris B-loc\n\nno O\n")
+    assert [r.text for r in known.read(spark, "crossner_ai", "validation").collect()] == ["Paris"]
+    rows = [(["Old", "York"], [1, 2]), (["x"], [0])]
+    spark.createDataFrame(rows, "tokens array<string>, ner_tags array<long>").coalesce(1).write.parquet(f"{tmp_path}/wnut17/test.parquet")
+    (tmp_path / "wnut17" / "labels.txt").write_text("O\nB-place\nI-place\n")
+    got = known.read(spark, "wnut17", "test").collect()
+    assert [(r.text, [tuple(s) for s in r.spans]) for r in got] == [("Old York", [(0, 8, "place")])]
+    spark.createDataFrame([(["Anna"], [6])], "tokens array<string>, tags array<int>").write.parquet(f"{tmp_path}/bionlp2004/test.parquet")
+    assert [r.spans[0].label for r in known.read(spark, "bionlp2004", "test").collect()] == ["cell_type"]
+    (tmp_path / "gum" / "dep").mkdir(parents=True)
+    for doc in ("GUM_a", "GUM_b", "GENTLE_c"):
+        (tmp_path / "gum" / "dep" / f"{doc}.conllu").write_text(CONLLU.replace("The", doc))
+    (tmp_path / "gum" / "splits.md").write_text("## test\n* GUM_a\n")
+    first = lambda name, split: sorted(r.text.split()[0] for r in known.read(spark, name, split).collect())
+    assert first("gum", "test") == ["GUM_a"] and first("gum", "train") == ["GUM_b"] and first("gentle", "test") == ["GENTLE_c"]
+
+
+def test_report_and_table_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("d_1", "f1", 0.5), ("d_1", "ami", None), ('q"', "f1", 1.0)], "dataset string, metric string, value double")
+    structured.write_report(rows, str(tmp_path / "r"), {"seed": 1})
+    import json
+
+    text = next((tmp_path / "r").glob("part-*")).read_text()
+    assert json.loads(text) == {"params": {"seed": 1}, "results": {"d_1": {"f1": 0.5}, 'q"': {"f1": 1.0}}}
+    assert sorted(map(tuple, structured.report_metrics(spark, str(tmp_path / "r")).collect())) == [("d_1", "f1", 0.5), ('q"', "f1", 1.0)]
+    table = spark.createDataFrame([("a_b & 5%", 1), (None, 2)], "name string, n int")
+    structured.write_table(structured.latex(table, ["name", "n"]), ["name", "n_x"], str(tmp_path / "t"), "latex")
+    lines = next((tmp_path / "t").glob("part-*")).read_text().splitlines()
+    assert lines == [r"\begin{tabular}{ll}", r"\toprule", r"name & n\_x \\", r"\midrule", r"a\_b \& 5\% & 1 \\", r" & 2 \\", r"\bottomrule", r"\end{tabular}"]
+    structured.write_table(structured.markdown(table, ["name", "n"]), ["name", "n"], str(tmp_path / "m"))
+    assert next((tmp_path / "m").glob("part-*")).read_text().splitlines()[:3] == ["| name | n |", "|---|---|", "| a_b & 5% | 1 |"]
