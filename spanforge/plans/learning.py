@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import generation, runs
 from ..functions import parsing
-from ..operators import decode, em, metric_learning, spans, triplets, vectors
+from ..operators import ablation, decode, em, metric_learning, spans, triplets, vectors
 from ..session import cut, scratch, table
-from ..sources import blocks, reports, resumable
+from ..sources import blocks, reports, resumable, structured, text_formats
 from .corpora import _LN, _TU, _conllu, _turns
+from .scoring import _METRICS, _PRF
 from .text_queries import _SPANS, KEYS, _tagged
 
 #: Bytes of a range in the queries, so that files are read by several tasks.
@@ -198,9 +199,28 @@ def isolated_runs(spark, sf_dir):
     return status.select("dataset", "status", "n_rows", "n_out", F.col("error").isNotNull().alias("has_error"))
 
 
+DIMS = (16, 64)
+
+
+def three_axis_ablation(spark, sf_dir):
+    """Two embedders (as they are, and less their mean), two dimensions, two heads."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("gold"), F.col("embedding").cast("array<double>").alias("vec"))
+    return ablation.ablate({"plain": rows, "centred": ablation.centred(rows)}, list(DIMS), {"centroid": ablation.centroid_head, "gaussian": ablation.gaussian_head}, "vec_id % 5 = 0")
+
+
+def tag_id_maps_all(spark, sf_dir):
+    """Integer tags by each of the static maps, one tag unknown to each."""
+    out = None
+    for name, tags in structured.TAG_MAPS.items():
+        rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_name")).alias("tokens"), F.array((F.col("p_partkey") % (len(tags) + 1)).cast("int")).alias("tags"))
+        part = text_formats.explode_tokens(text_formats.decode_tags(rows, tags), ["p_partkey"]).select(F.lit(name).alias("map"), "p_partkey", "token", "tag")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
     f.__name__: f
-    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning, closed_set_spans, resumed_results, flattened_reports, isolated_runs)
+    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning, closed_set_spans, resumed_results, flattened_reports, isolated_runs, three_axis_ablation, tag_id_maps_all)
 }
 
 _TX = _TU + """, tx AS MATERIALIZED (SELECT conv_id || '-' || turn AS sent_id, text, words FROM t WHERE NOT regexp_matches(text, '[()\\[\\]"\\\\]'))"""
@@ -213,6 +233,20 @@ _FIRST = f"""WITH {_TX}, a AS (SELECT sent_id, text, list_filter(words, lambda w
 _SHARE = "(CAST('0x' || substr({0}, {1}, 8) AS BIGINT) + 0.5) / 4294967296.0"
 _NORMAL = f"sqrt(-2.0 * ln({_SHARE.format('{0}', 1)})) * cos(2 * pi() * {_SHARE.format('{0}', 9)})"
 _ASKED = "length('List the entities of the text as a JSON array of objects with keys \"text\" (as it stands in the text) and \"type\". Types: CAP, LONG. Without entities give [].' || chr(10) || 'Text: ' || text)"
+
+
+def _ablation(embedder: str, dim: int, head: str) -> str:
+    """SQL of one combination."""
+    x = "x - avg(x) OVER (PARTITION BY pos)" if embedder == "centred" else "x"
+    sims = "SELECT v.vec_id, v.gold, c.label, round(sum(v.x * c.m / c.n), 6) AS s FROM v JOIN (SELECT label, pos, m, greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS n FROM g) c USING (pos) WHERE v.vec_id % 5 = 0 GROUP BY ALL"
+    ll = "SELECT v.vec_id, v.gold, g.label, round(-0.5 * sum(ln(2 * pi() * (g.s + 1e-4)) + (v.x - g.m) * (v.x - g.m) / (g.s + 1e-4)), 4) AS s FROM v JOIN g USING (pos) WHERE v.vec_id % 5 = 0 GROUP BY ALL"
+    return f"""SELECT '{embedder}' AS embedder, {dim} AS dim, '{head}' AS head, * FROM (WITH r0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS gold, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+        r1 AS (SELECT vec_id, gold, pos, {x} AS x FROM r0), r2 AS (SELECT * FROM r1 WHERE pos < {dim}), nn AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM r2 GROUP BY vec_id),
+        v AS (SELECT r2.vec_id, gold, pos, x / n AS x FROM r2 JOIN nn USING (vec_id)), g AS (SELECT gold AS label, pos, avg(x) AS m, var_pop(x) AS s FROM v WHERE vec_id % 5 <> 0 GROUP BY ALL),
+        sc AS ({sims if head == "centroid" else ll}), pairs AS (SELECT gold, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM sc) WHERE k = 1), {_PRF}
+        SELECT (SELECT count(*) FROM pairs) AS n, {_METRICS})"""
+
+
 ORACLES = {
     "bio_text_splits": f"WITH {_SPANS} SELECT 'id-' || doc_id || '-' || line AS name, CAST(count(*) AS INTEGER) AS n, md5(string_agg(token, '|' ORDER BY pos)) AS first_md5, md5(string_agg(tag, '|' ORDER BY pos)) AS second_md5 FROM tags GROUP BY doc_id, line",
     "conllu_splits": f"""WITH {_LN}, e AS (SELECT l_orderkey, n, form, CASE WHEN n > 1 THEN (n - 1) || ')' ELSE '' END || '(' || n || '-' || label || '-x' AS entity FROM ln)
@@ -241,6 +275,8 @@ ORACLES = {
         WHEN 0 THEN [{'path': '.id', 'value': CAST(o_orderkey AS VARCHAR)}, {'path': '.metrics.priority', 'value': o_orderpriority}, {'path': '.metrics.by.customer[0]', 'value': CAST(o_custkey AS VARCHAR)}, {'path': '.metrics.by.customer[1]', 'value': '0.5'}, {'path': '.metrics.by.customer[2]', 'value': 'true'}]
         WHEN 1 THEN [{'path': '.runs[0].seed', 'value': '1'}, {'path': '.runs[0].status', 'value': o_orderstatus}, {'path': '.runs[1].seed', 'value': '2'}, {'path': '.runs[1].status', 'value': NULL}]
         ELSE [{'path': '[0].empty', 'value': NULL}, {'path': '[1]', 'value': o_orderstatus}] END) AS p)""",
+    "three_axis_ablation": " UNION ALL ".join(_ablation(e, d, h) for e in ("plain", "centred") for d in DIMS for h in ("centroid", "gaussian")),
+    "tag_id_maps_all": " UNION ALL ".join(f"SELECT '{name}' AS map, p_partkey, p_name AS token, list_extract({tags}, CAST(p_partkey % {len(tags) + 1} + 1 AS INTEGER)) AS tag FROM part" for name, tags in structured.TAG_MAPS.items()),
     "isolated_runs": f"""SELECT o_orderpriority AS dataset, CASE o_orderpriority WHEN '{PRIORITIES[0]}' THEN 'failed_load' WHEN '{PRIORITIES[1]}' THEN 'no_rows' WHEN '{PRIORITIES[2]}' THEN 'failed_fit' WHEN '{PRIORITIES[3]}' THEN 'crashed' ELSE 'ok' END AS status,
         CASE o_orderpriority WHEN '{PRIORITIES[1]}' THEN 0 WHEN '{PRIORITIES[4]}' THEN count(*) END AS n_rows, CASE WHEN o_orderpriority = '{PRIORITIES[4]}' THEN count(DISTINCT o_custkey) END AS n_out, o_orderpriority NOT IN ('{PRIORITIES[1]}', '{PRIORITIES[4]}') AS has_error FROM orders GROUP BY o_orderpriority""",
     "hierarchy_monte_carlo": f"""WITH x AS (SELECT l_returnflag || l_linestatus AS label, l_linenumber % 2 AS c, CAST(l_quantity AS DOUBLE) AS q, l_discount * 100.0::DOUBLE AS d FROM lineitem),

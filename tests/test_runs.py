@@ -141,3 +141,16 @@ def test_decode_merges_and_decodes(spark):
     free = sorted((r.id, r.start_off, r.end_off, round(r.score, 6)) for r in d.decode(words, ["id"], ["X"], constrained=False).collect())
     assert free == [(1, 0, 9, 0.75), (2, 0, 2, 0.7)]
     assert d.decode(words.limit(0), ["id"], ["X"]).count() == 0
+
+
+def test_ablation_of_each_axis(spark):
+    from spanforge.operators import ablation as a
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.eye(3)[np.arange(90) % 3] * 3 + rng.normal(size=(90, 3)) * 0.3, rng.normal(size=(90, 3))], axis=1)
+    rows = spark.createDataFrame([(i, "abc"[i % 3], x[i].tolist()) for i in range(90)], "vec_id long, gold string, vec array<double>")
+    got = {(r.embedder, r.dim, r.head): r for r in a.ablate({"plain": rows, "centred": a.centred(rows)}, [1, 3, 6], {"centroid": a.centroid_head, "gaussian": a.gaussian_head}, "vec_id % 4 = 0").collect()}
+    assert len(got) == 12 and all(r.n == 23 for r in got.values())
+    assert got["plain", 3, "centroid"].accuracy == 1.0 and got["plain", 3, "gaussian"].macro_f1 > 0.9 and got["plain", 1, "centroid"].accuracy < 0.9
+    mean = np.array([r.vec for r in a.centred(rows).collect()]).mean(0)
+    assert np.allclose(mean, 0)
