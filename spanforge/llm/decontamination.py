@@ -29,8 +29,6 @@ from .rows import KEY, keyed
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 23
-#: Item shingles that are broadcast; with more, the join shuffles.
-MOST_BROADCAST = 500_000
 #: What stands between words: ASCII but letters and digits, and the spaces and punctuation of three further blocks.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
 
@@ -77,12 +75,11 @@ def _least(width: Column) -> Column:
 
 def _windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(key, item, start): windows that may be similar enough. rows has KEY and array w."""
-    codes = items.select("item", "k", "m", F.explode(_shingles("iw", F.col("k"), True)).alias("h")).distinct()
-    some = codes.agg(F.count("*").alias("n"), F.collect_set("k").alias("k")).first()
-    codes = codes.withColumnRenamed("k", "ck")
-    codes = F.broadcast(codes) if some.n <= MOST_BROADCAST else codes
+    # written, so that Spark knows its size and decides by it whether to broadcast
+    codes = cut(items.select("item", F.col("k").alias("ck"), "m", F.explode(_shingles("iw", F.col("k"), True)).alias("h")).distinct())
+    widths = codes.agg(F.collect_set("ck")).first()[0]
     found = None
-    for k in sorted(some.k):  # five, and the lengths of shorter items
+    for k in sorted(widths):  # five, and the lengths of shorter items
         part = rows.select(KEY, (F.size("w") - k + 1).alias("d"), F.posexplode(_shingles("w", int(k), True)).alias("at", "h")).join(codes.filter(F.col("ck") == k), "h")
         part = part.select(KEY, "item", "m", "d", "at")
         found = part if found is None else found.unionByName(part)
