@@ -57,6 +57,28 @@ class Gazetteer:
         return out
 
 
+class WordPatterns:
+    """Finds single words of a text by patterns, the first that matches from a word's start naming its label; words are parted by spaces."""
+
+    def __init__(self, patterns: dict[str, str], score: float = 1.0):
+        self.patterns, self.score = patterns, score
+
+    def detect(self, texts, labels=None):
+        import re
+
+        known = [(label, re.compile(p)) for label, p in self.patterns.items() if labels is None or label in labels]
+        out = []
+        for text in texts:
+            found, at = [], 0
+            for word in text.split(" "):
+                label = next((x for x, p in known if p.match(word)), None)
+                if label:
+                    found.append((at, at + len(word), label, self.score))
+                at += len(word) + 1
+            out.append(found)
+        return out
+
+
 class HashedNgrams:
     """Unit vectors of hashed character trigrams."""
 

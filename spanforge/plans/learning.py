@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import generation, runs
-from ..functions import parsing
+from ..api import ZeroShotTyper
+from ..models import HashedNgrams, WordPatterns
 from ..operators import ablation, decode, em, metric_learning, spans, triplets, vectors
 from ..session import cut, scratch, table
 from ..sources import blocks, reports, resumable, structured, text_formats
 from .corpora import _LN, _TU, _conllu, _turns
-from .scoring import _METRICS, _PRF
+from .scoring import _METRICS, _PRF, _ami
 from .text_queries import _SPANS, KEYS, _tagged
 
 #: Bytes of a range in the queries, so that files are read by several tasks.
@@ -199,6 +200,16 @@ def isolated_runs(spark, sf_dir):
     return status.select("dataset", "status", "n_rows", "n_out", F.col("error").isNotNull().alias("has_error"))
 
 
+def zero_shot_two_passes(spark, sf_dir):
+    """A detector of few words and a typer that trusts it, against words by another rule."""
+    rows = _turns(spark, sf_dir).select((F.col("conv_id") * 10000 + F.col("turn")).alias("sent_id"), "text", "words")
+    tokens = spans.token_offsets(rows.select("sent_id", F.posexplode("words").alias("pos", "token")), ["sent_id"])
+    label = F.when(F.col("token").rlike("^[A-Z]"), "CAP").when(F.char_length("token") > 9, "LONG")
+    gold = tokens.select("sent_id", "start_off", "end_off", label.alias("label")).filter("label is not null")
+    typer = ZeroShotTyper(WordPatterns({"CAP": "[A-Z]", "LONG": ".{12}"}), HashedNgrams(16), beta=100.0)
+    return runs.zero_shot(rows.select("sent_id", "text"), gold, typer)
+
+
 DIMS = (16, 64)
 
 
@@ -220,7 +231,7 @@ def tag_id_maps_all(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning, closed_set_spans, resumed_results, flattened_reports, isolated_runs, three_axis_ablation, tag_id_maps_all)
+    for f in (bio_text_splits, conllu_splits, generated_word_tags, generated_questions, generated_described_questions, generated_exact_json, generated_any_json, generation_failures, gmm_em_k3, hierarchy_monte_carlo, projection_learning, closed_set_spans, resumed_results, flattened_reports, isolated_runs, zero_shot_two_passes, three_axis_ablation, tag_id_maps_all)
 }
 
 _TX = _TU + """, tx AS MATERIALIZED (SELECT conv_id || '-' || turn AS sent_id, text, words FROM t WHERE NOT regexp_matches(text, '[()\\[\\]"\\\\]'))"""
@@ -275,6 +286,11 @@ ORACLES = {
         WHEN 0 THEN [{'path': '.id', 'value': CAST(o_orderkey AS VARCHAR)}, {'path': '.metrics.priority', 'value': o_orderpriority}, {'path': '.metrics.by.customer[0]', 'value': CAST(o_custkey AS VARCHAR)}, {'path': '.metrics.by.customer[1]', 'value': '0.5'}, {'path': '.metrics.by.customer[2]', 'value': 'true'}]
         WHEN 1 THEN [{'path': '.runs[0].seed', 'value': '1'}, {'path': '.runs[0].status', 'value': o_orderstatus}, {'path': '.runs[1].seed', 'value': '2'}, {'path': '.runs[1].status', 'value': NULL}]
         ELSE [{'path': '[0].empty', 'value': NULL}, {'path': '[1]', 'value': o_orderstatus}] END) AS p)""",
+    "zero_shot_two_passes": f"""WITH {_TU}, w AS (SELECT conv_id, turn, i, words[i + 1] AS w FROM t, unnest(range(len(words))) r(i)),
+        al AS (SELECT CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'CAP' WHEN length(w) > 9 THEN 'LONG' ELSE '__predicted_not_gold__' END AS gold, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'CAP' WHEN length(w) >= 12 THEN 'LONG' ELSE '__gold_not_predicted__' END AS pred FROM w),
+        pairs AS MATERIALIZED (SELECT * FROM al WHERE gold <> '__predicted_not_gold__' OR pred <> '__gold_not_predicted__'), {_ami('pairs')}, {_PRF},
+        n AS (SELECT count(CASE WHEN gold <> '__predicted_not_gold__' THEN 1 END) AS n_gold, count(CASE WHEN pred <> '__gold_not_predicted__' THEN 1 END) AS n_pred, count(CASE WHEN gold <> '__predicted_not_gold__' AND pred <> '__gold_not_predicted__' THEN 1 END) AS n_matched FROM pairs)
+        SELECT n_gold, n_pred, n_matched, round(n_matched / n_gold::DOUBLE, 6) AS recall, ami, {_METRICS} FROM n, am""",
     "three_axis_ablation": " UNION ALL ".join(_ablation(e, d, h) for e in ("plain", "centred") for d in DIMS for h in ("centroid", "gaussian")),
     "tag_id_maps_all": " UNION ALL ".join(f"SELECT '{name}' AS map, p_partkey, p_name AS token, list_extract({tags}, CAST(p_partkey % {len(tags) + 1} + 1 AS INTEGER)) AS tag FROM part" for name, tags in structured.TAG_MAPS.items()),
     "isolated_runs": f"""SELECT o_orderpriority AS dataset, CASE o_orderpriority WHEN '{PRIORITIES[0]}' THEN 'failed_load' WHEN '{PRIORITIES[1]}' THEN 'no_rows' WHEN '{PRIORITIES[2]}' THEN 'failed_fit' WHEN '{PRIORITIES[3]}' THEN 'crashed' ELSE 'ok' END AS status,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import metrics
+from .operators import align
 from .session import cut
 
 #: How a dataset can end.
@@ -15,6 +18,39 @@ FAILED_LOAD, NO_ROWS, FAILED_FIT, CRASHED, OK = "failed_load", "no_rows", "faile
 STATUS = "dataset string, status string, n_rows long, n_out long, seconds double, error string"
 
 
+PLACE = ["sent_id", "start_off", "end_off"]
+
+
+class Typer(Protocol):
+    def predict(self, texts: DataFrame, labels: list[str]) -> DataFrame: ...
+
+
+def score_spans(gold: DataFrame, typed: DataFrame) -> DataFrame:
+    """One row of typed spans against gold(sent_id, start_off, end_off, label): n_gold, n_pred, n_matched, recall, ami, accuracy and macro_f1.
+
+    Spans are matched by place; what only one side has is an error of its own kind,
+    and of two labels in one place the greatest counts. recall is of places alone, 0
+    without gold; the other measures are of all aligned places.
+    """
+    side = lambda d, name: d.select(*PLACE, F.lit(0).alias("ord"), F.col("label").alias(name))
+    pairs = cut(align.align(side(gold, "gold"), side(typed, "pred"), PLACE))
+    there = lambda c, missing: F.count_if(F.col(c) != missing)
+    both = F.count_if((F.col("gold") != align.PREDICTED_NOT_GOLD) & (F.col("pred") != align.GOLD_NOT_PREDICTED))
+    counts = pairs.agg(there("gold", align.PREDICTED_NOT_GOLD).alias("n_gold"), there("pred", align.GOLD_NOT_PREDICTED).alias("n_pred"), both.alias("n_matched"))
+    recall = F.round(F.coalesce(F.try_divide("n_matched", "n_gold"), F.lit(0.0)), 6).alias("recall")
+    return counts.select("*", recall).crossJoin(metrics.summary(pairs))
+
+
+def zero_shot(texts: DataFrame, gold: DataFrame, typer: Typer) -> DataFrame:
+    """score_spans of a typer that is told the gold labels' names and nothing else.
+
+    Two passes: mentions of all texts are found and embedded, and written; then the
+    prototypes are refined on all of them, and each is typed.
+    """
+    labels = sorted(r.label for r in gold.select("label").distinct().collect())
+    return score_spans(gold, typer.predict(texts, labels))
+
+
 def _said(error: Exception) -> str:
     text = str(error).strip()
     return f"{type(error).__name__}: {text.splitlines()[0] if text else ''}"

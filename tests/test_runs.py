@@ -154,3 +154,19 @@ def test_ablation_of_each_axis(spark):
     assert got["plain", 3, "centroid"].accuracy == 1.0 and got["plain", 3, "gaussian"].macro_f1 > 0.9 and got["plain", 1, "centroid"].accuracy < 0.9
     mean = np.array([r.vec for r in a.centred(rows).collect()]).mean(0)
     assert np.allclose(mean, 0)
+
+
+def test_scores_of_spans(spark):
+    from spanforge.models import WordPatterns
+
+    gold = spark.createDataFrame([(1, 0, 3, "a"), (1, 4, 6, "b"), (2, 0, 3, "a")], "sent_id long, start_off int, end_off int, label string")
+    typed = spark.createDataFrame([(1, 0, 3, "a"), (1, 4, 6, "a"), (3, 0, 1, "b")], "sent_id long, start_off int, end_off int, label string")
+    one = runs.score_spans(gold, typed).first()
+    assert (one.n_gold, one.n_pred, one.n_matched, one.recall, one.accuracy) == (3, 3, 2, 0.666667, 0.25)
+    # labels a, b and the two sentinels: only a has a hit, with 2 gold and 2 predicted
+    assert one.macro_f1 == round((2 * 1 / 4) / 4, 6)
+    none = runs.score_spans(gold.limit(0), typed).first()
+    assert (none.n_gold, none.n_matched, none.recall) == (0, 0, 0.0)
+    found = WordPatterns({"CAP": "[A-Z]", "LONG": ".{5}"}).detect(["Ab longer  x Élan", ""])
+    assert found == [[(0, 2, "CAP", 1.0), (3, 9, "LONG", 1.0)], []]
+    assert WordPatterns({"CAP": "[A-Z]"}).detect(["Ab"], ["LONG"]) == [[]]
