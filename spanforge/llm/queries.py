@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,8 +113,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: What half a byte adds to a CRC-32, by the polynomial of the reflected form.
+_NIBBLES = [reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(4), i) for i in range(16)]
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f
+    """,
+    "op2_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS MATERIALIZED (SELECT doc_id, i, ws[i] AS w, CASE WHEN i + 19 <= len(ws) THEN sha256(array_to_string(ws[i:i + 19], ' ')) END AS s FROM d, unnest(range(1, len(ws) + 1)) r(i)),
+        m AS (SELECT *, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM g),
+        c AS (SELECT *, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM m),
+        k AS (SELECT doc_id, count(*) AS n, count(CASE WHEN gone THEN 1 END) AS r, string_agg(CASE WHEN NOT gone THEN w END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op13_importance_resampling": rf"""
+        WITH t AS (SELECT doc_id AS id, false AS target, text FROM documents UNION ALL SELECT item_id, true, text FROM benchmark),
+        d AS MATERIALIZED (SELECT id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+        g AS MATERIALIZED (SELECT id, target, array_to_string(ws[i:i + k - 1], ' ') AS f FROM d, unnest(range(1, len(ws) + 1)) r(i), (VALUES (1), (2), (3)) n(k) WHERE i + k - 1 <= len(ws)),
+        x AS (SELECT f, lower(hex(encode(f))) AS h FROM (SELECT DISTINCT f FROM g)),
+        b AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(h)), lambda j: instr('0123456789abcdef', h[j + 2 - 2 * (j % 2)]) - 1), lambda c, v: xor(c >> 4, {_NIBBLES}[(xor(c, v) & 15) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM x),
+        c AS (SELECT bucket, count(CASE WHEN NOT target THEN 1 END) AS s, count(CASE WHEN target THEN 1 END) AS t FROM g JOIN b USING (f) GROUP BY bucket),
+        n AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM c),
+        q AS (SELECT bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM c, n),
+        w AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS weight FROM g JOIN b USING (f) JOIN q USING (bucket) WHERE NOT target GROUP BY id),
+        a AS (SELECT d.id AS doc_id, len(ws) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w ON w.id = d.id WHERE NOT target),
+        e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS many FROM a WHERE words >= 20)
+        SELECT a.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * many // 100 THEN rank END AS rank FROM a LEFT JOIN e USING (doc_id)
+    """,
     "op11_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
