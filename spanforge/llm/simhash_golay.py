@@ -120,17 +120,18 @@ def golay_keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.
     return (np.concatenate(own_key), np.concatenate(own_row)), (np.concatenate(all_key), np.concatenate(all_row))
 
 
-def _keys(fps: DataFrame, own: bool) -> DataFrame:
-    """Rows (key, fp): the own codewords of each fingerprint's segment pairs, or all their keys."""
+def _keys(fps: DataFrame, own: bool, *carried: str) -> DataFrame:
+    """Rows (key, fp, carried): the own codewords of each fingerprint's segment pairs, or all their keys; carried columns are longs."""
+    columns = ["fp", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                fp = np.asarray(batch.column(0)[at : at + 4096])
-                key, row = golay_keys(fp)[0 if own else 1]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
+                part = batch.slice(at, 4096)
+                key, row = golay_keys(np.asarray(part.column("fp")))[0 if own else 1]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(part.column(c).take(pa.array(row)) for c in columns)], ["key", *columns])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return fps.select(columns).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in columns))
 
 
 def _distance() -> F.Column:
@@ -156,6 +157,28 @@ def stars(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.groupBy("a").agg(F.min(F.struct(_distance().alias("d"), "b")).alias("m")).select("a", "m.b")
 
 
+def bridges(named: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between components of named(fp, component) that hold fingerprints at most radius bits apart; none within a component."""
+    own = _keys(named, True, "component").select(F.col("key").alias("own"), F.col("fp").alias("b"), F.col("component").alias("cb"))
+    every = _keys(named, False, "component").select("key", F.col("fp").alias("a"), F.col("component").alias("ca"))
+    return every.join(own, (F.col("key") == F.col("own")) & (F.col("ca") < F.col("cb")) & (_distance() <= radius)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def grouped(fps: DataFrame) -> DataFrame:
+    """(fp, component) of distinct fingerprints, over all links of at most RADIUS bits.
+
+    Stars make forests of the dense groups first, an edge a fingerprint; after that
+    only links between what they left apart are made, so a group of many near
+    fingerprints never comes out as all its pairs.
+    """
+
+    def renamed(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        return rows.join(found.select(F.col("id").alias(name), F.col("component").alias("_to")), name, "left").withColumn("component", F.coalesce("_to", name)).drop("_to")
+
+    named = cut(renamed(fps.select("fp"), components(stars(fps)), "fp"))
+    return renamed(named, components(bridges(named)), "component")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs.
 
@@ -163,12 +186,12 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     bits, the row's own included. Null and empty texts have fingerprint 0 and
     link like any other; rows with a null doc_id take part but never name a
     component (a component of only such rows has a null id); repeated rows stay
-    repeated; other columns are ignored. An empty table gives an empty table.
+    repeated; very long texts are taken whole; other columns are ignored. An empty
+    table gives an empty table.
     """
     fps = cut(fingerprints(docs, width))
     own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(own))
-    named = own.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = cut(own.join(grouped(own), "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

@@ -73,3 +73,31 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_dense_groups_come_out_as_forests(spark):
+    """Balls of near fingerprints, and chains between some of them: the components of all links, by few edges."""
+    rng = np.random.default_rng(8)
+    flip = lambda x, n: np.bitwise_xor.reduce([x, *(np.uint64(1) << np.uint64(b) for b in rng.choice(64, n, replace=False))])
+    fps = set()
+    for centre in rng.integers(0, 2**63, 6).astype(np.uint64):
+        fps |= {int(flip(centre, int(rng.integers(0, 3)))) for _ in range(120)}
+        at = centre
+        for _ in range(20):
+            at = flip(at, 3)
+            fps.add(int(at))
+    fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    fps = np.array(sorted(fps), np.uint64).view(np.int64)
+    table = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    near = np.unpackbits((fps[:, None] ^ fps[None, :]).view(np.uint8).reshape(len(fps), len(fps), 8), axis=2).sum(2) <= 3
+    label = np.arange(len(fps))
+    while ((new := np.array([label[n].min() for n in near])) != label).any():
+        label = new
+    got = {r.fp: r.component for r in s.grouped(table).collect()}
+    groups = {}
+    for f, c in zip(fps.tolist(), label.tolist()):
+        groups.setdefault(c, set()).add(got[f])
+    assert all(len(g) == 1 for g in groups.values()) and len({c for g in groups.values() for c in g}) == len(groups)
+    stars = s.components(s.stars(table))
+    named = table.join(stars.withColumnRenamed("id", "fp"), "fp", "left").selectExpr("fp", "coalesce(component, fp) as component")
+    assert s.links(table).count() == (near.sum() - len(fps)) // 2 > 5 * (s.stars(table).count() + s.bridges(named).count())
