@@ -19,7 +19,7 @@ Equal vectors are one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -86,39 +86,59 @@ def list_keys(perms: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([first[:, i] * n_pivots + first[:, j] for i, j in pairs]), np.tile(np.arange(len(perms)), len(pairs))
 
 
-def candidates(key: int, perms: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of the rows left with the rows right that belong to the list, some at a time."""
-    a, b = divmod(key, n_pivots)
-    k = perms.shape[1]
+#: Pairs of rows that are looked at together.
+PAIRS = 1 << 17
+_APART = np.abs(np.arange(NEAREST)[:, None] - np.arange(NEAREST)[None, :])
+
+
+def agreeing(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Which pairs of permutations are candidates and belong to the list key, that of their two first shared pivots."""
+    k = left.shape[1]
     least, most_moved = agree(n_pivots)
-    least = min(least, k)
-    same = left is right
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
-        shared, moved, before = (np.zeros((len(rows), len(right)), np.int16) for _ in range(3))
-        for i in range(k):
-            for j in range(k):
-                equal = perms[rows, i][:, None] == perms[right, j][None, :]
-                shared += equal
-                moved += equal * np.int16(abs(i - j))
-                before += equal & ((perms[rows, i] < b) & (perms[rows, i] != a))[:, None]
-        good = (shared >= least) & (before == 0) & (moved + (k - shared) * k <= most_moved)
-        if same:
-            good &= rows[:, None] < right[None, :]
-        i, j = np.nonzero(good)
-        if len(i):
-            yield rows[i], right[j]
-
-
-def judge(key: int, x: np.ndarray, perms: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows left with the rows right of one list: weights of links by row, and each row's least row reached."""
-    hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for i, j in candidates(key, perms, left, right, n_pivots):
-        near = np.concatenate([(x[i[at : at + BLOCK]] * x[j[at : at + BLOCK]]).sum(1) for at in range(0, len(i), BLOCK)]) >= LEAST_COSINE
-        hits.append((i[near], j[near]))
-    i, j = (np.concatenate(h) for h in zip(*hits))
-    links = np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))
-    least = np.arange(len(x))
+    equal = left[:, :, None] == right[:, None, :]
+    ours = equal.any(2)
+    shared = ours.sum(1)
+    moved = equal.reshape(len(left), k * k) @ _APART[:k, :k].ravel().astype(np.float32)
+    first, second = (key // n_pivots)[:, None], (key % n_pivots)[:, None]
+    before = (ours & (left < second) & (left != first)).any(1)
+    return (shared >= min(least, k)) & ~before & (moved + (k - shared) * k <= most_moved)
+
+
+Block = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def candidates(blocks: Iterable[Block], perms: np.ndarray, n_pivots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of rows of perms in blocks (key, start, left, right), PAIRS or so at a time over as many blocks; left and right count from start."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, i, j = (np.concatenate(h) for h in zip(*held))
+        held.clear()
+        good = agreeing(key, perms[i], perms[j], n_pivots)
+        if good.any():
+            yield i[good], j[good]
+
+    for key, start, left, right in blocks:
+        step = max(1, PAIRS // len(right))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+            if left is right:
+                once = i < j
+                i, j = i[once], j[once]
+            held.append((np.full(len(i), key, np.int64), start + i, start + j))
+            size += len(i)
+            if size >= PAIRS:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
+
+
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that it reaches by the links (i, j)."""
+    least = np.arange(n)
     while len(i):
         low = np.minimum(least[i], least[j])
         if (least[i] == low).all() and (least[j] == low).all():
@@ -126,11 +146,11 @@ def judge(key: int, x: np.ndarray, perms: np.ndarray, weight: np.ndarray, left:
         np.minimum.at(least, i, low)
         np.minimum.at(least, j, low)
         least = least[least]
-    return links.astype(np.int64), least
+    return least
 
 
-def _blocks(t: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """(key, start, end, left, right) of each pair of blocks in rows sorted by key, low and high; left and right count from start."""
+def _blocks(t: pa.Table) -> Iterator[Block]:
+    """(key, start, left, right) of each pair of blocks in rows sorted by key, low and high."""
     key, low, high, part = (np.asarray(t.column(c)) for c in ("key", "low", "high", "part"))
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
     for a, b in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
@@ -138,7 +158,7 @@ def _blocks(t: pa.Table) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray
         left = every if low[a] == high[a] else every[part[a:b] == low[a]]
         right = left if low[a] == high[a] else every[part[a:b] == high[a]]
         if b - a > 1 and len(left) and len(right):
-            yield int(key[a]), a, b, left, right
+            yield int(key[a]), a, left, right
 
 
 def meetings(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -159,9 +179,8 @@ def meetings(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         for t in groups(batches, ["key", "low", "high"]):
             perms = np.frombuffer(b"".join(t.column("perm").to_pylist()), "<i2").reshape(t.num_rows, -1)
             stay = np.zeros(t.num_rows, bool)
-            for key, a, b, left, right in _blocks(t):
-                for i, j in candidates(key, perms[a:b], left, right, n_pivots):
-                    stay[a + i] = stay[a + j] = True
+            for i, j in candidates(_blocks(t), perms, n_pivots):
+                stay[i] = stay[j] = True
             yield from t.select(["key", "low", "high", "part", "id"]).filter(pa.array(stay)).to_batches()
 
     postings = vectors.select("id", "vector").mapInArrow(describe, "key long, id long, perm binary")
@@ -183,15 +202,15 @@ def links(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
             weight = np.asarray(t.column("weight"))
             x = unit(np.asarray(t.column("vector").combine_chunks().flatten()).reshape(-1, size))
             perms = permutations(x, shared.value)
-            at, counts, least = ([np.zeros(0, np.int64)] for _ in range(3))
-            for key, a, b, left, right in _blocks(t):
-                c, m = judge(key, x[a:b], perms[a:b], weight[a:b], left, right, n_pivots)
-                hit = np.flatnonzero(c)
-                at.append(a + hit)
-                counts.append(c[hit])
-                least.append(a + m[hit])
+            hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, j in candidates(_blocks(t), perms, n_pivots):
+                near = np.concatenate([(x[i[at : at + BLOCK]] * x[j[at : at + BLOCK]]).sum(1) for at in range(0, len(i), BLOCK)]) >= LEAST_COSINE
+                hits.append((i[near], j[near]))
+            i, j = (np.concatenate(h) for h in zip(*hits))
+            counts = (np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))).astype(np.int64)
+            hit = np.flatnonzero(counts)
             ids = t.column("id").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(counts)), ids.take(pa.array(np.concatenate(least)))], ["id", "links", "least"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array(counts[hit]), ids.take(pa.array(lowest(len(x), i, j)[hit]))], ["id", "links", "least"])
 
     met = cut(meetings(vectors, pivots))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

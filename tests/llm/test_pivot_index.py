@@ -62,7 +62,7 @@ def test_recall_on_loose_groups():
     found = []
     for k in np.unique(key):
         own = np.sort(row[key == k])
-        found += [(a, b) for i, j in p.candidates(int(k), perms, own, own, 64) for a, b in zip(i, j)]
+        found += [(a, b) for i, j in p.candidates([(int(k), 0, own, own)], perms, 64) for a, b in zip(i, j)]
     assert len(found) == len(set(found))  # a pair belongs to one list
     assert len(want) > 500 and len(want & set(found)) >= 0.9 * len(want)
 
@@ -88,7 +88,7 @@ def test_recall_at_every_number_of_pivots(n_pivots, size, cosine=0.9501):
     found = 0
     for i in range(250):
         two = np.array([i, i + 250])
-        found += sum(len(a) for k in lists[i] & lists[i + 250] for a, _ in p.candidates(k, perms, two, two, len(pivots)))
+        found += sum(len(a) for k in lists[i] & lists[i + 250] for a, _ in p.candidates([(k, 0, two, two)], perms, len(pivots)))
     assert found >= 228
 
 
@@ -111,7 +111,7 @@ def test_candidates_by_definition():
     found = set()
     for k in np.unique(key):
         own = np.sort(row[key == k])
-        found |= {(a, b) for i, j in p.candidates(int(k), perms, own, own, pivots) for a, b in zip(i.tolist(), j.tolist())}
+        found |= {(a, b) for i, j in p.candidates([(int(k), 0, own, own)], perms, pivots) for a, b in zip(i.tolist(), j.tolist())}
     want = set()
     for a in range(200):
         for b in range(a + 1, 200):
