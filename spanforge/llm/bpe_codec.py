@@ -191,7 +191,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     tokens, as little-endian unsigned 32-bit integers; special strings in a text
     are their tokens; decoded is the written tokens joined by a space. Null
     texts are empty and give no ids and an empty string; null and repeated ids
-    and rows stay as they are; other columns are ignored.
+    and rows stay as they are; texts of any length are encoded whole; other columns
+    are ignored. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:  # read on the driver; a vocabulary file of bounded size

@@ -132,7 +132,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null or empty texts of either table match nothing; items under five words
     are one shingle, all their words; null ids stay null; rows that share an id
     are judged one by one and the best is returned, so repeated rows change
-    nothing; other columns are ignored.
+    nothing; very long texts are judged whole; other columns are ignored. Without
+    items or without documents there are no rows.
     """
     rows, key = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
     found = matches(rows.select(F.col(key).alias(KEY), "text"), benchmark).join(rows.select(F.col(key).alias(KEY), "doc_id"), KEY)

@@ -148,6 +148,7 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     Null and empty texts are a chunk of padding and get that chunk's score;
     repeated rows get equal scores; all columns stay, one named score is replaced.
+    Very long texts are scored in chunks that cover them; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     columns = [c for c in docs.columns if c != "score"]
@@ -164,6 +165,11 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted); held_out is false for a null id."""
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs.
+
+    held_out is false for a null id; null, empty and very long texts are scored as
+    in score_quality; repeated rows get equal scores; other columns are never read.
+    An empty table gives no rows.
+    """
     scored = score_quality(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, labels))
     return scored.select("doc_id", held_out("doc_id", MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -226,7 +226,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Counts are those of the tokenizer file at path without added special
     tokens; special strings in a text count as one token each. Null texts are
     empty, empty texts have no bytes and no tokens; null and repeated ids and
-    rows stay as they are; other columns are ignored; no text is cut.
+    rows stay as they are; other columns are ignored; no text is cut, however long;
+    an empty table gives no rows.
     """
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as file:  # read on the driver; a vocabulary file of bounded size

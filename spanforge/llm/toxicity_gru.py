@@ -296,7 +296,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = SAMPLE_ROW
 
 
 def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, score), one for each row of docs; null and empty texts get the score of a window without words."""
+    """Rows (doc_id, score), one for each row of docs; null and empty texts get the score of a window without words.
+
+    Very long texts are scored in windows that cover them; an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -311,8 +314,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of docs.
 
     held_out is false for a null id; repeated rows get equal scores; columns
-    other than doc_id and text are never read. Without labels of both kinds
-    every score is the smoothed share of toxic labels.
+    other than doc_id and text are never read. Null, empty and very long texts
+    are scored as in score_toxicity. Without labels of both kinds every score is the
+    smoothed share of toxic labels. An empty table gives no rows.
     """
     scored = score_toxicity(docs, train(docs, labels))
     return scored.select("doc_id", held_out("doc_id", MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
