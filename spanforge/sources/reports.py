@@ -37,9 +37,10 @@ def flattened(reports: DataFrame, key: str, text: str = "text") -> DataFrame:
     for _ in range(MOST_LEVELS):
         level = cut(level.withColumn("shape", F.schema_of_variant("v")))
         nested = F.col("shape").startswith("OBJECT<") | F.col("shape").startswith("ARRAY<")
-        inside = level.filter(nested).lateralJoin(reports.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("at", "name", "inner"))
+        # an empty object or list has a row without a place, so what is empty is told without meeting other rows
+        opened = level.filter(nested).lateralJoin(reports.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).toDF("at", "name", "inner"))
+        inside, empty = opened.filter("at is not null"), opened.filter("at is null").select("of", "path", "v", "shape")
         step = F.when(F.col("shape").startswith("OBJECT<"), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("at").cast("string"), F.lit("]")))
-        empty = level.filter(nested).join(inside.select("of", "path").distinct(), ["of", "path"], "left_anti")
         shape = F.when(F.col("shape") == "VOID", "NULL").when(F.col("shape").startswith("OBJECT<"), "OBJECT").when(F.col("shape").startswith("ARRAY<"), "ARRAY").otherwise(F.regexp_replace("shape", r"\(.*", ""))
         leaves = level.filter(~nested).unionByName(empty)
         out = out.unionByName(leaves.select("of", "path", shape.alias("kind"), F.when(nested, None).otherwise(F.try_variant_get("v", "$", "string")).alias("value")))
