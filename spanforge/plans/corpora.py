@@ -9,7 +9,7 @@ from ..functions import parsing
 from ..operators import spans
 from ..session import table
 from ..sources import structured, text_formats
-from .text_queries import _SPANS, KEYS, _tagged
+from .text_queries import _SPANS, _lines, _spans, _tagged
 
 #: Letters that have a capital of one letter on every engine.
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
@@ -18,9 +18,9 @@ TYPES = ["Person", "creative_work", "GPE"]
 
 def _bio_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token/tag files: a file a document, three columns a line, a blank line after each sentence."""
-    rows = _tagged(spark, sf_dir).select("doc_id", "line", "pos", F.concat_ws(" ", "token", F.lit("x"), "tag").alias("value"))
-    blank = rows.select("doc_id", "line").distinct().select("doc_id", "line", F.lit(1 << 30).alias("pos"), F.lit(" ").alias("value"))
-    return rows.unionByName(blank).select(F.col("doc_id").alias("file"), F.struct("line", "pos").alias("line"), "value")
+    made = F.concat(F.zip_with("words", "tags", lambda w, t: F.concat_ws(" ", w, F.lit("x"), t)), F.array(F.lit(" ")))
+    rows = _lines(spark, sf_dir).select("doc_id", "line", F.posexplode(made).alias("pos", "value"))
+    return rows.select(F.col("doc_id").alias("file"), F.struct("line", "pos").alias("line"), "value")
 
 
 def bio_text_rows(spark, sf_dir):
@@ -44,10 +44,10 @@ def tag_id_maps(spark, sf_dir):
 
 def split_summary(spark, sf_dir):
     """Sentences and B- tags of each language, read under the split names that are asked for."""
-    tagged = _tagged(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    lines = _lines(spark, sf_dir, "lang")
     files = {"train": "doc_id % 3 = 0", "dev": "doc_id % 3 = 1", "test": "doc_id % 3 = 2"}
     name = F.coalesce(*[F.when(F.expr(files[f]), split) for split, f in text_formats.SPLIT_FILES.items()])
-    return text_formats.tag_summary(tagged.withColumn("split", name), ["lang", "split"], KEYS)
+    return text_formats.line_summary(lines.withColumn("split", name), ["lang", "split"])
 
 
 def _conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +95,10 @@ def corpus_splits(spark, sf_dir):
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sent_id, text, spans): word spans moved by a character, and one a document that covers no word."""
-    tagged = _tagged(spark, sf_dir).withColumn("sent_id", F.col("doc_id") * 100000 + F.col("line"))
-    found = spans.nest(spans.bio_spans(tagged, ["sent_id"]), ["sent_id"])
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ")
     none = F.array(F.struct(F.lit(0).alias("start_off"), F.lit(0).alias("end_off"), F.lit("NONE").alias("label")))
-    return tagged.groupBy("sent_id").agg(text.alias("text")).join(found, "sent_id").withColumn("spans", F.concat("spans", none))
+    own = F.transform("spans", lambda s: F.struct(s["start_off"].alias("start_off"), s["end_off"].alias("end_off"), s["label"].alias("label")))
+    rows = _spans(spark, sf_dir).filter(F.exists("tags", lambda t: t != "O"))
+    return rows.select((F.col("doc_id") * 100000 + F.col("line")).alias("sent_id"), "text", F.concat(own, none).alias("spans"))
 
 
 def doc_json_entities(spark, sf_dir):

@@ -13,7 +13,7 @@ from ..session import cut, scratch, table
 from ..sources import blocks, reports, resumable, structured, text_formats
 from .corpora import _LN, _TU, _conllu, _turns
 from .scoring import _METRICS, _PRF, _ami
-from .text_queries import _SPANS, KEYS, _tagged
+from .text_queries import _SPANS, KEYS, _lines
 
 #: Bytes of a range in the queries, so that files are read by several tasks.
 SPLIT = 1 << 18
@@ -41,8 +41,8 @@ def _digests(rows: DataFrame, first: str, second: str) -> DataFrame:
 
 def bio_text_splits(spark, sf_dir):
     """Sentences of the documents, written as token/tag files and read back by byte ranges."""
-    word = F.concat_ws(" ", "token", F.lit("x"), "tag")
-    made = _tagged(spark, sf_dir).groupBy(*KEYS).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("v")))), lambda s: s["v"]), "\n").alias("v"))
+    word = lambda w, t: F.concat_ws(" ", w, F.lit("x"), t)
+    made = _lines(spark, sf_dir).select(*KEYS, F.array_join(F.zip_with("words", "tags", word), "\n").alias("v"))
     path = _written(made.select(F.concat(F.lit("id-"), "doc_id", F.lit("-"), "line", F.lit(" O\n"), "v").alias("value")), "bio")
     return _digests(blocks.read(spark, path, "bio", SPLIT), "first", "second")
 

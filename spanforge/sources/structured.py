@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import spans
-from ..session import cut
+from ..session import cut, ship
 
 DOC_JSON = "documents array<struct<id:string,sentences:array<array<string>>,entities:array<struct<type:string,sentence_idx:int,start_word_idx:int,end_word_idx:int>>>>, metadata struct<entity_types:array<string>>"
 
@@ -112,24 +112,31 @@ def read_doc_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def doc_json_spans(docs: DataFrame) -> DataFrame:
-    """read_doc_json of documents (id, sentences, entities)."""
-    sents = docs.select("id", F.posexplode("sentences").alias("sent_id", "words"))
-    ents = docs.select("id", F.explode_outer("entities").alias("e")).filter("e is not null").select("id", F.col("e.sentence_idx").alias("sent_id"), F.col("e.type").alias("label"), F.col("e.start_word_idx").alias("a"), F.col("e.end_word_idx").alias("b"))
-    start = F.when(F.col("a") == 0, 0).otherwise(F.char_length(F.array_join(F.slice("words", 1, F.col("a")), " ")) + 1)
-    end = F.char_length(F.array_join(F.slice("words", 1, F.col("b")), " "))
-    found = sents.join(ents, ["id", "sent_id"]).select("id", "sent_id", start.alias("start_off"), end.alias("end_off"), "label")
-    return sents.select("id", "sent_id", F.array_join("words", " ").alias("text")).join(spans.nest(found, ["id", "sent_id"]), ["id", "sent_id"], "left")
+    """read_doc_json of documents (id, sentences, entities). A document stays a row: its entities, in order of their sentences, are cut by them."""
+    ship(docs.sparkSession)
+    part = lambda e: F.struct(e["sentence_idx"].alias("at"), e["type"].alias("label"), e["start_word_idx"].alias("a"), e["end_word_idx"].alias("b"))
+    rows = docs.select("id", "sentences", F.sort_array(F.transform(F.filter(F.coalesce("entities", F.array().cast(ENTITIES)), lambda e: e["sentence_idx"].isNotNull()), part)).alias("e"))
+    nth = F.transform("sentences", lambda w, i: i)
+    rows = rows.withColumn("r", spans.covering(F.col("e.at"), F.col("e.at"), F.transform(nth, lambda i: i - 1), F.transform(nth, lambda i: i + 1)))
+    rows = rows.select("id", F.posexplode(F.arrays_zip("sentences", F.transform("r", lambda r: F.slice("e", r["a"] + 1, r["b"] - r["a"])).alias("e"))).alias("sent_id", "z"))
+    rows = rows.select("id", "sent_id", F.col("z.sentences").alias("words"), F.col("z.e").alias("e")).withColumn("starts", spans.starts("words"))
+    rows = rows.withColumn("text", F.array_join("words", " ")).withColumn("size", F.char_length("text"))
+    end = lambda i: F.when(i == 0, 0).otherwise(F.coalesce(F.get("starts", i - 1) + F.char_length(F.get("words", i - 1)), F.when(i.isNotNull(), F.col("size"))))
+    span = lambda e: F.struct(F.when(e["a"] == 0, 0).otherwise(end(e["a"]) + 1).alias("start_off"), end(e["b"]).alias("end_off"), e["label"].alias("label"))
+    return rows.select("id", "sent_id", "text", F.sort_array(F.transform("e", span)).alias("spans"))
+
+
+ENTITIES = "array<struct<type:string,sentence_idx:int,start_word_idx:int,end_word_idx:int>>"
 
 
 def to_doc_json(corpus: DataFrame) -> DataFrame:
-    """(id, sentences, entities): word spans of (sent_id, text, spans); spans that cover no word are dropped."""
-    toks = spans.token_offsets(spans.tokens(corpus.select("sent_id", "text"), ["sent_id"]), ["sent_id"])
-    exploded = corpus.select("sent_id", F.posexplode("spans").alias("span_id", "s")).select("sent_id", "span_id", "s.*")
-    words = spans.char_to_word_spans(exploded, toks, ["sent_id"]).filter("word_start is not null")
-    entity = F.struct(F.col("label").alias("type"), F.lit(0).alias("sentence_idx"), F.col("word_start").alias("start_word_idx"), F.col("word_end").alias("end_word_idx"))
-    ents = words.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("span_id", entity.alias("e")))).alias("x")).select("sent_id", F.transform("x", lambda v: v["e"]).alias("entities"))
-    sents = toks.groupBy("sent_id").agg(F.array(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])).alias("sentences"))
-    return sents.join(ents, "sent_id", "left").select(F.col("sent_id").cast("string").alias("id"), "sentences", F.coalesce("entities", F.array().cast("array<struct<type:string,sentence_idx:int,start_word_idx:int,end_word_idx:int>>")).alias("entities"))
+    """(id, sentences, entities): word spans of (sent_id, text, spans), a row a sentence; spans that cover no word are dropped."""
+    rows = spans.line_words(corpus.select("sent_id", "text", F.col("spans").alias("s")), ["sent_id", "text", "s"]).withColumn("s", F.coalesce("s", F.array().cast("array<struct<start_off:int,end_off:int,label:string>>")))
+    ends = F.zip_with("starts", "words", lambda s, w: s + F.char_length(w))
+    rows = rows.withColumn("c", spans.covering(F.col("starts"), ends, F.col("s.start_off"), F.col("s.end_off")))
+    entity = lambda s, c: F.struct(s["label"].alias("type"), F.lit(0).alias("sentence_idx"), c["a"].alias("start_word_idx"), c["b"].alias("end_word_idx"))
+    found = F.filter(F.zip_with("s", "c", entity), lambda e: e["start_word_idx"].isNotNull())
+    return rows.select(F.col("sent_id").cast("string").alias("id"), F.array("words").alias("sentences"), found.alias("entities"))
 
 
 def doc_json_summary(corpus: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import spans
+from ..session import ship
 from . import blocks
 
 
@@ -23,13 +24,22 @@ def bio_text(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYT
 
 def bio_lines(lines: DataFrame) -> DataFrame:
     """(file, sent_id, pos, token, tag): first and last column of each of lines(file, line, value); blank lines end sentences, one-column lines are skipped."""
-    lines = lines.withColumn("value", F.trim(F.regexp_replace("value", r"(?U)\s+", " ")))
+    cols = lines.select("file", "line", F.split(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")), " ").alias("c"))
+    rows = cols.select("file", "line", (F.col("c") == F.array(F.lit(""))).alias("blank"), F.when(F.size("c") >= 2, F.get("c", F.lit(0))).alias("token"), F.element_at("c", -1).alias("tag"))
+    return _numbered(rows.filter("blank or token is not null")).select("file", "sent_id", "pos", "token", "tag")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds sent_id and pos to the word rows of (file, line, blank, token, ...): blocks with a word count from 0 in a file, words in a block.
+
+    All of it is told in one order of a file's lines, so rows are sorted once.
+    """
     order = Window.partitionBy("file").orderBy("line")
-    marked = lines.withColumn("block", F.sum((F.col("value") == "").cast("int")).over(order))
-    cols = marked.withColumn("cols", F.split("value", " ")).filter(F.size("cols") >= 2)
-    rank = F.dense_rank().over(Window.partitionBy("file").orderBy("block")) - 1
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1
-    return cols.select("file", rank.alias("sent_id"), place.alias("pos"), F.element_at("cols", 1).alias("token"), F.element_at("cols", -1).alias("tag"))
+    words = rows.withColumn("block", F.sum(F.col("blank").cast("int")).over(order)).filter("token is not null")
+    first = ~F.col("block").eqNullSafe(F.lag("block").over(order))
+    placed = words.withColumn("first", first).withColumn("nth", F.row_number().over(order))
+    began = F.max(F.when(F.col("first"), F.col("nth"))).over(order)
+    return placed.withColumn("sent_id", (F.sum(F.col("first").cast("int")).over(order) - 1).cast("int")).withColumn("pos", F.col("nth") - began)
 
 
 def decode_tags(rows: DataFrame, tags: list[str]) -> DataFrame:
@@ -43,14 +53,18 @@ def explode_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def load_corpus(tagged: DataFrame, keys: list[str], order: str, most: int | None = None) -> DataFrame:
-    """(keys, text, spans) of sentences with at least one span; the cap counts kept sentences in order."""
-    offsets = spans.token_offsets(tagged, keys)
-    found = spans.nest(spans.bio_spans(offsets, keys), keys)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), " ")
-    out = tagged.groupBy(*keys).agg(text.alias("text")).join(found, keys)
-    if most is None:
-        return out
-    return out.join(found.select(*keys).orderBy(order, *keys).limit(most), keys)
+    """(keys, text, spans) of sentences with at least one span; the cap counts kept sentences in order.
+
+    With a cap, the sentences to keep are found first, by any tag but O, so the words of others are not moved.
+    """
+    if most is not None:
+        kept = tagged.filter("tag <> 'O'").select(*dict.fromkeys([*keys, order])).distinct().orderBy(order, *keys).limit(most)
+        tagged = tagged.join(kept.select(*keys), keys, "left_semi")
+    ship(tagged.sparkSession)
+    rows = tagged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias("w")).select(*keys, F.col("w.token").alias("words"), F.col("w.tag").alias("tags"))
+    rows = rows.filter(F.exists("tags", lambda t: t != "O")).withColumn("starts", spans.starts("words"))
+    found = F.transform(spans.line_spans("words", "starts", "tags"), lambda s: F.struct(s["start_off"].alias("start_off"), s["end_off"].alias("end_off"), s["label"].alias("label")))
+    return rows.select(*keys, F.array_join("words", " ").alias("text"), found.alias("spans"))
 
 
 #: Splits by the name that is asked for, and the file that holds them.
@@ -63,6 +77,11 @@ def tag_summary(tagged: DataFrame, by: list[str], sentence: list[str]) -> DataFr
     return one.groupBy(*by).agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_entities"))
 
 
+def line_summary(lines: DataFrame, by: list[str]) -> DataFrame:
+    """tag_summary of sentences that are rows with an array of tags: a row a sentence is counted, and none is told apart by key."""
+    return lines.select(*by, F.size(F.filter("tags", lambda t: t.startswith("B-"))).alias("n")).groupBy(*by).agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_entities"))
+
+
 def conllu(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
     """(file, sent_id, pos, token, entity) of ten-column files: as conllu_lines gives them, but read by byte ranges and without a shuffle of the lines."""
     rows = blocks.numbered(blocks.read(spark, path, "conllu", split_bytes))
@@ -71,21 +90,19 @@ def conllu(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES
 
 def conllu_lines(lines: DataFrame) -> DataFrame:
     """(file, sent_id, pos, token, entity): words of a ten-column table in lines(file, line, value); comments, ranges (3-4) and empty words (5.1) are left out."""
-    order = Window.partitionBy("file").orderBy("line")
-    marked = lines.withColumn("block", F.sum((F.trim("value") == "").cast("int")).over(order)).filter("value not like '#%'")
-    cols = marked.withColumn("c", F.split("value", "\t")).filter((F.size("c") >= 10) & ~F.col("c")[0].contains("-") & ~F.col("c")[0].contains("."))
-    rank = F.dense_rank().over(Window.partitionBy("file").orderBy("block")) - 1
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1
-    entity = F.regexp_extract(F.col("c")[9], r"(?:^|\|)Entity=([^|]*)", 1)
-    return cols.select("file", rank.alias("sent_id"), place.alias("pos"), F.col("c")[1].alias("token"), entity.alias("entity"))
+    cols = lines.select("file", "line", "value", F.split("value", "\t").alias("c"))
+    word = (F.size("c") >= 10) & ~F.col("value").startswith("#") & ~F.get("c", F.lit(0)).contains("-") & ~F.get("c", F.lit(0)).contains(".") & (F.trim("value") != "")
+    entity = F.regexp_extract(F.get("c", F.lit(9)), r"(?:^|\|)Entity=([^|]*)", 1)
+    rows = cols.select("file", "line", (F.trim("value") == "").alias("blank"), F.when(word, F.get("c", F.lit(1))).alias("token"), entity.alias("entity"))
+    return _numbered(rows.filter("blank or token is not null")).select("file", "sent_id", "pos", "token", "entity")
 
 
-def bracket_events(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, ev, kind, id, label) in order: '(id-TYPE...' opens, 'id)' closes."""
+def bracket_events(words: DataFrame, keys: list[str], *also: str) -> DataFrame:
+    """(keys, pos, ev, kind, id, label) in order, with what other columns of the words are named: '(id-TYPE...' opens, 'id)' closes."""
     parts = F.regexp_extract_all("entity", F.lit(r"(\(\d+-[^-()|]+[^()]*|\d+\))"), 1)
-    rows = words.select(*keys, "pos", F.posexplode(parts).alias("ev", "e"))
+    rows = words.select(*keys, "pos", *also, F.posexplode(parts).alias("ev", "e"))
     kind = F.when(F.col("e").startswith("("), "open").otherwise("close")
-    return rows.select(*keys, "pos", "ev", kind.alias("kind"), F.regexp_extract("e", r"(\d+)", 1).cast("int").alias("id"), F.regexp_extract("e", r"^\(\d+-([^-()|]+)", 1).alias("label"))
+    return rows.select(*keys, "pos", *also, "ev", kind.alias("kind"), F.regexp_extract("e", r"(\d+)", 1).cast("int").alias("id"), F.regexp_extract("e", r"^\(\d+-([^-()|]+)", 1).alias("label"))
 
 
 def bracket_spans(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,19 +110,13 @@ def bracket_spans(words: DataFrame, keys: list[str]) -> DataFrame:
 
     A one-word bracket has no digits before its closing mark and gives no span,
     as in the format's reader that this follows; an id opened again drops the
-    earlier opening.
+    earlier opening. So a close is taken where what comes right before it, of its
+    id, is an open; offsets go along with the events.
     """
-    events = bracket_events(words, keys)
-    order = Window.partitionBy(*keys, "id").orderBy("pos", "ev")
-    here = F.when(F.col("kind") == "open", F.struct("pos", "ev", "label"))
-    opened = F.last(here, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    closes = events.withColumn("o", opened).filter("kind = 'close' and o is not null")
-    first = closes.groupBy(*keys, "id", "o").agg(F.min(F.struct("pos", "ev")).alias("c"))
-    offsets = spans.token_offsets(words, keys)
-    start = offsets.select(*keys, F.col("pos").alias("sp"), "start_off")
-    end = offsets.select(*keys, F.col("pos").alias("ep"), "end_off")
-    paired = first.select(*keys, F.col("o.pos").alias("sp"), F.col("c.pos").alias("ep"), F.col("o.label").alias("label"))
-    return paired.join(start, [*keys, "sp"]).join(end, [*keys, "ep"]).select(*keys, "start_off", "end_off", "label")
+    events = bracket_events(spans.token_offsets(words, keys), keys, "start_off", "end_off")
+    before = F.lag(F.struct("kind", "start_off", "label")).over(Window.partitionBy(*keys, "id").orderBy("pos", "ev"))
+    closes = events.withColumn("o", before).filter("kind = 'close' and o.kind = 'open'")
+    return closes.select(*keys, F.col("o.start_off").alias("start_off"), "end_off", F.col("o.label").alias("label"))
 
 
 def split_list(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,10 @@
 import io
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
+from spanforge.operators import spans
+from spanforge.plans import catalog
 from spanforge.sources import reports
 
 
@@ -20,3 +24,29 @@ def test_flattened_reports_meet_nothing(spark):
     got = sorted((r.id, r.path, r.kind, r.value) for r in out.collect())
     assert got == [(1, ".a", "OBJECT", None), (1, ".b[0]", "ARRAY", None), (1, ".b[1]", "NULL", None), (1, ".b[2].c", "ARRAY", None), (2, "", "ARRAY", None), (3, "", "OBJECT", None), (4, ".d", "NULL", None), (5, "", "NULL", None), (7, "", "INVALID", None)]
     assert "Join" not in plan(out) and "Exchange" not in plan(out)
+
+
+def test_lines_are_not_shuffled(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("token_offsets", "bio_to_spans_lenient", "char_span_to_word_idx", "word_span_to_char", "span_in_context", "span_windowed", "kwic", "doc_json_entities", "doc_json_round_trip"):
+        said = plan(catalog.QUERIES[name](spark, sf))
+        assert "Exchange" not in said and "Join" not in said and "Window" not in said, name
+    assert "Join" not in plan(catalog.QUERIES["split_summary"](spark, sf))
+
+
+def test_lines_of_files_are_sorted_once(spark):
+    sf = "/root/testdata/sf0.001"
+    assert plan(catalog.QUERIES["bio_text_rows"](spark, sf)).count(" Sort ") == 1
+    assert plan(catalog.QUERIES["conllu_words"](spark, sf)).count(" Sort ") == 2
+    assert "Join" not in plan(catalog.QUERIES["conllu_spans"](spark, sf))
+
+
+def test_line_spans_equal_bio_spans(spark):
+    tags = ["O", "B-X", "I-X", "I-Y", "COMMA", "COMMA", "O", "I-X", "B-X", None, "I-X-Z", "B-"]
+    rows = [(k, p, "w" * (1 + (p * k) % 5), tags[(p * k + p) % len(tags)]) for k in range(1, 9) for p in range(k * 3)]
+    frame = spark.createDataFrame(rows, "k int, pos int, token string, tag string")
+    for strict in (False, True):
+        want = sorted(map(tuple, spans.bio_spans(spans.token_offsets(frame, ["k"]), ["k"], strict).collect()))
+        one = frame.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "tag"))).alias("w")).select("k", F.col("w.token").alias("words"), F.col("w.tag").alias("tags")).withColumn("starts", spans.starts("words"))
+        got = one.select("k", F.explode_outer(spans.line_spans("words", "starts", "tags", strict)).alias("s")).filter("s is not null").select("k", "s.*")
+        assert sorted(map(tuple, got.collect())) == want
