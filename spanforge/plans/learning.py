@@ -15,7 +15,7 @@ from .corpora import _LN, _TU, _conllu, _turns
 from .scoring import _METRICS, _PRF, _ami
 from .text_queries import _SPANS, KEYS, _lines
 
-#: Bytes of a range in the queries, so that files are read by several tasks.
+#: Bytes of a range in the queries at least, so that small files are read by several tasks.
 SPLIT = 1 << 18
 KINDS = {"CAP": "CAP", "LONG": "LONG"}
 #: Characters that the stand-in holds at once; a longer prompt alone is out of memory.
@@ -30,13 +30,11 @@ def _written(lines: DataFrame, name: str) -> str:
     return path
 
 
-def _digests(rows: DataFrame, first: str, second: str) -> DataFrame:
+def _digests(found: DataFrame) -> DataFrame:
     """A row for each block: the name in its first line, how many words follow, and md5 of their columns."""
-    words = F.sort_array(F.collect_list(F.struct("pos", first, second)))
-    one = rows.groupBy("file", "block").agg(words.alias("w"))
-    rest = F.slice("w", 2, F.size("w"))
-    text = lambda c: F.md5(F.array_join(F.transform(rest, lambda x: x[c]), "|"))
-    return one.select(F.get("w", F.lit(0))[first].alias("name"), F.size(rest).alias("n"), text(first).alias("first_md5"), text(second).alias("second_md5"))
+    rest = lambda c: F.slice(c, F.lit(2), F.size(c))
+    text = lambda c: F.md5(F.array_join(rest(c), "|"))
+    return found.select(F.get("first", F.lit(0)).alias("name"), (F.size("first") - 1).alias("n"), text("first").alias("first_md5"), text("second").alias("second_md5"))
 
 
 def bio_text_splits(spark, sf_dir):
@@ -44,7 +42,7 @@ def bio_text_splits(spark, sf_dir):
     word = lambda w, t: F.concat_ws(" ", w, F.lit("x"), t)
     made = _lines(spark, sf_dir).select(*KEYS, F.array_join(F.zip_with("words", "tags", word), "\n").alias("v"))
     path = _written(made.select(F.concat(F.lit("id-"), "doc_id", F.lit("-"), "line", F.lit(" O\n"), "v").alias("value")), "bio")
-    return _digests(blocks.read(spark, path, "bio", SPLIT), "first", "second")
+    return _digests(blocks.read_whole(spark, path, "bio", SPLIT))
 
 
 def conllu_splits(spark, sf_dir):
@@ -52,7 +50,7 @@ def conllu_splits(spark, sf_dir):
     made = _conllu(spark, sf_dir).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda s: s["value"]), "\n").alias("v"))
     head = F.concat(F.lit("0\tid-"), "file", F.lit("\t_" * 8))
     path = _written(made.select(F.concat(head, F.lit("\n"), "v").alias("value")), "conllu")
-    return _digests(blocks.read(spark, path, "conllu", SPLIT), "first", "second")
+    return _digests(blocks.read_whole(spark, path, "conllu", SPLIT))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,55 @@ def test_no_window_over_a_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text(text(1, 500))
     plan = t.bio_text(spark, str(tmp_path), 100)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window ") == 1 and "PythonMapInArrow" not in plan
+
+
+def scalar_conllu(line):
+    """A word line's form and entity, column by column."""
+    cols = line.split("\t")
+    if line.startswith("#") or len(cols) < 10 or "-" in cols[0] or "." in cols[0]:
+        return None
+    return cols[1], next((m[7:] for m in cols[9].split("|") if m.startswith("Entity=")), "")
+
+
+def test_odd_lines(monkeypatch):
+    """Lines of tabs alone, broken UTF-8, other white space and both line ends, in chunks of any size."""
+    word = lambda i, last: f"{i}\tw{i}" + "\t_" * 7 + f"\t{last}"
+    lines = [word(1, "Entity=(a"), word(2, "X|Entity=b|Entity=c"), word(3, "NoEntity=d"), "\t" * 12, word("4-5", "_"), word(5.1, "_"), "# " + word(6, "_"), word(7, "Entity="), "\u2003 \x85", word(8, "\u2003|Entity=é\r"), "\r", "x\ty", word(9, "z") + "\tmore"]
+    data = "\n".join(lines * 3).encode().replace(b"w7", b"w\xff\xe2\x82") + b"\n"
+    for kind, parse in (("conllu", scalar_conllu), ("bio", lambda x: (x.split()[0], x.split()[-1]) if len(x.split()) > 1 else None)):
+        want, at, block, pos, nth = [], 0, None, 0, -1
+        for raw in data.split(b"\n"):
+            line = raw.decode("utf-8", "replace").removesuffix("\r")
+            if not line.strip():
+                block, pos = None, 0
+            else:
+                block = at if block is None else block
+                if found := parse(line):
+                    nth += pos == 0
+                    want.append((nth, block, pos, *found))
+                    pos += 1
+            at += len(raw) + 1
+        for chunk in (1, 7, 64, 1 << 20):
+            monkeypatch.setattr(blocks, "_CHUNK", chunk)
+            assert list(blocks.rows_of(io.BytesIO(data), 0, len(data), blocks.LINES[kind])) == want
+            for size in (1, 13, 200, len(data)):
+                got = []
+                for start in range(0, len(data), size):
+                    for _, block, first, second in blocks.whole_blocks(blocks.numbered_parts(io.BytesIO(data), start, min(start + size, len(data)), blocks.LINES[kind])):
+                        got += [(b, i, *w) for b, f, s in zip(block.tolist(), first.to_pylist(), second.to_pylist()) for i, w in enumerate(zip(f, s))]
+                assert got == [w[1:] for w in want], (kind, chunk, size)
+
+
+def test_whole_blocks(spark, tmp_path):
+    """A row for each block, as the rows of read give them, from few ranges however small they may be."""
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text(text(i, 4000))
+    whole = blocks.read_whole(spark, str(tmp_path), "bio", 10)
+    assert whole.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 6
+    got = {(r.file, r.block): (r.first, r.second) for r in whole.collect()}
+    want = {}
+    for r in sorted(blocks.read(spark, str(tmp_path), "bio", 1000).collect(), key=lambda r: (r.file, r.block, r.pos)):
+        first, second = want.setdefault((r.file, r.block), ([], []))
+        first.append(r.first)
+        second.append(r.second)
+    assert got == want

@@ -41,6 +41,12 @@ def test_lines_of_files_are_sorted_once(spark):
     assert "Join" not in plan(catalog.QUERIES["conllu_spans"](spark, sf))
 
 
+def test_blocks_are_read_whole(spark):
+    for name in ("bio_text_splits", "conllu_splits"):
+        said = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Exchange" not in said and "Aggregate" not in said, name
+
+
 def test_line_spans_equal_bio_spans(spark):
     tags = ["O", "B-X", "I-X", "I-Y", "COMMA", "COMMA", "O", "I-X", "B-X", None, "I-X-Z", "B-"]
     rows = [(k, p, "w" * (1 + (p * k) % 5), tags[(p * k + p) % len(tags)]) for k in range(1, 9) for p in range(k * 3)]
