@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
@@ -50,17 +50,38 @@ def split_summary(spark, sf_dir):
     return text_formats.line_summary(lines.withColumn("split", name), ["lang", "split"])
 
 
-def _conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as ten-column files: line n opens entity n, which line n + 1 closes; a comment and a range before each word."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("n"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("form"), "l_linestatus")
-    entity = F.concat(F.lit("Entity="), F.when(F.col("n") > 1, F.concat((F.col("n") - 1).cast("string"), F.lit(")"))).otherwise(""), F.lit("("), F.col("n").cast("string"), F.lit("-"), "l_linestatus", F.lit("-x"))
+#: What orders the lines of an order.
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _conllu_lines(n: Column, form: Column, status: Column) -> Column:
+    """The lines of an order's word n: it opens entity n, which word n + 1 closes; a comment and a range before each word."""
+    number = n.cast("string")
+    entity = F.concat(F.lit("Entity="), F.when(n > 1, F.concat((n - 1).cast("string"), F.lit(")"))).otherwise(""), F.lit("("), number, F.lit("-"), status, F.lit("-x"))
     line = lambda i, form, last: F.concat_ws("\t", i, form, *[F.lit("_")] * 7, last)
-    number = F.col("n").cast("string")
-    made = F.array(F.concat(F.lit("# "), number), line(F.concat(number, F.lit("-"), number), F.lit("range"), F.lit("_")), line(number, F.col("form"), F.concat(F.lit("SpaceAfter=No|"), entity)))
+    return F.array(F.concat(F.lit("# "), number), line(F.concat(number, F.lit("-"), number), F.lit("range"), F.lit("_")), line(number, form, F.concat(F.lit("SpaceAfter=No|"), entity)))
+
+
+def _form() -> Column:
+    return F.concat("l_returnflag", F.col("l_partkey").cast("string"))
+
+
+def _conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ten-column files, line by line."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("n"), _form().alias("form"), "l_linestatus")
+    made = _conllu_lines(F.col("n"), F.col("form"), F.col("l_linestatus"))
     return rows.select(F.col("l_orderkey").alias("file"), "n", F.posexplode(made).alias("i", "value")).select("file", F.struct("n", "i").alias("line"), "value")
 
 
+def _conllu_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, value): the lines of _conllu as one text for each file; a file's words are gathered once, and its lines are made of them."""
+    words = F.sort_array(F.collect_list(F.struct(*_LINE_ORDER, _form().alias("form"), "l_linestatus")))
+    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(words.alias("words"))
+    lines = F.transform("words", lambda w, i: F.array_join(_conllu_lines(i + 1, w["form"], w["l_linestatus"]), "\n"))
+    return files.select("file", F.array_join(lines, "\n").alias("value"))
+
+
 def conllu_words(spark, sf_dir):
     return text_formats.conllu_lines(_conllu(spark, sf_dir)).select(F.col("file").alias("l_orderkey"), "sent_id", "pos", "token", "entity")
 

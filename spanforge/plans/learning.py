@@ -11,7 +11,7 @@ from ..models import HashedNgrams, WordPatterns
 from ..operators import ablation, decode, em, metric_learning, spans, triplets, vectors
 from ..session import cut, scratch, table
 from ..sources import blocks, reports, resumable, structured, text_formats
-from .corpora import _LN, _TU, _conllu, _turns
+from .corpora import _LN, _TU, _conllu_files, _turns
 from .scoring import _METRICS, _PRF, _ami
 from .text_queries import _SPANS, KEYS, _lines
 
@@ -47,9 +47,8 @@ def bio_text_splits(spark, sf_dir):
 
 def conllu_splits(spark, sf_dir):
     """Orders as ten-column files, read back by byte ranges."""
-    made = _conllu(spark, sf_dir).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda s: s["value"]), "\n").alias("v"))
-    head = F.concat(F.lit("0\tid-"), "file", F.lit("\t_" * 8))
-    path = _written(made.select(F.concat(head, F.lit("\n"), "v").alias("value")), "conllu")
+    head = F.concat(F.lit("0\tid-"), "file", F.lit("\t_" * 8 + "\n"))
+    path = _written(_conllu_files(spark, sf_dir).select(F.concat(head, "value").alias("value")), "conllu")
     return _digests(blocks.read_whole(spark, path, "conllu", SPLIT))
 
 
