@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import anchors
-from .models import Detector, Embedder, detect, embed, prototypes
+from .models import Detector, Embedder, embed, mentions, prototypes
 from .operators import em, gmm, linear, spans, vectors
 from .session import cut
 
@@ -23,9 +23,9 @@ def as_texts(spark: SparkSession, texts: str | Iterable[str] | DataFrame) -> Dat
     return spark.createDataFrame(list(enumerate(items)), "sent_id long, text string")
 
 
-def _mentions(texts: DataFrame, found: DataFrame, embedder: Embedder, prefix: str) -> DataFrame:
-    """Detections with a key and a vector of the mention in its text; written once, as detectors and embedders are costly."""
-    rows = found.join(texts, "sent_id").withColumn("context", spans.in_context("text", "start_off", "end_off", prefix))
+def _mentions(found: DataFrame, embedder: Embedder, prefix: str) -> DataFrame:
+    """Detections with their texts, a key and a vector of the mention in its text; written once, as detectors and embedders are costly."""
+    rows = found.withColumn("context", spans.in_context("text", "start_off", "end_off", prefix))
     rows = embed(rows, embedder, "context").withColumn("vec_id", F.struct("sent_id", "start_off", "end_off", "cand_label"))
     return cut(rows.select("vec_id", "sent_id", "start_off", "end_off", "span", "cand_label", "score", "vec"))
 
@@ -49,14 +49,12 @@ class ZeroShotTyper:
         if not labels:
             raise ValueError("no labels to choose from")
         texts = as_texts(spark, texts)
-        found = _mentions(texts, detect(texts, self.detector, labels), self.embedder, self.prefix)
+        found = _mentions(mentions(texts, self.detector, labels), self.embedder, self.prefix)
         named = spark.createDataFrame([(x,) for x in labels], "label string").select("label", anchors.short_anchors(F.col("label")).alias("words"))
         protos = prototypes(named, self.embedder, self.mode)
         if transductive:
             protos = vectors.refine(found, protos, self.rounds)
-        sims = vectors.similarities(found, protos, ["vec_id", *ENTITY, "cand_label", "score"])
-        typed = vectors.best_label(vectors.fuse(sims, self.beta), ["vec_id"])
-        return typed.select(*ENTITY, "label", "score")
+        return vectors.nearest(found, protos, [*ENTITY, "score"], self.beta).select(*ENTITY, "label", "score")
 
 
 @dataclass
@@ -88,7 +86,7 @@ class SupervisedTyper:
             raise RuntimeError("fit() comes first")
         spark = texts.sparkSession if isinstance(texts, DataFrame) else spark or SparkSession.getActiveSession()
         texts = as_texts(spark, texts)
-        found = _mentions(texts, detect(texts, self.detector, self.fitted.labels, self.threshold), self.embedder, self.prefix)
+        found = _mentions(mentions(texts, self.detector, self.fitted.labels, self.threshold), self.embedder, self.prefix)
         return self.fitted.predict(found).select(*ENTITY, F.col("pred").alias("label"), "score")
 
     def save(self, path: str, spark: SparkSession | None = None) -> None:
@@ -138,7 +136,7 @@ class GaussianPipeline:
             raise ValueError("no labels to choose from")
         spark = texts.sparkSession if isinstance(texts, DataFrame) else spark or SparkSession.getActiveSession()
         texts = as_texts(spark, texts)
-        found = _mentions(texts, detect(texts, self.detector, self.labels, self.threshold), self.embedder, "")
+        found = _mentions(mentions(texts, self.detector, self.labels, self.threshold), self.embedder, "")
         n_spans, size = found.agg(F.count("*"), F.max(F.size("vec"))).first()
         if not n_spans:
             raise RuntimeError("the detector finds no mention in these texts")

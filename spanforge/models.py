@@ -79,6 +79,27 @@ class WordPatterns:
         return out
 
 
+#: Characters that are hashed, and that detections carry, at once.
+_CHARS = 1 << 18
+
+
+def _trigram_hashes(*points: np.ndarray) -> np.ndarray:
+    """crc32 of the UTF-8 of three code points each. Of bytes of one length it is the exclusive or of a part for each, so ASCII is looked up; other trigrams are hashed once each."""
+    import zlib
+
+    zero = zlib.crc32(bytes(3))
+    parts = [np.array([zlib.crc32(bytes(b if k == j else 0 for k in range(3))) ^ zero for b in range(128)], np.int64) for j in range(3)]
+    wide = np.flatnonzero((points[0] | points[1] | points[2]) > 127)
+    out = np.full(len(points[0]), zero, np.int64)
+    for part, p in zip(parts, points):
+        out ^= part[p & 127]
+    if len(wide):
+        every, which = np.unique(points[0][wide] << 42 | points[1][wide] << 21 | points[2][wide], return_inverse=True)
+        mask = (1 << 21) - 1
+        out[wide] = np.array([zlib.crc32((chr(k >> 42) + chr(k >> 21 & mask) + chr(k & mask)).encode()) for k in every.tolist()], np.int64)[which]
+    return out
+
+
 class HashedNgrams:
     """Unit vectors of hashed character trigrams."""
 
@@ -86,14 +107,20 @@ class HashedNgrams:
         self.dim = dim
 
     def encode(self, texts):
-        import zlib
-
         out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            padded = f"  {text.lower()} "
-            for i in range(len(padded) - 2):
-                h = zlib.crc32(padded[i : i + 3].encode())
-                row[h % self.dim] += 1 if h >> 16 & 1 else -1
+        sizes = np.array([len(t) for t in texts], np.int64)
+        part = np.cumsum(sizes) // _CHARS  # so many characters at once
+        for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1) if len(texts) else []:
+            padded = [f"  {texts[i].lower()} " for i in some]
+            points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+            ends = np.cumsum([len(t) for t in padded])
+            row = np.repeat(np.arange(len(some)), np.diff(ends, prepend=0))
+            first = np.ones(len(points), bool)
+            first[[*(ends - 1), *(ends - 2)]] = False
+            at = np.flatnonzero(first)
+            h = _trigram_hashes(points[at], points[at + 1], points[at + 2]) if len(at) else at
+            sums = np.bincount(row[at] * self.dim + h % self.dim, np.where(h >> 16 & 1, 1.0, -1.0), len(some) * self.dim)
+            out[some] = sums.reshape(len(some), self.dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -109,6 +136,32 @@ def detect(texts: DataFrame, detector: Detector, labels: list[str] | None = None
     return texts.select("sent_id", "text").filter("text is not null").mapInPandas(run, DETECTIONS)
 
 
+def mentions(texts: DataFrame, detector: Detector, labels: list[str] | None = None, threshold: float = 0.0) -> DataFrame:
+    """detect's rows with the text that each is of, so texts are not met again; a place and label that a detector gives twice is one, of the greater score."""
+    ship(texts.sparkSession)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["sent_id", "start_off", "end_off", "span", "cand_label", "score", "text"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows, many = [], 0
+            for i, t, found in zip(f["sent_id"], f["text"], detector.detect(f["text"].tolist(), labels)):
+                best: dict[tuple, float] = {}
+                for s, e, label, score in found:
+                    if score >= threshold:
+                        best[s, e, label] = max(float(score), best.get((s, e, label), float(score)))
+                for (s, e, label), score in best.items():
+                    rows.append((i, s, e, t[s:e], label, score, t))
+                    many += len(t)
+                    if many >= 4 * _CHARS:
+                        yield frame(rows)
+                        rows, many = [], 0
+            yield frame(rows)
+
+    return texts.select("sent_id", "text").filter("text is not null").mapInPandas(run, f"{DETECTIONS}, text string")
+
+
 def embed(rows: DataFrame, embedder: Embedder, text: str, out: str = "vec") -> DataFrame:
     """rows with a unit vector of the text column."""
     ship(rows.sparkSession)

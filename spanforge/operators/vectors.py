@@ -71,18 +71,34 @@ def best_label(sims: DataFrame, keys: list[str]) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
+def nearest(mentions: DataFrame, prototypes: DataFrame, keep: list[str], beta: float | None = None) -> DataFrame:
+    """(keep, label) of each mention: what best_label chooses of similarities, fused with the detector's candidates if there is a beta.
+
+    All labels' prototypes are one broadcast row, so a mention finds its label where
+    it lies and none is shuffled; mentions are as many rows as come in.
+    """
+    every = prototypes.groupBy("label").agg(F.collect_list("vec").alias("protos")).agg(F.collect_list(F.struct("label", "protos")).alias("every"))
+
+    def order(x: Column) -> Column:
+        sim = F.array_max(F.transform(x["protos"], lambda p: dot(F.col("vec"), p)))
+        if beta is not None:
+            sim = sim + F.when(x["label"] == F.col("cand_label"), beta * F.col("score")).otherwise(0.0)
+        return F.transform(F.array(F.round(sim, 6)), lambda s: F.struct(s.isNull().alias("a"), (~F.isnan(s)).alias("b"), (-s).alias("c"), x["label"].alias("label")))[0]
+
+    rows = mentions.crossJoin(F.broadcast(every)).filter(F.size("every") > 0)
+    return rows.select(*keep, F.array_min(F.transform("every", order))["label"].alias("label"))
+
+
 def runner_ups(sims: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("sim", 6)), "label")
     return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def refine(mentions: DataFrame, prototypes: DataFrame, rounds: int, key: str = "vec_id") -> DataFrame:
+def refine(mentions: DataFrame, prototypes: DataFrame, rounds: int) -> DataFrame:
     """Seeded spherical k-means: prototypes move to the mean of their mentions, empty ones stay."""
     protos = prototypes.select("label", "vec")
     for _ in range(rounds):
-        sims = similarities(mentions, protos, [key, "vec"])
-        assigned = best_label(sims, [key])
-        moved = centroids(assigned.select("label", "vec"))
+        moved = centroids(nearest(mentions, protos, ["vec"]))
         protos = cut(protos.withColumnRenamed("vec", "old").join(moved, "label", "left").select("label", F.coalesce("vec", "old").alias("vec")))
     return protos
 
@@ -108,7 +124,7 @@ def variants(mentions: DataFrame, modes: dict[str, DataFrame], key: str) -> Data
         if mode not in modes:
             continue
         if (mode, rounds) not in made:
-            made[mode, rounds] = refine(mentions, modes[mode], rounds, key) if rounds else cut(modes[mode].select("label", "vec"))
+            made[mode, rounds] = refine(mentions, modes[mode], rounds) if rounds else cut(modes[mode].select("label", "vec"))
         sims = similarities(mentions, made[mode, rounds], [key, "gold"])
         best = best_label(calibrate(sims) if calibrated else sims, [key]).select(F.lit(name).alias("variant"), key, "gold", F.col("label").alias("pred"))
         out = best if out is None else out.unionByName(best)

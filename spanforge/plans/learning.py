@@ -200,7 +200,7 @@ def isolated_runs(spark, sf_dir):
 def zero_shot_two_passes(spark, sf_dir):
     """A detector of few words and a typer that trusts it, against words by another rule."""
     rows = _turns(spark, sf_dir).select((F.col("conv_id") * 10000 + F.col("turn")).alias("sent_id"), "text", "words")
-    tokens = spans.token_offsets(rows.select("sent_id", F.posexplode("words").alias("pos", "token")), ["sent_id"])
+    tokens = spans.word_rows(rows.select("sent_id", "words", spans.starts("words").alias("starts")), ["sent_id"])
     label = F.when(F.col("token").rlike("^[A-Z]"), "CAP").when(F.char_length("token") > 9, "LONG")
     gold = tokens.select("sent_id", "start_off", "end_off", label.alias("label")).filter("label is not null")
     typer = ZeroShotTyper(WordPatterns({"CAP": "[A-Z]", "LONG": ".{12}"}), HashedNgrams(16), beta=100.0)
