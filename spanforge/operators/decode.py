@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -40,37 +40,71 @@ def best_sequence(scores: np.ndarray, start: np.ndarray, step: np.ndarray) -> np
     return out
 
 
+def best_sequences(scores: np.ndarray, bounds: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """best_sequence of each sentence, scores[bounds[k] : bounds[k + 1]], one after another: the nth words of all are one step."""
+    out = np.zeros(len(scores), np.int64)
+    sizes = np.diff(bounds)
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    if not len(order):
+        return out
+    begin, sizes = bounds[order], sizes[order]
+    many = [np.searchsorted(-sizes, -i, "left") for i in range(sizes[0])]  # sentences of more than i words
+    total = np.where(start, scores[begin], -np.inf)
+    back = np.zeros(scores.shape, np.int32)
+    for i in range(1, sizes[0]):
+        rows = begin[: many[i]] + i
+        came = np.where(step, total[: many[i], :, None], -np.inf)
+        back[rows] = came.argmax(1)
+        total[: many[i]] = came.max(1) + scores[rows]
+    tag = total.argmax(1)
+    for i in range(sizes[0] - 1, -1, -1):
+        rows = begin[: many[i]] + i
+        out[rows] = tag[: many[i]]
+        tag[: many[i]] = back[rows, tag[: many[i]]]
+    return out
+
+
+def mean_scores(pieces: Column) -> Column:
+    """The scores of a word from the array of its pieces' scores: the mean of each."""
+    added = F.aggregate(pieces, F.transform(F.get(pieces, F.lit(0)), lambda x: F.lit(0.0)), lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
+    return F.transform(added, lambda x: x / F.size(pieces))
+
+
 def merge_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, start_off, end_off, scores): words of sub-word pieces(keys, pos, start_off, end_off, scores), each score the mean over its pieces."""
-    added = F.aggregate("all", F.transform(F.get("all", F.lit(0)), lambda x: F.lit(0.0)), lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
     one = pieces.groupBy(*keys, "pos").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off"), F.collect_list("scores").alias("all"))
-    return one.select(*keys, "pos", "start_off", "end_off", F.transform(added, lambda x: x / F.size("all")).alias("scores"))
+    return one.select(*keys, "pos", "start_off", "end_off", mean_scores(F.col("all")).alias("scores"))
 
 
 def decode(words: DataFrame, keys: list[str], labels: list[str], constrained: bool = True) -> DataFrame:
-    """(keys, start_off, end_off, label, score) of words(keys, pos, start_off, end_off, scores): scores is one for each of bio_tags(labels).
+    """decode_lines of words(keys, pos, start_off, end_off, scores), gathered by sentence."""
+    one = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "start_off", "end_off", "scores"))).alias("w"))
+    part = lambda c: F.transform("w", lambda x: x[c]).alias(c)
+    return decode_lines(one.select(*keys, part("start_off").alias("starts"), part("end_off").alias("ends"), part("scores")), keys, labels, constrained)
+
+
+def decode_lines(lines: DataFrame, keys: list[str], labels: list[str], constrained: bool = True) -> DataFrame:
+    """(keys, start_off, end_off, label, score) of lines(keys, starts, ends, scores): arrays with an entry for each word, whose scores are one for each of bio_tags(labels).
 
     Constrained, a sentence takes the allowed sequence of the largest sum; otherwise
     each word its best tag, and an I- without its B- begins a span. score is the
     mean of the scores of the tags that the span's words took. A sentence is read as
-    a whole by one task.
+    a whole by one task, and its spans are made where it lies.
     """
-    ship(words.sparkSession)
+    ship(lines.sparkSession)
     tags = bio_tags(labels)
     start, step = allowed(tags)
 
-    @F.pandas_udf("array<int>")
-    def sequence(rows: pd.Series) -> pd.Series:
-        every = [np.stack([np.asarray(w, float) for w in r]) for r in rows]
-        return pd.Series([(best_sequence(s, start, step) if constrained else s.argmax(1)).tolist() for s in every], dtype=object)
-
-    one = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "start_off", "end_off", "scores"))).alias("w"))
-    taken = one.withColumn("t", sequence(F.transform("w", lambda x: x["scores"])))
-    rows = taken.select(*keys, F.posexplode(F.arrays_zip("w", "t")).alias("i", "z")).select(*keys, "z.w.pos", "z.w.start_off", "z.w.end_off", F.col("z.t").alias("t"), F.get("z.w.scores", F.col("z.t")).alias("score"))
-    tagged = rows.withColumn("tag", F.element_at(F.array(*map(F.lit, tags)), F.col("t") + 1))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    sums = tagged.select(*keys, "pos", "score", F.sum("score").over(order).alias("sum"), F.row_number().over(order).alias("nth"))
-    first = sums.select(*keys, F.col("pos").alias("first_pos"), (F.col("sum") - F.col("score")).alias("before"), F.col("nth").alias("from"))
-    last = sums.select(*keys, F.col("pos").alias("last_pos"), "sum", F.col("nth").alias("to"))
-    found = spans.bio_spans(tagged, keys).join(first, [*keys, "first_pos"]).join(last, [*keys, "last_pos"])
-    return found.select(*keys, "start_off", "end_off", "label", ((F.col("sum") - F.col("before")) / (F.col("to") - F.col("from") + 1)).alias("score"))
+    def sequence(flat: pa.Array) -> pa.Array:
+        bounds = np.asarray(flat.offsets).astype(np.int64)
+        scores = np.asarray(flat.values.slice(bounds[0], bounds[-1] - bounds[0])).reshape(-1, len(tags))
+        bounds = (bounds - bounds[0]) // len(tags)
+        taken = best_sequences(scores, bounds, start, step) if constrained else scores.argmax(1)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(taken, pa.int32()))
+
+    taken = lines.withColumn("t", F.arrow_udf(sequence, "array<int>").asNondeterministic()(F.flatten("scores")))  # kept below what is made of it, as spans.starts is
+    named = F.array(*map(F.lit, tags))
+    made = taken.select(*keys, spans.line_spans("starts", "starts", F.transform("t", lambda t: F.get(named, t)), ends=F.col("ends")).alias("spans"), F.zip_with("scores", "t", lambda s, t: F.get(s, t)).alias("took"))
+    rows = made.select(*keys, "took", F.explode_outer("spans").alias("s")).filter("s is not null")
+    own = F.slice("took", F.col("s.first_pos") + 1, F.col("s.last_pos") - F.col("s.first_pos") + 1)
+    return rows.select(*keys, "s.start_off", "s.end_off", "s.label", (F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own)).alias("score"))

@@ -127,13 +127,13 @@ def projection_learning(spark, sf_dir):
 def closed_set_spans(spark, sf_dir):
     """Words of turns, long ones in two pieces, with scores by md5: the best allowed tags, and the spans that they make."""
     keys = ["conv_id", "turn"]
-    words = spans.token_offsets(_turns(spark, sf_dir).select(*keys, F.posexplode("words").alias("pos", "token")), keys)
-    cut_at = F.when(F.char_length("token") > 6, F.array(F.lit(4), F.char_length("token") - 4)).otherwise(F.array(F.char_length("token")))
-    pieces = words.select(*keys, "pos", "start_off", F.posexplode(cut_at).alias("piece", "size"))
-    begin = F.col("start_off") + F.col("piece") * 4
-    scores = F.array(*[(triplets.number("conv_id", "turn", "pos", "piece", F.lit(t)) % 1000 + F.lit(300 if t == 0 else 0)).cast("double") for t in range(5)])
-    rows = pieces.select(*keys, "pos", begin.alias("start_off"), (begin + F.col("size")).alias("end_off"), scores.alias("scores"))
-    found = decode.decode(decode.merge_pieces(rows, keys), keys, ["X", "Y"])
+    rows = _turns(spark, sf_dir).select(*keys, "words", spans.starts("words").alias("starts"))
+    score = lambda i, piece: F.array(*[(triplets.number("conv_id", "turn", i, piece, F.lit(t)) % 1000 + F.lit(300 if t == 0 else 0)).cast("double") for t in range(5)])
+    pieces = lambda w: F.when(F.char_length(w) > 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    scores = F.transform("words", lambda w, i: F.transform(pieces(w), lambda piece: score(i, piece)))
+    ends = F.zip_with("starts", "words", lambda s, w: s + F.char_length(w))
+    lines = rows.select(*keys, "starts", ends.alias("ends"), F.transform(scores, decode.mean_scores).alias("scores"))
+    found = decode.decode_lines(lines, keys, ["X", "Y"])
     return found.select(*keys, "start_off", "end_off", "label", F.round("score", 6).alias("score"))
 
 
