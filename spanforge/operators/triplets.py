@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .vectors import dot
 
 #: Digits of the md5 that places are counted by, so that no label is ordered in one task.
@@ -25,15 +26,17 @@ def number(*parts: Column | str) -> Column:
 def places(items: DataFrame, seed: str | None) -> tuple[DataFrame, DataFrame]:
     """items(id, label) with the place of each among its label's, in order of md5(id|seed), or md5(id) without a seed, and id; and (label, size).
 
-    Items are numbered within ranges of the md5, and the sizes of the ranges
-    before are added: a few rows a label, like the labels themselves.
+    Items are numbered within ranges of the md5 and written, so that they are made
+    once, and the sizes of the ranges before are added: a few rows a label, like the
+    labels themselves.
     """
     hashed = items.select("id", "label", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(seed).cast("string"))).alias("h"))
     hashed = hashed.withColumn("range", F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("int"))
-    sizes = hashed.groupBy("label", "range").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("label", "range").orderBy("h", "id"))
-    numbered = hashed.withColumn("r", within).join(sizes.select("label", "range", before.alias("before")), ["label", "range"])
+    numbered = cut(hashed.withColumn("r", within).drop("h"))
+    sizes = cut(numbered.groupBy("label", "range").agg(F.count("*").alias("n")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = numbered.join(sizes.select("label", "range", before.alias("before")), ["label", "range"])
     return numbered.select("id", "label", (F.col("before") + F.col("r") - 1).alias("place")), sizes.groupBy("label").agg(F.sum("n").alias("size"))
 
 
@@ -42,18 +45,20 @@ def _taken(wanted: DataFrame, placed: DataFrame, name: str) -> DataFrame:
     return wanted.join(placed.select("label", "place", F.col("id").alias(name)), ["label", "place"]).drop("label", "place")
 
 
-def sample(items: DataFrame, per_anchor: int, seed: str, excluded: list[str] | None = None) -> DataFrame:
+def sample(items: DataFrame, per_anchor: int, seed: str, excluded: list[str] | None = None, anchors: Column | None = None) -> DataFrame:
     """(anchor, positive, negative, rank) over items(id, label): a positive of the same label, a negative of another.
 
     The positives are the items after the anchor among its label's, in a ring; a
     label of n items gives n - 1 of them. The negative's label is one of the
     others by name, and its place there, by md5. Items of excluded labels take
-    no part; without a second label there are no triplets.
+    no part; without a second label there are no triplets. Where anchors is a
+    condition on id, only items that meet it are anchors, and only for these is looked.
     """
     items = items.filter(~F.col("label").isin(excluded)) if excluded else items
     placed, sizes = places(items, seed)
     every = sizes.agg(F.sort_array(F.collect_list(F.struct("label", "size"))).alias("labels"))
-    rows = placed.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(every))
+    asked = placed if anchors is None else placed.filter(anchors)
+    rows = asked.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(every))
     rows = rows.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(per_anchor)))).filter("rank < size and size(labels) > 1")
     others = F.filter("labels", lambda x: x["label"] != F.col("label"))
     other = F.element_at(others, (number("id", F.col("rank"), F.lit(f"l{seed}")) % (F.size("labels") - 1) + 1).cast("int"))
@@ -122,8 +127,8 @@ def entity_triplets(entities: DataFrame, seed: str, per_anchor: int = 2, same_do
     rows = rows.withColumn("others", F.when(from_doc, near).otherwise(any_))
     negative = F.element_at("others", (number("id", "rank", F.lit(f"n{seed}")) % F.size("others") + 1).cast("int"))
     with_labels = rows.select(F.col("id").alias("anchor"), "rank", F.col("label").alias("positive"), negative.alias("negative"))
-    drawn = entities.filter(share("id", F.lit(f"e{seed}")) < entity_share).select(F.col("id").alias("anchor"))
-    with_entities = sample(entities.select("id", "label"), 1, seed).join(drawn, "anchor", "left_semi").select("anchor", "positive", "negative")
+    drawn = share("id", F.lit(f"e{seed}")) < entity_share
+    with_entities = sample(entities.select("id", "label"), 1, seed, anchors=drawn).select("anchor", "positive", "negative")
     return with_labels, with_entities
 
 

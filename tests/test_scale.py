@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.api import ZeroShotTyper
 from spanforge.models import HashedNgrams, WordPatterns
-from spanforge.operators import decode, spans, vectors
+from spanforge.operators import decode, spans, triplets, vectors
 from spanforge.plans import catalog
 from spanforge.sources import reports
 
@@ -99,6 +99,15 @@ def test_sentences_are_decoded_together():
         assert decode.best_sequences(scores, bounds, start, step).tolist() == [t for w in want for t in w]
 
 
+def test_only_drawn_entities_are_looked_for(spark):
+    """Items are numbered once, and what is not an anchor is not joined to be dropped after."""
+    said = plan(catalog.QUERIES["entity_entity_triplets"](spark, "/root/testdata/sf0.001"))
+    assert "LeftSemi" not in said and "Window [row_number" not in said and "lineitem" not in said
+    items = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)], "id long, label string")
+    every, some = triplets.sample(items, 2, "s"), triplets.sample(items, 2, "s", anchors=F.col("id") % 7 == 2)
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in every.collect() if r.anchor % 7 == 2)
+
+
 def test_line_spans_equal_bio_spans(spark):
     tags = ["O", "B-X", "I-X", "I-Y", "COMMA", "COMMA", "O", "I-X", "B-X", None, "I-X-Z", "B-"]
     rows = [(k, p, "w" * (1 + (p * k) % 5), tags[(p * k + p) % len(tags)]) for k in range(1, 9) for p in range(k * 3)]
